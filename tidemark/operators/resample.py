@@ -1,0 +1,175 @@
+"""Resampling: replicates of a comparison and what is read from them."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import columns as C
+from tidemark.functions import constants as K
+from tidemark.operators import compare as CM
+from tidemark.operators import distance as D
+from tidemark.operators import fingerprint as FP
+from tidemark.operators import pairs as P
+from tidemark.operators import ranks
+
+REPLICATE = [*K.PAIR, "replicate"]
+REPLICATE_COLUMNS = [
+    "n",
+    "avg_output_length",
+    "avg_verbosity_ratio",
+    "avg_retry_count",
+    "avg_time_to_first_tool_ms",
+    "error_rate",
+    "p95_latency_ms",
+    "p95_loop_count",
+]
+
+
+def capped_sample(
+    runs: DataFrame, cap: int = K.BOOTSTRAP_CAP, seed: int = K.SEED, by: Sequence[str] = tuple(K.GROUP)
+) -> DataFrame:
+    """A reproducible sample of at most ``cap`` runs per group, numbered from 0 in ``idx``."""
+    order = [F.md5(F.concat_ws(":", F.lit(seed), "id")), F.col("id")]
+    few = ranks.newest(runs, by, order, cap, F.col("id"))
+    w = Window.partitionBy(*by)
+    return few.withColumn("idx", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn(
+        "sample_n", F.count("*").over(w)
+    )
+
+
+def draws(sized: DataFrame, by: Sequence[str], b: int, seed: int) -> DataFrame:
+    """Draws with replacement: per group, side and replicate as many as the sample holds."""
+    rounds = sized.select(*by, "side", "sample_n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("replicate"))
+    slots = rounds.select("*", F.explode(F.expr("sequence(0, cast(sample_n as int) - 1)")).alias("slot"))
+    parts = [F.lit(seed), *[F.col(c) for c in by], F.col("side"), F.col("replicate"), F.col("slot")]
+    return slots.select(*by, "side", "replicate", C.seeded_index(parts, F.col("sample_n")).alias("idx"))
+
+
+def bootstrap(
+    runs: DataFrame,
+    pairs: DataFrame,
+    b: int = K.BOOTSTRAP_ROUNDS,
+    cap: int = K.BOOTSTRAP_CAP,
+    seed: int = K.SEED,
+) -> DataFrame:
+    """Replicates: per pair and round all twelve dimensions and the fixed-weight composite.
+
+    The sample is capped per group before anything is multiplied, so the work is pairs x b x cap
+    rows whatever the size of the groups, spread by (pair, round).
+    """
+    sample = capped_sample(runs, cap, seed).select(
+        *K.GROUP,
+        "idx",
+        "sample_n",
+        "latency_ms",
+        "loop_count",
+        "output_length",
+        "verbosity_ratio",
+        "retry_count",
+        "time_to_first_tool_ms",
+        "error_count",
+        FP.dist_entries(("sequence", "outcome", "bigram")).alias("entries"),
+    )
+    sided = P.attach(sample, pairs)
+    sized = sided.where(F.col("idx") == 0).select(*K.PAIR, "side", "sample_n")
+    drawn = draws(sized, K.PAIR, b, seed).join(sided.drop("sample_n"), [*K.PAIR, "side", "idx"])
+
+    numbers = FP.fp_scalar_bounded(drawn, [*REPLICATE, "side"])
+    wide = P.pivot_sides(numbers, REPLICATE_COLUMNS, REPLICATE)
+
+    on = lambda side: F.count_if(F.col("side") == side)
+    keyed = (
+        drawn.select(*REPLICATE, "side", F.explode("entries").alias("e"))
+        .groupBy(*REPLICATE, F.col("e.kind").alias("kind"), F.col("e.key").alias("key"))
+        .agg(on("b").alias("b_n"), on("c").alias("c_n"))
+    )
+    # A replicate holds at most a few thousand keys, so its totals fit one window.
+    whole = Window.partitionBy(*REPLICATE)
+    total = lambda c, kind: F.sum(F.when(F.col("kind") == kind, F.col(c))).over(whole)
+    pick = lambda c: (
+        F.when(F.col("kind") == "sequence", total(c, "sequence"))
+        .when(F.col("kind") == "outcome", total(c, "outcome"))
+        .otherwise(total(c, "bigram"))
+    )
+    ratio = lambda c: F.when(F.col(f"t_{c}") > 0, F.col(c) / F.col(f"t_{c}")).otherwise(0.0)
+    shares = keyed.withColumn("t_b_n", pick("b_n")).withColumn("t_c_n", pick("c_n")).select(
+        *REPLICATE, "kind", "key", ratio("b_n").alias("p"), ratio("c_n").alias("q")
+    )
+    full = wide.join(D.jsd_wide(shares, REPLICATE), REPLICATE)
+    scores = CM.dimension_scores(with_emd=False)
+    return full.select(
+        *REPLICATE,
+        *[score.cast("double").alias(dim) for dim, (score, _) in scores.items()],
+        CM.resample_composite().alias("composite"),
+    )
+
+
+def drift_ci(replicates: DataFrame, scored: DataFrame) -> DataFrame:
+    """95 % interval of the composite, widened to hold the point score; flags small samples."""
+    bounds = replicates.groupBy(*K.PAIR).agg(
+        F.percentile("composite", F.lit(0.025)).alias("lo"), F.percentile("composite", F.lit(0.975)).alias("hi")
+    )
+    return scored.join(bounds, K.PAIR).select(
+        *K.PAIR,
+        "drift_score",
+        F.least("lo", "drift_score").alias("ci_lower"),
+        F.greatest("hi", "drift_score").alias("ci_upper"),
+        (F.least("baseline_n", "current_n") < 30).alias("small_sample"),
+    )
+
+
+def _long(replicates: DataFrame) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in K.DIMS])
+    return replicates.select(*K.PAIR, F.explode(rows).alias("r")).select(*K.PAIR, "r.dim", "r.value")
+
+
+def dimension_ci(replicates: DataFrame, dims: DataFrame) -> DataFrame:
+    """95 % interval per dimension; significant when it lies above 0."""
+    bounds = _long(replicates).groupBy(*K.PAIR, "dim").agg(
+        F.percentile("value", F.lit(0.025)).alias("ci_lower"), F.percentile("value", F.lit(0.975)).alias("ci_upper")
+    )
+    return dims.join(bounds, [*K.PAIR, "dim"]).select(
+        *K.PAIR, "dim", F.col("score").alias("observed"), "ci_lower", "ci_upper", (F.col("ci_lower") > 0).alias("significant")
+    )
+
+
+def _spread(replicates: DataFrame, sizes: DataFrame) -> DataFrame:
+    sigma = _long(replicates).groupBy(*K.PAIR, "dim").agg(F.stddev_samp("value").alias("sigma"))
+    return sigma.join(sizes.select(*K.PAIR, "b_n", "c_n"), K.PAIR)
+
+
+def mde(replicates: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Smallest effect each dimension can show at the present sample sizes."""
+    z = K.Z_ALPHA + K.Z_BETA
+    return _spread(replicates, sizes).select(
+        *K.PAIR, "dim", (F.lit(z) * F.col("sigma") * F.sqrt(1 / F.col("b_n") + 1 / F.col("c_n"))).alias("mde")
+    )
+
+
+def runs_forecast(replicates: DataFrame, sizes: DataFrame, target: float = 0.10) -> DataFrame:
+    """Further runs needed for every dimension to show an effect of ``target``."""
+    z = K.Z_ALPHA + K.Z_BETA
+    per_side = F.pow(F.lit(z) * F.col("sigma") / F.lit(target), F.lit(2.0))
+    more = F.ceil(2 * per_side) - (F.col("b_n") + F.col("c_n"))
+    return _spread(replicates, sizes).select(*K.PAIR, "dim", F.greatest(F.lit(0), more).cast("long").alias("more_runs"))
+
+
+def bootstrap_mean_diff(
+    runs: DataFrame, pairs: DataFrame, column: str = "latency_ms", b: int = 1000, cap: int = K.BOOTSTRAP_CAP, seed: int = K.SEED
+) -> DataFrame:
+    """Observed difference of means and its resampled 95 % bounds, read by index."""
+    sample = capped_sample(runs.where(F.col(column).isNotNull()), cap, seed).select(*K.GROUP, "idx", "sample_n", column)
+    sided = P.attach(sample, pairs)
+    sized = sided.where(F.col("idx") == 0).select(*K.PAIR, "side", "sample_n")
+    drawn = draws(sized, K.PAIR, b, seed).join(sided.drop("sample_n"), [*K.PAIR, "side", "idx"])
+    side = lambda s: F.avg(F.when(F.col("side") == s, F.col(column)))
+    diffs = drawn.groupBy(*REPLICATE).agg((side("c") - side("b")).alias("diff")).where(F.col("diff").isNotNull())
+    at = lambda i: F.element_at(F.array_sort(F.collect_list("diff")), i + 1)  # noqa: E731  (b values per pair)
+    bounds = diffs.groupBy(*K.PAIR).agg(
+        at(int(0.025 * b)).alias("ci_lower"), at(min(int(0.975 * b), b - 1)).alias("ci_upper")
+    )
+    observed = sided.groupBy(*K.PAIR).agg((side("c") - side("b")).alias("mean_diff"))
+    return observed.join(bounds, K.PAIR)
