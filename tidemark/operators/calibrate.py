@@ -77,6 +77,13 @@ def reliability_weights(stats: DataFrame, presets: DataFrame, by: Sequence[str]
     return _normalised(raw, "__raw", by, F.col("preset")).select(*by, "dim", "weight")
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows where both are present; null when one of them does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP), min_values: int = 30) -> DataFrame:
     """Spearman correlation of every two dimensions within a group, paired by run.
 
@@ -103,7 +110,7 @@ def correlations(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP), min_values
     combos = [(a, b) for i, a in enumerate(dims) for b in dims[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     wide = per_run.groupBy(*by).agg(
-        *[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"r__{a}__{b}") for a, b in combos],
+        *[_corr(F.col(a), F.col(b)).alias(f"r__{a}__{b}") for a, b in combos],
         *[F.count_if(both(a, b)).alias(f"n__{a}__{b}") for a, b in combos],
     )
     rows = F.array(
@@ -117,11 +124,10 @@ def correlations(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP), min_values
             for a, b in combos
         ]
     )
-    # A flat dimension has no correlation (null, or NaN from a zero variance).
     return (
         wide.select(*by, F.explode(rows).alias("c"))
         .select(*by, "c.*")
-        .where((F.col("n_pairs") >= min_values) & F.col("rho").isNotNull() & ~F.isnan("rho"))
+        .where((F.col("n_pairs") >= min_values) & F.col("rho").isNotNull())
     )
 
 
@@ -337,13 +343,12 @@ def learn_weights(scored: DataFrame, general: DataFrame, by: Sequence[str] = tup
         F.count("*").alias("n_total"),
         F.count_if(F.col("outcome") == "bad").alias("n_bad"),
         *[
-            F.when(F.stddev_pop(d) > 0, F.greatest(F.lit(0.0), F.corr(bad, F.col(d)))).otherwise(0.0).alias(d)
+            F.greatest(F.lit(0.0), F.coalesce(_corr(bad, F.col(d)), F.lit(0.0))).alias(d)
             for d in K.DIMS
         ],
     )
     usable = wide.where((F.col("n_total") >= min_rows) & (F.col("n_bad") > 0))
-    value = lambda d: F.when(F.isnan(d), 0.0).otherwise(F.coalesce(F.col(d), F.lit(0.0)))
-    rows = F.array(*[F.struct(F.lit(d).alias("dim"), value(d).alias("correlation")) for d in K.DIMS])
+    rows = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("correlation")) for d in K.DIMS])
     long = usable.select(*by, "n_total", "n_bad", F.explode(rows).alias("r")).select(*by, "n_total", "n_bad", "r.*")
     sums = long.groupBy(*by).agg(F.sum("correlation").alias("all_corr")).where(F.col("all_corr") > 0)
     factor = blending_factor(F.col("n_total"))

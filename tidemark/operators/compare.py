@@ -318,6 +318,10 @@ def evidence(wide: DataFrame, sequence_shift: DataFrame, outcome_shift: DataFram
         .when(F.col("seq_change") == "vanished", fs("Tool path %s dropped from %.1f%% to near 0%%", path, s_b))
         .otherwise(fs("Tool path %s %s from %.1f%% to %.1f%% of runs", path, F.col("seq_change"), s_b, s_c))
     )
+    # Java rounds halves up and drops the sign of a rounded zero; the text keeps both as they were.
+    size = lambda d, digits: fs(f"%.{digits}f", dp(F.abs(d), digits))
+    signed = lambda d, digits: F.concat(F.when(d < 0, "-").otherwise("+"), size(d, digits))
+    minus = lambda d, digits: F.concat(F.when(d < 0, "-").otherwise(""), size(d, digits))
     word = lambda d: F.when(d > 0, "increased").otherwise("decreased")
     plus = lambda d: F.when(d > 0, "+").otherwise("")
     p95b, p95c, p50b, p50c = b("p95_latency_ms"), c("p95_latency_ms"), b("p50_latency_ms"), c("p50_latency_ms")
@@ -329,7 +333,7 @@ def evidence(wide: DataFrame, sequence_shift: DataFrame, outcome_shift: DataFram
             fs("Median latency %s from %,dms to %,dms; P95 from %,dms to %,dms", word(up95), p50b, p50c, p95b, p95c),
         )
         .otherwise(
-            fs("P95 latency %s from %,dms to %,dms (%s%+.0f%%)", word(up95), p95b, p95c, plus(up95), dp(up95 / p95b * 100, 0))
+            fs("P95 latency %s from %,dms to %,dms (%s%s%%)", word(up95), p95b, p95c, plus(up95), signed(up95 / p95b * 100, 0))
         )
     )
 
@@ -338,8 +342,8 @@ def evidence(wide: DataFrame, sequence_shift: DataFrame, outcome_shift: DataFram
         delta = after - before
         return F.when(before == 0, fs(f"{zero} changed to {spec}{unit}", dp(after, digits))).otherwise(
             fs(
-                f"{label} %s from {spec} to {spec}{unit} (%s%+.0f%%)",
-                word(delta), dp(before, digits), dp(after, digits), plus(delta), dp(delta / before * 100, 0),
+                f"{label} %s from {spec} to {spec}{unit} (%s%s%%)",
+                word(delta), dp(before, digits), dp(after, digits), plus(delta), signed(delta / before * 100, 0),
             )
         )
 
@@ -347,8 +351,8 @@ def evidence(wide: DataFrame, sequence_shift: DataFrame, outcome_shift: DataFram
         before, after = b(name) * 100, c(name) * 100
         delta = after - before
         return fs(
-            f"{label} %s from %.1f%% to %.1f%%{tail} (%s%.1fpp)",
-            word(delta), dp(before, 1), dp(after, 1), plus(delta), dp(delta, 1),
+            f"{label} %s from %.1f%% to %.1f%%{tail} (%s%spp)",
+            word(delta), dp(before, 1), dp(after, 1), plus(delta), minus(delta, 1),
         )
 
     o_b, o_c = F.col("out_baseline_pct"), F.col("out_current_pct")

@@ -13,6 +13,7 @@ from tidemark.operators import distance as D
 from tidemark.operators import fingerprint as FP
 from tidemark.operators import ranks
 from tidemark.operators import select as S
+from tidemark.session import ensure_checkpoint_dir
 
 AGENT = ("session_id",)
 
@@ -163,11 +164,16 @@ def epoch_stability(tagged: DataFrame, bounds: DataFrame, by: Sequence[str] = AG
 
 
 def detect(runs: DataFrame, w: int = K.EPOCH_WINDOW, cut: float = K.EPOCH_CUT, by: Sequence[str] = AGENT) -> DataFrame:
-    """From runs to epochs. Merging only matters for windows under 20 runs and is skipped otherwise."""
+    """From runs to epochs. Merging only matters for windows under 20 runs and is skipped otherwise.
+
+    The break table is small and read several times, so it is checkpointed to the shared folder.
+    """
     positions = ordered(runs, by)
     breaks = epoch_breaks(epoch_windows(positions, w, by), w, cut, by)
     if w // 2 < 10:
         breaks = merge_breaks(breaks, by=by)
+    ensure_checkpoint_dir(runs.sparkSession)
+    breaks = breaks.select(*by, "position").checkpoint()
     return epochs(with_epoch(positions, breaks, by), by)
 
 

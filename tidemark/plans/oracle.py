@@ -15,8 +15,8 @@ P = "session_id, environment, baseline_version, current_version"
 
 
 def r(x: str, digits: int = 6) -> str:
-    """Rounded like the query side, without negative zeros."""
-    return f"CASE WHEN abs({x}) < {0.5 * 10**-digits:.{digits + 1}f} THEN 0.0 ELSE round(CAST({x} AS DOUBLE), {digits}) END"
+    """Rounded like the query side: exact ties go up on both sides, and there are no negative zeros."""
+    return f"round(CAST({x} AS DOUBLE) + 1e-10, {digits}) + 0.0"
 
 
 def clamp(x: str) -> str:

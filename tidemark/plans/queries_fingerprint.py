@@ -328,6 +328,16 @@ query("x4_union_of_keys", f"SELECT {P}, key FROM x_shares WHERE kind='bigram'")(
 
 
 # ---- epochs ------------------------------------------------------------------------------------
+# The event tables are random, so a low cut is what finds breaks in them.
+CUT = 0.05
+
+
+def _breaks(w):
+    if not hasattr(w, "_breaks"):
+        w._breaks = w.keep(epochs.epoch_breaks(epochs.epoch_windows(_positions(w)), cut=CUT), "breaks")
+    return w._breaks
+
+
 def _positions(w):
     if not hasattr(w, "_positions"):
         w._positions = w.keep(epochs.ordered(w.runs), "positions")
@@ -353,7 +363,7 @@ O.CTES["x_winshare"] = """SELECT session_id, brk, kind, key, coalesce(sum(share)
     SELECT *, 'c' AS side, window_start AS brk FROM x_winn UNION ALL SELECT *, 'b', window_start+10 FROM x_winn) GROUP BY session_id, brk, kind, key"""
 O.CTES["x_winn"] = "SELECT *, n/sum(n) OVER (PARTITION BY session_id, window_start, kind) AS share FROM x_win"
 O.CTES["x_change"] = _jsd_of("x_winshare", "session_id, brk")
-O.CTES["x_breaks"] = "SELECT session_id, brk AS position, change FROM x_change WHERE hb>0 AND hc>0 AND change>0.15"
+O.CTES["x_breaks"] = "SELECT session_id, brk AS position, change FROM x_change WHERE hb>0 AND hc>0 AND change>0.05"
 O.CTES["x_tagged"] = """SELECT p.*, (SELECT count(*) FROM x_breaks b WHERE b.session_id=p.session_id AND b.position<=p.r) AS epoch FROM x_pos p WHERE n>=40"""
 O.CTES["x_epochbounds"] = """SELECT session_id, epoch, min(r) AS start_r, count(*) AS run_count, arg_min(id, r) AS start_run_id, arg_max(id, r) AS end_run_id,
     arg_min(started_at, r) AS start_time, arg_max(completed_at, r) AS end_time FROM x_tagged GROUP BY session_id, epoch"""
@@ -368,24 +378,24 @@ O.CTES["x_epochs"] = """SELECT e.*, s.inner_change, coalesce(s.stability,'UNKNOW
 
 query("w2_epoch_windows", "SELECT session_id, window_start, kind, key, n FROM x_win")(lambda w: epochs.epoch_windows(_positions(w)))
 query("w3_epoch_breaks", f"SELECT session_id, position, {r('change')} AS change FROM x_breaks")(
-    lambda w: epochs.epoch_breaks(epochs.epoch_windows(_positions(w)))
+    lambda w: epochs.epoch_breaks(epochs.epoch_windows(_positions(w)), cut=CUT)
 )
 O.CTES["x_near"] = """SELECT session_id, position FROM (SELECT session_id, brk AS position FROM x_change WHERE hb>0 AND hc>0 AND change>0.05)"""
 query(
     "w4_merge_breaks",
     """SELECT session_id, unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(ps, lambda x: [x])), lambda acc, x: CASE WHEN len(acc)=0 OR x[1]-acc[-1]>=25 THEN list_concat(acc, x) ELSE acc END)) AS position
         FROM (SELECT session_id, list(position ORDER BY position) AS ps FROM x_near GROUP BY session_id)""",
-)(lambda w: epochs.merge_breaks(epochs.epoch_breaks(epochs.epoch_windows(_positions(w)), cut=0.05), gap=25))
+)(lambda w: epochs.merge_breaks(_breaks(w), gap=25))
 query(
     "w5_epochs",
     f"""SELECT session_id, epoch, start_r, run_count, start_run_id, end_run_id, {ts('start_time')} AS start_time, {ts('end_time')} AS end_time,
     CASE WHEN inner_change IS NULL THEN NULL ELSE {r('inner_change')} END AS inner_change, stability, label FROM x_epochs""",
-)(lambda w: epochs.epochs(epochs.with_epoch(_positions(w), epochs.epoch_breaks(epochs.epoch_windows(_positions(w))))))
+)(lambda w: epochs.epochs(epochs.with_epoch(_positions(w), _breaks(w))))
 
 
 def _found(w):
     if not hasattr(w, "_found"):
-        w._found = w.keep(epochs.detect(w.runs), "epochs")
+        w._found = w.keep(epochs.detect(w.runs, cut=CUT), "epochs")
     return w._found
 
 

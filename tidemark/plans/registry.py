@@ -21,7 +21,8 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            c = F.when(F.abs(c) < 0.5 * 10**-digits, F.lit(0.0)).otherwise(F.round(c, digits))
+            # The nudge sends exact ties up whatever order the sums were made in.
+            c = F.round(c + 1e-10, digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.DecimalType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
