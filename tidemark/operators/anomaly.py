@@ -32,35 +32,46 @@ def scaling(runs: DataFrame) -> DataFrame:
     )
 
 
-def _grow(sample: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tuple]:
-    """One isolation tree as rows (node, feature, cut, left, right, length)."""
-    rows: list[tuple] = []
-    todo = [(0, np.arange(len(sample)), 0)]
-    size = 1
-    while todo:
-        node, members, depth = todo.pop()
-        values = sample[members]
-        spread = values.max(axis=0) - values.min(axis=0) if len(members) else np.zeros(sample.shape[1])
-        usable = np.flatnonzero(spread > 0)
-        if depth >= depth_limit or len(members) <= 1 or not len(usable):
-            rows.append((node, -1, 0.0, -1, -1, depth + average_path(len(members))))
-            continue
-        feature = int(rng.choice(usable))
-        cut = float(rng.uniform(values[:, feature].min(), values[:, feature].max()))
-        left = values[:, feature] <= cut
-        rows.append((node, feature, cut, size, size + 1, 0.0))
-        todo += [(size, members[left], depth + 1), (size + 1, members[~left], depth + 1)]
-        size += 2
-    return sorted(rows)
-
-
-def average_path(n: int) -> float:
-    """Expected depth of an unsuccessful search among n points."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
+def _grow(sample: np.ndarray, rng: np.random.Generator, depth_limit: int) -> pd.DataFrame:
+    """One isolation tree as a node table, grown level by level on all nodes of a level at once."""
+    level = np.zeros(len(sample), dtype=np.int64)
+    columns: dict[str, list[np.ndarray]] = {k: [] for k in ("node", "feature", "cut", "left", "right", "length")}
+    size, depth = 1, 0
+    points = sample
+    while len(points):
+        order = np.argsort(level, kind="stable")
+        points, level = points[order], level[order]
+        nodes, starts, counts = np.unique(level, return_index=True, return_counts=True)
+        low, high = np.minimum.reduceat(points, starts), np.maximum.reduceat(points, starts)
+        usable = high > low
+        inner = usable.any(axis=1) & (depth < depth_limit)
+        # A random usable feature per node: the largest of random marks on the usable ones.
+        feature = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
+        at = np.arange(len(nodes))
+        cut = low[at, feature] + rng.random(len(nodes)) * (high[at, feature] - low[at, feature])
+        left = size + 2 * (np.cumsum(inner) - 1)
+        leaf_length = depth + average_path(counts)
+        columns["node"].append(nodes)
+        columns["feature"].append(np.where(inner, feature, -1))
+        columns["cut"].append(np.where(inner, cut, 0.0))
+        columns["left"].append(np.where(inner, left, -1))
+        columns["right"].append(np.where(inner, left + 1, -1))
+        columns["length"].append(np.where(inner, 0.0, leaf_length))
+        size += 2 * int(inner.sum())
+        depth += 1
+        which = np.repeat(at, counts)
+        goes_on = inner[which]
+        points, which = points[goes_on], which[goes_on]
+        level = left[which] + (points[np.arange(len(points)), feature[which]] > cut[which])
+    return pd.DataFrame({k: np.concatenate(v) for k, v in columns.items()})
+
+
+def average_path(n):
+    """Expected depth of an unsuccessful search among n points (a number or an array of numbers)."""
+    n = np.asarray(n, dtype=float)
+    big = np.maximum(n, 3.0)
+    long = 2.0 * (np.log(big - 1.0) + np.euler_gamma) - 2.0 * (big - 1.0) / big
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
 def forest(runs: DataFrame, trees: int = 100, sample: int = 256, seed: int = K.SEED) -> DataFrame:
@@ -84,8 +95,7 @@ def forest(runs: DataFrame, trees: int = 100, sample: int = 256, seed: int = K.S
         points = np.stack(pdf["x"].to_numpy())
         tree = int(pdf["tree"].iloc[0])
         depth = int(np.ceil(np.log2(max(len(points), 2))))
-        rows = _grow(points, np.random.default_rng([seed, tree, len(points)]), depth)
-        out = pd.DataFrame(rows, columns=["node", "feature", "cut", "left", "right", "length"])
+        out = _grow(points, np.random.default_rng([seed, tree, len(points)]), depth)
         for k in keys:
             out[k] = pdf[k].iloc[0]
         out["fitted_on"] = len(points)
@@ -95,7 +105,7 @@ def forest(runs: DataFrame, trees: int = 100, sample: int = 256, seed: int = K.S
         ", ".join(f"{g} string" for g in K.GROUP)
         + ", tree int, fitted_on int, node int, feature int, cut double, left int, right int, length double"
     )
-    return chosen.groupBy(*keys).applyInPandas(fit, schema)
+    return ranks.spread(chosen, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def _path_lengths(points: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
@@ -156,12 +166,13 @@ def score_runs(runs: DataFrame, pairs: DataFrame, trees: DataFrame) -> DataFrame
         for _, tree in nodes.groupby("tree"):
             total += _path_lengths(x, tree.sort_values("node"))
             count += 1
-        norm = average_path(int(nodes["fitted_on"].max()))
+        norm = float(average_path(nodes["fitted_on"].max()))
         out = points[[*K.PAIR, "id"]].copy()
         out["anomaly_score"] = np.round(np.power(2.0, -(total / count) / max(norm, 1e-12)), 6)
         return out
 
     schema = ", ".join(f"{c} string" for c in K.PAIR) + ", id string, anomaly_score double"
+    rows, copies = ranks.spread(rows, *keys), ranks.spread(copies, *keys)
     return rows.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(score, schema)
 
 

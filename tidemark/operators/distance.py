@@ -50,6 +50,11 @@ def jsd_table(shares: DataFrame, by: Sequence[str] = tuple(K.PAIR)) -> DataFrame
 
 def jsd_wide(shares: DataFrame, by: Sequence[str] = tuple(K.PAIR)) -> DataFrame:
     """One row per pair: decision, semantic and tool divergence and the transition distance."""
+    return shares.groupBy(*by).agg(*jsd_columns())
+
+
+def jsd_columns() -> list[Column]:
+    """Aggregates over a share table (kind, p, q) that give the four distances of one group."""
 
     def parts(kind: str) -> tuple[Column, Column, Column]:
         of_kind = lambda c: F.when(F.col("kind") == kind, c)
@@ -63,12 +68,12 @@ def jsd_wide(shares: DataFrame, by: Sequence[str] = tuple(K.PAIR)) -> DataFrame:
         return F.when(keys == 0, 0.0).when(smaller == 0, 1.0).otherwise(C.clamp01(nats / LN2))
 
     nats, smaller, _ = parts("bigram")
-    return shares.groupBy(*by).agg(
+    return [
         divergence("sequence").alias("decision_jsd"),
         divergence("outcome").alias("outcome_jsd"),
         divergence("tool").alias("tool_jsd"),
         F.when(smaller == 0, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), nats))).alias("transition_distance"),
-    )
+    ]
 
 
 def emd(runs: DataFrame, pairs: DataFrame, column: str = "latency_ms", width: float = 1024) -> DataFrame:

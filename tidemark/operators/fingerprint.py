@@ -65,23 +65,6 @@ def fp_scalar(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP)) -> DataFrame:
     return _moments(runs, by).join(_percentiles(runs, by), list(by))
 
 
-def fp_scalar_bounded(runs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The same numbers for groups whose size is capped beforehand (replicates): one aggregation."""
-    at = lambda c, p: F.expr(
-        f"element_at(array_sort(collect_list({c})), cast(least((count(1) * {p}) div 100, count(1) - 1) + 1 as int))"
-    )
-    return runs.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.avg("output_length").alias("avg_output_length"),
-        F.avg("verbosity_ratio").alias("avg_verbosity_ratio"),
-        F.avg("retry_count").alias("avg_retry_count"),
-        F.avg("time_to_first_tool_ms").alias("avg_time_to_first_tool_ms"),
-        F.avg("error_count").alias("error_rate"),
-        at("latency_ms", 95).alias("p95_latency_ms"),
-        at("loop_count", 95).alias("p95_loop_count"),
-    )
-
-
 def dist_entries(kinds: Sequence[str] = KINDS) -> Column:
     """Array of (kind, key) a run contributes to the share distributions."""
     entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))

@@ -19,6 +19,17 @@ def _before(df: DataFrame, by: Sequence[str], bucket: str, columns: Sequence[str
     return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"__before_{c}") for c in columns])
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Repartitions by columns into as many tasks as the session shuffles with (at least its cores).
+
+    For steps that multiply few rows or call Python: adaptive execution would judge their input by its
+    small size and run them in one task.
+    """
+    session = df.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
+
+
 def numbered(
     df: DataFrame,
     by: Sequence[str],

@@ -11,8 +11,6 @@ from tidemark.functions import columns as C
 from tidemark.functions import constants as K
 from tidemark.operators import compare as CM
 from tidemark.operators import distance as D
-from tidemark.operators import fingerprint as FP
-from tidemark.operators import pairs as P
 from tidemark.operators import ranks
 
 REPLICATE = [*K.PAIR, "replicate"]
@@ -40,12 +38,52 @@ def capped_sample(
     )
 
 
-def draws(sized: DataFrame, by: Sequence[str], b: int, seed: int) -> DataFrame:
-    """Draws with replacement: per group, side and replicate as many as the sample holds."""
-    rounds = sized.select(*by, "side", "sample_n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("replicate"))
-    slots = rounds.select("*", F.explode(F.expr("sequence(0, cast(sample_n as int) - 1)")).alias("slot"))
-    parts = [F.lit(seed), *[F.col(c) for c in by], F.col("side"), F.col("replicate"), F.col("slot")]
-    return slots.select(*by, "side", "replicate", C.seeded_index(parts, F.col("sample_n")).alias("idx"))
+CHUNKS = 16
+
+
+def paired_samples(sample: DataFrame, pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row per pair with both sides' samples as arrays (at most ``cap`` entries each), repeated
+    per chunk of rounds and spread, so that all rounds of a chunk are drawn and reduced in one task
+    without a further shuffle."""
+    arrays = sample.groupBy(*K.GROUP).agg(F.sort_array(F.collect_list(F.struct("idx", *fields))).alias("rows"))
+    side = lambda s: arrays.select(
+        *K.AGENT, F.col("deployment_version").alias(f"{s}_version"), F.col("rows").alias(f"{s}_rows")
+    )
+    both = (
+        pairs.select(*K.PAIR)
+        .join(side("baseline"), [*K.AGENT, "baseline_version"])
+        .join(side("current"), [*K.AGENT, "current_version"])
+    )
+    chunked = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk"))
+    return ranks.spread(chunked, *K.PAIR, "chunk")
+
+
+def _draw(samples: DataFrame, b: int, seed: int) -> DataFrame:
+    """Per pair, round and side the drawn rows: as many draws with replacement as the sample holds."""
+    sides = F.array(
+        F.struct(F.lit("b").alias("side"), F.col("baseline_rows").alias("rows")),
+        F.struct(F.lit("c").alias("side"), F.col("current_rows").alias("rows")),
+    )
+    rounds = samples.select(
+        *K.PAIR,
+        "chunk",
+        sides.alias("sides"),
+        F.explode(F.filter(F.sequence(F.lit(0), F.lit(b - 1)), lambda x: x % CHUNKS == F.col("chunk"))).alias("replicate"),
+    )
+    sided = rounds.select(*K.PAIR, "chunk", "replicate", F.explode("sides").alias("s")).select(
+        *K.PAIR, "chunk", "replicate", "s.side", "s.rows", F.size("s.rows").alias("n")
+    )
+    prefix = F.concat_ws(":", F.lit(seed), *K.PAIR, "side", "replicate")
+    picks = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1), lambda j: C.seeded_index([F.col("prefix"), j], F.col("n")).cast("int")
+    )
+    return (
+        sided.withColumn("prefix", prefix)
+        .withColumn("picks", picks)
+        .select(
+            *K.PAIR, "chunk", "replicate", "side", "n", F.transform("picks", lambda i: F.get(F.col("rows"), i)).alias("drawn")
+        )
+    )
 
 
 def bootstrap(
@@ -58,12 +96,12 @@ def bootstrap(
     """Replicates: per pair and round all twelve dimensions and the fixed-weight composite.
 
     The sample is capped per group before anything is multiplied, so the work is pairs x b x cap
-    rows whatever the size of the groups, spread by (pair, round).
+    draws whatever the size of the groups. Each round's keys and numbers go through one aggregation
+    as (kind, key, weight) rows; a key weighs one over the side's total, so sums are shares.
     """
     sample = capped_sample(runs, cap, seed).select(
         *K.GROUP,
         "idx",
-        "sample_n",
         "latency_ms",
         "loop_count",
         "output_length",
@@ -71,34 +109,52 @@ def bootstrap(
         "retry_count",
         "time_to_first_tool_ms",
         "error_count",
-        FP.dist_entries(("sequence", "outcome", "bigram")).alias("entries"),
-    )
-    sided = P.attach(sample, pairs)
-    sized = sided.where(F.col("idx") == 0).select(*K.PAIR, "side", "sample_n")
-    drawn = draws(sized, K.PAIR, b, seed).join(sided.drop("sample_n"), [*K.PAIR, "side", "idx"])
-
-    numbers = FP.fp_scalar_bounded(drawn, [*REPLICATE, "side"])
-    wide = P.pivot_sides(numbers, REPLICATE_COLUMNS, REPLICATE)
-
-    on = lambda side: F.count_if(F.col("side") == side)
-    keyed = (
-        drawn.select(*REPLICATE, "side", F.explode("entries").alias("e"))
-        .groupBy(*REPLICATE, F.col("e.kind").alias("kind"), F.col("e.key").alias("key"))
-        .agg(on("b").alias("b_n"), on("c").alias("c_n"))
-    )
-    # A replicate holds at most a few thousand keys, so its totals fit one window.
-    whole = Window.partitionBy(*REPLICATE)
-    total = lambda c, kind: F.sum(F.when(F.col("kind") == kind, F.col(c))).over(whole)
-    pick = lambda c: (
-        F.when(F.col("kind") == "sequence", total(c, "sequence"))
-        .when(F.col("kind") == "outcome", total(c, "outcome"))
-        .otherwise(total(c, "bigram"))
-    )
-    ratio = lambda c: F.when(F.col(f"t_{c}") > 0, F.col(c) / F.col(f"t_{c}")).otherwise(0.0)
-    shares = keyed.withColumn("t_b_n", pick("b_n")).withColumn("t_c_n", pick("c_n")).select(
-        *REPLICATE, "kind", "key", ratio("b_n").alias("p"), ratio("c_n").alias("q")
-    )
-    full = wide.join(D.jsd_wide(shares, REPLICATE), REPLICATE)
+        C.sequence_key(F.col("tools")).alias("sequence"),
+        F.coalesce("semantic_cluster", F.lit("cluster_none")).alias("outcome"),
+        F.transform(C.bigrams(F.col("tools")), lambda p: F.concat(p["head"], F.lit(" -> "), p["tail"])).alias("moves"),
+    )
+    drawn = _draw(paired_samples(sample, pairs, [c for c in sample.columns if c not in (*K.GROUP, "idx")]), b, seed)
+    field = lambda name: F.transform("drawn", lambda d: d[name])
+    mean = lambda name: F.aggregate(
+        "drawn", F.lit(0.0), lambda acc, d: acc + d[name].cast("double")
+    ) / F.col("n")
+    p95 = lambda name: F.get(
+        F.array_sort(field(name)), F.least(F.expr("(n * 95) div 100"), F.col("n") - 1).cast("int")
+    ).cast("double")
+    numbers = {
+        "n": F.col("n").cast("double"),
+        "avg_output_length": mean("output_length"),
+        "avg_verbosity_ratio": mean("verbosity_ratio"),
+        "avg_retry_count": mean("retry_count"),
+        "avg_time_to_first_tool_ms": mean("time_to_first_tool_ms"),
+        "error_rate": mean("error_count"),
+        "p95_latency_ms": p95("latency_ms"),
+        "p95_loop_count": p95("loop_count"),
+    }
+    with_moves = drawn.withColumn("moves", F.flatten(field("moves")))
+    entry = lambda kind, key, weight: F.struct(
+        F.lit(kind).alias("kind"), key.alias("key"), weight.alias("weight")
+    )
+    one = F.lit(1.0) / F.col("n")
+    rows = F.concat(
+        F.transform("drawn", lambda d: entry("sequence", d["sequence"], one)),
+        F.transform("drawn", lambda d: entry("outcome", d["outcome"], one)),
+        F.transform("moves", lambda m: entry("bigram", m, F.lit(1.0) / F.size("moves"))),
+        F.array(*[entry("number", F.lit(name), value) for name, value in numbers.items()]),
+    )
+    weighed = with_moves.select(*REPLICATE, "chunk", "side", F.explode(rows).alias("e")).select(
+        *REPLICATE, "chunk", "side", "e.kind", "e.key", "e.weight"
+    )
+    on = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("weight"))), F.lit(0.0))
+    shares = weighed.groupBy(*REPLICATE, "chunk", "kind", "key").agg(on("b").alias("p"), on("c").alias("q"))
+    number = lambda side, name: F.max(
+        F.when((F.col("kind") == "number") & (F.col("key") == name), F.col(side))
+    )
+    full = shares.groupBy(*REPLICATE, "chunk").agg(
+        *D.jsd_columns(),
+        *[number("p", c).alias(f"b_{c}") for c in numbers],
+        *[number("q", c).alias(f"c_{c}") for c in numbers],
+    )
     scores = CM.dimension_scores(with_emd=False)
     return full.select(
         *REPLICATE,
@@ -161,15 +217,18 @@ def bootstrap_mean_diff(
     runs: DataFrame, pairs: DataFrame, column: str = "latency_ms", b: int = 1000, cap: int = K.BOOTSTRAP_CAP, seed: int = K.SEED
 ) -> DataFrame:
     """Observed difference of means and its resampled 95 % bounds, read by index."""
-    sample = capped_sample(runs.where(F.col(column).isNotNull()), cap, seed).select(*K.GROUP, "idx", "sample_n", column)
-    sided = P.attach(sample, pairs)
-    sized = sided.where(F.col("idx") == 0).select(*K.PAIR, "side", "sample_n")
-    drawn = draws(sized, K.PAIR, b, seed).join(sided.drop("sample_n"), [*K.PAIR, "side", "idx"])
-    side = lambda s: F.avg(F.when(F.col("side") == s, F.col(column)))
-    diffs = drawn.groupBy(*REPLICATE).agg((side("c") - side("b")).alias("diff")).where(F.col("diff").isNotNull())
+    sample = capped_sample(runs.where(F.col(column).isNotNull()), cap, seed).select(*K.GROUP, "idx", column)
+    samples = paired_samples(sample, pairs, [column])
+    total = lambda rows: F.aggregate(rows, F.lit(0.0), lambda acc, d: acc + d[column].cast("double"))
+    means = _draw(samples, b, seed).select(*REPLICATE, "chunk", "side", (total("drawn") / F.col("n")).alias("mean"))
+    on = lambda side: F.max(F.when(F.col("side") == side, F.col("mean")))
+    diffs = means.groupBy(*REPLICATE, "chunk").agg((on("c") - on("b")).alias("diff"))
     at = lambda i: F.element_at(F.array_sort(F.collect_list("diff")), i + 1)  # noqa: E731  (b values per pair)
     bounds = diffs.groupBy(*K.PAIR).agg(
         at(int(0.025 * b)).alias("ci_lower"), at(min(int(0.975 * b), b - 1)).alias("ci_upper")
     )
-    observed = sided.groupBy(*K.PAIR).agg((side("c") - side("b")).alias("mean_diff"))
+    observed = samples.where(F.col("chunk") == 0).select(
+        *K.PAIR,
+        (total("current_rows") / F.size("current_rows") - total("baseline_rows") / F.size("baseline_rows")).alias("mean_diff"),
+    )
     return observed.join(bounds, K.PAIR)

@@ -222,4 +222,5 @@ def sql(body: str) -> str:
         place(name)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in sorted(order, key=order.index)) + "\n" + body
+    form = lambda n: f"{n} AS ({CTES[n]})" if n.startswith("x_rec_") else f"{n} AS MATERIALIZED ({CTES[n]})"
+    return "WITH RECURSIVE " + ",\n".join(form(n) for n in order) + "\n" + body

@@ -470,14 +470,35 @@ def cuts(w):
     return calibrate.dim_thresholds(stats(w), quantiles(w))
 
 
-query("c6_t_quantiles")(quantiles)
-query("c6_dim_thresholds")(lambda w: calibrate.dim_thresholds(stats(w), quantiles(w)))
-query("c7_composite_thresholds")(lambda w: calibrate.composite_thresholds(cuts(w), redist(w), sizes(w), "strict"))
+# Student's t for whole degrees of freedom has a closed form (a finite sum of powers of the cosine);
+# the quantile is found by bisection in a recursive expression.
+EVEN = "sin(th)*list_sum(list_transform(range(0, df//2), lambda k: exp(lgamma(k+0.5::DOUBLE)-lgamma(0.5::DOUBLE)-lgamma(k+1.0::DOUBLE))*pow(cos(th), 2*k)))"
+ODD = "2/pi()*(th+CASE WHEN df=1 THEN 0.0 ELSE sin(th)*cos(th)*list_sum(list_transform(range(0, (df-1)//2), lambda k: exp(lgamma(k+1.0::DOUBLE)+lgamma(1.5::DOUBLE)-lgamma(k+1.5::DOUBLE))*pow(cos(th), 2*k))) END)"
+STEP = f"""SELECT df, level, prob, CASE WHEN cdf<prob THEN mid ELSE lo END, CASE WHEN cdf<prob THEN hi ELSE mid END, i+1 FROM (
+    SELECT *, 0.5+0.5*(CASE WHEN df%2=0 THEN {EVEN} ELSE {ODD} END) AS cdf FROM (SELECT *, (lo+hi)/2 AS mid, atan((lo+hi)/2/sqrt(df)) AS th FROM x_rec_t WHERE i<64))"""
+LEVELS = values(list(K.THRESHOLD_PROBS.items()), "level, prob")
+O.CTES["x_sized"] = f"SELECT g.*, greatest(1, g.n-1) AS df FROM (SELECT {G}, count(*) AS n FROM x_runs GROUP BY {G}) g"
+O.CTES["x_rec_t"] = f"SELECT DISTINCT df, level, prob, 0.0::DOUBLE AS lo, 20000.0::DOUBLE AS hi, 0 AS i FROM x_sized, {LEVELS} UNION ALL {STEP}"
+O.CTES["x_t"] = "SELECT df, level, (lo+hi)/2 AS t FROM x_rec_t WHERE i=64"
+O.CTES["x_thr"] = f"""SELECT {G}, o.dim, level, coalesce(s.mean, 0.0)+t*greatest(coalesce(s.std, 0.01), 0.01) AS threshold FROM x_sized g CROSS JOIN x_order o JOIN x_t USING (df) LEFT JOIN x_stats s USING ({G}, dim)"""
+query("c6_t_quantiles", f"SELECT df, level, {r('t')} AS t FROM x_t")(
+    lambda w: calibrate.t_quantiles(w.spark, stats(w).select(F.greatest(F.lit(1), F.col("n") - 1).cast("long").alias("df")))
+)
+query("c6_dim_thresholds", f"SELECT {G}, dim, level, {r('threshold')} AS threshold FROM x_thr")(
+    lambda w: calibrate.dim_thresholds(stats(w), quantiles(w))
+)
+VOLUME = "(CASE WHEN c_n<500 THEN 1.0 WHEN c_n<2000 THEN 0.9 WHEN c_n<10000 THEN 0.8 ELSE 0.7 END)*0.75::DOUBLE"
+query(
+    "c7_composite_thresholds",
+    f"""SELECT {P}, CASE WHEN b_n<30 THEN 'preset' ELSE 'statistical' END AS method, {', '.join(f"{r(f'CASE WHEN b_n<30 THEN {cut}::DOUBLE ELSE {level.lower()}*{VOLUME} END')} AS {level.lower()}" for level, cut in K.COMPOSITE_CUTS.items())}
+    FROM x_wide LEFT JOIN (SELECT session_id, environment, deployment_version AS baseline_version, {', '.join(f"sum(threshold*weight) FILTER (level='{level}') AS {level.lower()}" for level in K.COMPOSITE_CUTS)}
+      FROM x_thr JOIN x_redist USING ({G}, dim) GROUP BY ALL) USING (session_id, environment, baseline_version)""",
+)(lambda w: calibrate.composite_thresholds(cuts(w), redist(w), sizes(w), "strict"))
 query(
     "c7_volume_factor",
     f"SELECT {G}, count(*) AS n, {r('CASE WHEN count(*)<500 THEN 1.0 WHEN count(*)<2000 THEN 0.9 WHEN count(*)<10000 THEN 0.8 ELSE 0.7 END')} AS factor FROM x_runs GROUP BY {G}",
 )(lambda w: w.runs.groupBy(*K.GROUP).agg(F.count("*").alias("n")).withColumn("factor", calibrate.volume_factor(F.col("n"))))
-query("c8_preset_fallback", f"SELECT {P}, 'preset' AS method, 0.15 AS monitor, 0.28 AS review, 0.42 AS block FROM x_wide WHERE b_n<30")(
+query("c8_preset_fallback", f"SELECT {P}, 'preset' AS method, 0.15::DOUBLE AS monitor, 0.28::DOUBLE AS review, 0.42::DOUBLE AS block FROM x_wide WHERE b_n<30")(
     lambda w: calibrate.composite_thresholds(cuts(w), redist(w), sizes(w)).where("method = 'preset'")
 )
 
