@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -16,9 +16,24 @@ from tidemark.operators import ranks
 CHUNK = 50_000
 
 
+def features() -> list[str]:
+    return [f"x_{name}" for name in C.behaviour_vector()]
+
+
 def vectors(runs: DataFrame) -> DataFrame:
-    """Behaviour vector per run as one array column."""
-    return runs.select(*K.GROUP, "id", F.array(*[v.cast("double") for v in C.behaviour_vector().values()]).alias("x"))
+    """Behaviour vector per run, one column per feature."""
+    named = [v.cast("double").alias(f"x_{name}") for name, v in C.behaviour_vector().items()]
+    return runs.select(*K.GROUP, "id", *named)
+
+
+def _scaled() -> list:
+    """Features in baseline deviations, for rows joined with ``scaling``."""
+    return [((F.col(c) - F.col("mean")[i]) / F.col("std")[i]).alias(c) for i, c in enumerate(features())]
+
+
+def _share(*parts) -> Column:
+    """A reproducible number in 0..1 from a hash of the parts."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def scaling(runs: DataFrame) -> DataFrame:
@@ -32,10 +47,13 @@ def scaling(runs: DataFrame) -> DataFrame:
     )
 
 
-def _grow(sample: np.ndarray, rng: np.random.Generator, depth_limit: int) -> pd.DataFrame:
-    """One isolation tree as a node table, grown level by level on all nodes of a level at once."""
+def _grow(sample: np.ndarray, rng: np.random.Generator, depth_limit: int) -> dict[str, np.ndarray]:
+    """One isolation tree as a node table, grown level by level on all nodes of a level at once.
+
+    Nodes are numbered in the order they are made, so a node's number is its place in the arrays.
+    """
     level = np.zeros(len(sample), dtype=np.int64)
-    columns: dict[str, list[np.ndarray]] = {k: [] for k in ("node", "feature", "cut", "left", "right", "length")}
+    columns: dict[str, list[np.ndarray]] = {k: [] for k in ("feature", "cut", "left", "right", "length")}
     size, depth = 1, 0
     points = sample
     while len(points):
@@ -51,7 +69,6 @@ def _grow(sample: np.ndarray, rng: np.random.Generator, depth_limit: int) -> pd.
         cut = low[at, feature] + rng.random(len(nodes)) * (high[at, feature] - low[at, feature])
         left = size + 2 * (np.cumsum(inner) - 1)
         leaf_length = depth + average_path(counts)
-        columns["node"].append(nodes)
         columns["feature"].append(np.where(inner, feature, -1))
         columns["cut"].append(np.where(inner, cut, 0.0))
         columns["left"].append(np.where(inner, left, -1))
@@ -63,7 +80,7 @@ def _grow(sample: np.ndarray, rng: np.random.Generator, depth_limit: int) -> pd.
         goes_on = inner[which]
         points, which = points[goes_on], which[goes_on]
         level = left[which] + (points[np.arange(len(points)), feature[which]] > cut[which])
-    return pd.DataFrame({k: np.concatenate(v) for k, v in columns.items()})
+    return {k: np.concatenate(v) for k, v in columns.items()}
 
 
 def average_path(n):
@@ -74,50 +91,63 @@ def average_path(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
+TREES_PER_TASK = 10
+NODE = ["feature", "cut", "left", "right", "length"]
+
+
 def forest(runs: DataFrame, trees: int = 100, sample: int = 256, seed: int = K.SEED) -> DataFrame:
-    """Trees per group: (group, tree, node, feature, cut, left, right, length).
+    """Trees per group, one row each: (group, tree, fitted_on) and a node table as arrays.
 
-    A group first gives a pool of its rows with the smallest hashes (at most trees x sample); every
-    tree then draws its rows from the pool, so a huge group is not multiplied by the tree count.
+    Sampling is a filter on hashes and needs no sort: a huge group first keeps a random pool of about
+    ``trees x sample`` rows, every tree keeps about twice its sample of the pool, and the tree's task
+    takes the ``sample`` rows with the smallest hashes. A task sees one block of trees of one group.
     """
-    order = [F.md5(F.concat_ws(":", F.lit(seed), "id")), F.col("id")]
-    pool = ranks.newest(vectors(runs), K.GROUP, order, trees * sample, F.col("id"))
-    scaled = pool.join(scaling(runs).where(F.col("group_n") >= 30), K.GROUP).select(
-        *K.GROUP, "id", F.expr("transform(x, (v, i) -> (v - mean[i]) / std[i])").alias("x")
+    pool_size = float(trees * sample)
+    pooled = (
+        vectors(runs)
+        .join(scaling(runs).where(F.col("group_n") >= 30), K.GROUP)
+        .where(_share(F.lit(seed), F.col("id")) * F.col("group_n") < pool_size)
+        .select(*K.GROUP, "id", "group_n", *_scaled())
+    )
+    mark = _share(F.lit(seed + 1), F.col("tree"), F.col("id"))
+    chosen = (
+        pooled.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        .withColumn("mark", mark)
+        .where(F.col("mark") * F.least(F.col("group_n"), F.lit(pool_size)) < 2.0 * sample)
+        .withColumn("block", F.floor(F.col("tree") / TREES_PER_TASK).cast("int"))
+        .drop("group_n")
     )
-    per_tree = scaled.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    w = Window.partitionBy(*K.GROUP, "tree").orderBy(F.xxhash64(F.lit(seed), "tree", "id"), "id")
-    chosen = per_tree.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= sample)
-    keys = [*K.GROUP, "tree"]
+    keys = [*K.GROUP, "block"]
+    columns = features()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        points = np.stack(pdf["x"].to_numpy())
-        tree = int(pdf["tree"].iloc[0])
-        depth = int(np.ceil(np.log2(max(len(points), 2))))
-        out = _grow(points, np.random.default_rng([seed, tree, len(points)]), depth)
-        for k in keys:
+        grown = []
+        for tree, rows in pdf.groupby("tree", sort=True):
+            points = rows.sort_values(["mark", "id"])[columns].to_numpy()[:sample]
+            depth = int(np.ceil(np.log2(max(len(points), 2))))
+            nodes = _grow(points, np.random.default_rng([seed, int(tree), len(points)]), depth)
+            grown.append({"tree": int(tree), "fitted_on": len(points), **nodes})
+        out = pd.DataFrame(grown)
+        for k in K.GROUP:
             out[k] = pdf[k].iloc[0]
-        out["fitted_on"] = len(points)
-        return out[[*keys, "fitted_on", "node", "feature", "cut", "left", "right", "length"]]
+        return out[[*K.GROUP, "tree", "fitted_on", *NODE]]
 
     schema = (
         ", ".join(f"{g} string" for g in K.GROUP)
-        + ", tree int, fitted_on int, node int, feature int, cut double, left int, right int, length double"
+        + ", tree int, fitted_on int, feature array<int>, cut array<double>, left array<int>, right array<int>, length array<double>"
     )
     return ranks.spread(chosen, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
-def _path_lengths(points: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
-    feature, cut = nodes["feature"].to_numpy(), nodes["cut"].to_numpy()
-    left, right, length = nodes["left"].to_numpy(), nodes["right"].to_numpy(), nodes["length"].to_numpy()
+def _path_lengths(points: np.ndarray, feature, cut, left, right, length) -> np.ndarray:
     at = np.zeros(len(points), dtype=np.int64)
+    row = np.arange(len(points))
     while True:
         f = feature[at]
         inner = f >= 0
         if not inner.any():
             return length[at]
-        goes_left = points[np.arange(len(points)), np.where(inner, f, 0)] <= cut[at]
+        goes_left = points[row, np.where(inner, f, 0)] <= cut[at]
         at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
 
 
@@ -128,26 +158,25 @@ def score_runs(runs: DataFrame, pairs: DataFrame, trees: DataFrame) -> DataFrame
     chunk and one forest (a few megabytes), never a whole side.
     """
     current = pairs.withColumnRenamed("current_version", "deployment_version")
-    sizes = runs.groupBy(*K.GROUP).agg(F.count("*").alias("n"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("int")
+    scale = scaling(runs)
+    sizes = scale.select(*K.GROUP, F.col("group_n").alias("n"))
     plan = (
         current.join(sizes, K.GROUP)
         .where(F.col("n") >= 5)
-        .withColumn("chunks", chunks)
+        .withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("int"))
         .select(*K.GROUP, "baseline_version", "chunks")
     )
-    scale = scaling(runs).withColumnRenamed("deployment_version", "baseline_version").where(F.col("group_n") >= 30)
-    with_plan = plan.join(scale.drop("group_n"), [*K.AGENT, "baseline_version"])
+    usable = scale.where(F.col("group_n") >= 30).withColumnRenamed("deployment_version", "baseline_version").drop("group_n")
     rows = (
         vectors(runs)
-        .join(with_plan, K.GROUP)
+        .join(plan.join(usable, [*K.AGENT, "baseline_version"]), K.GROUP)
         .select(
             *K.AGENT,
             "baseline_version",
             F.col("deployment_version").alias("current_version"),
             F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"),
             "id",
-            F.expr("transform(x, (v, i) -> (v - mean[i]) / std[i])").alias("x"),
+            *_scaled(),
         )
     )
     copies = (
@@ -156,19 +185,18 @@ def score_runs(runs: DataFrame, pairs: DataFrame, trees: DataFrame) -> DataFrame
         .select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         .drop("chunks")
     )
-    keys = [*K.PAIR, "chunk"]
+    keys, columns = [*K.PAIR, "chunk"], features()
 
     def score(points: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         if points.empty or nodes.empty:
             return pd.DataFrame(columns=[*K.PAIR, "id", "anomaly_score"])
-        x = np.stack(points["x"].to_numpy())
-        total, count = np.zeros(len(x)), 0
-        for _, tree in nodes.groupby("tree"):
-            total += _path_lengths(x, tree.sort_values("node"))
-            count += 1
+        x = points[columns].to_numpy()
+        total = np.zeros(len(x))
+        for arrays in zip(*[nodes[c] for c in NODE], strict=True):
+            total += _path_lengths(x, *[np.asarray(a) for a in arrays])
         norm = float(average_path(nodes["fitted_on"].max()))
         out = points[[*K.PAIR, "id"]].copy()
-        out["anomaly_score"] = np.round(np.power(2.0, -(total / count) / max(norm, 1e-12)), 6)
+        out["anomaly_score"] = np.round(np.power(2.0, -(total / len(nodes)) / max(norm, 1e-12)), 6)
         return out
 
     schema = ", ".join(f"{c} string" for c in K.PAIR) + ", id string, anomaly_score double"
