@@ -286,16 +286,26 @@ RULE_COLUMNS = {
 }
 
 
-def rules_table(spark: SparkSession, rules: list[dict] | None = None) -> DataFrame:
-    """Rules as rows; a null bound does not bind."""
+def _rule_rows(rules: list[dict]) -> Column:
+    """Rules as an array of structs; a bound left out is null and does not bind."""
     texts = ["rule_id", "observation", "likely_cause", "recommended_action"]
-    rows = [[i, *[r.get(t) for t in texts], *[r.get(c) for c in RULE_COLUMNS]] for i, r in enumerate(rules or K.HYPOTHESIS_RULES)]
-    schema = "rule_order int, " + ", ".join(f"{t} string" for t in texts) + ", " + ", ".join(f"{c} double" for c in RULE_COLUMNS)
-    return spark.createDataFrame(rows, schema)
+    return F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("rule_order"),
+                *[F.lit(rule[t]).alias(t) for t in texts],
+                *[F.lit(rule.get(c)).cast("double").alias(c) for c in RULE_COLUMNS],
+            )
+            for i, rule in enumerate(rules)
+        ]
+    )
 
 
-def hypotheses(scored: DataFrame, tool_drift: DataFrame, escalation: DataFrame, moves: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules whose bounds all hold, with the tool names filled in. Rules are few and broadcast.
+def hypotheses(
+    scored: DataFrame, tool_drift: DataFrame, escalation: DataFrame, moves: DataFrame, rules: list[dict] | None = None
+) -> DataFrame:
+    """Rules whose bounds all hold, with the tool names filled in. Each pair explodes into the rules,
+    which are configuration, so there is no join with them.
 
     ``scored``: from ``compare.drift``; ``tool_drift``: pair, tool_jsd; ``escalation``: pair,
     escalation_delta; ``moves``: from ``compare.biggest_tool_moves``.
@@ -324,7 +334,8 @@ def hypotheses(scored: DataFrame, tool_drift: DataFrame, escalation: DataFrame,
         bound = F.col(column)
         test = value >= bound if op == ">=" else value <= bound
         holds = holds & (bound.isNull() | F.coalesce(test, F.lit(False)))
-    hit = facts.join(F.broadcast(rules), holds)
+    flat = facts.select("*", F.explode(_rule_rows(rules or K.HYPOTHESIS_RULES)).alias("rule")).select("*", "rule.*")
+    hit = flat.where(holds)
     falling = F.col("rule_id").contains("decrease") | F.col("rule_id").contains("drop")
     rising = (
         F.col("rule_id").contains("increase") | F.col("rule_id").contains("rise") | F.col("rule_id").contains("escalation")

@@ -55,20 +55,37 @@ def first_owner(keywords: DataFrame, order: Sequence[str] = tuple(ORDER)) -> Dat
 
 
 def keyword_matches(words: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Which keyword occurs in which tool word. Keywords are a bounded list, so they are broadcast."""
-    return words.join(F.broadcast(keywords), F.col("word").contains(F.col("keyword")))
+    """Which keyword occurs in which tool word.
+
+    Containment as an equi-join: every distinct word gives its substrings, which meet the keywords by
+    equality. Neither side has to fit in memory and no word is compared with every keyword.
+    """
+    distinct = words.select("word").distinct()
+    size = F.length("word")
+    starts = distinct.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start")).where(size > 0)
+    pieces = starts.select("word", "start", F.explode(F.sequence(F.lit(1), size - F.col("start") + 1)).alias("len"))
+    parts = pieces.select("word", F.col("word").substr(F.col("start"), F.col("len")).alias("keyword"))
+    found = parts.join(keywords, "keyword").select("word", *keywords.columns).distinct()
+    return words.join(found, "word").select(*words.columns, *keywords.columns)
 
 
 def affix_points(tools: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:
-    """One point per matching prefix or suffix of the tool's snake-case phrase."""
+    """One point per matching prefix or suffix of the tool's snake-case phrase.
+
+    An affix is the first or last word with its underscore, so both lookups are equi-joins with the
+    fixed affix tables.
+    """
     spark = tools.sparkSession
     prefixes = spark.createDataFrame(K.PREFIX_POINTS, "affix string, use_case string")
     suffixes = spark.createDataFrame(K.SUFFIX_POINTS, "affix string, use_case string")
-    named = tools.select(*by, F.array_join(word_parts(F.col("tool")), "_").alias("name"))
-    hit = lambda table, test: named.join(F.broadcast(table), test).select(*by, "use_case")
-    hits = hit(prefixes, F.col("name").startswith(F.col("affix"))).unionByName(
-        hit(suffixes, F.col("name").endswith(F.col("affix")))
+    worded = tools.select(*by, word_parts(F.col("tool")).alias("words")).where(F.size("words") > 1)
+    ends = worded.select(
+        *by,
+        F.concat(F.element_at("words", 1), F.lit("_")).alias("head"),
+        F.concat(F.lit("_"), F.element_at("words", -1)).alias("tail"),
     )
+    hit = lambda table, end: ends.select(*by, F.col(end).alias("affix")).join(F.broadcast(table), "affix").select(*by, "use_case")
+    hits = hit(prefixes, "head").unionByName(hit(suffixes, "tail"))
     return hits.groupBy(*by, "use_case").agg(F.count("*").cast("double").alias("points"))
 
 

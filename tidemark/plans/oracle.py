@@ -74,14 +74,15 @@ def total(weights: dict[str, float]) -> str:
 
 CTES = {
     "x_ev": """SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, event_type, value,
-        CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
-    "x_steps": """SELECT user_id, day, list(event_type ORDER BY ts, event_id) AS tools, list(value ORDER BY ts, event_id)[1] AS first_value,
+        CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+        (row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)-1)//1000 AS part FROM events""",
+    "x_steps": """SELECT user_id, day, part, list(event_type ORDER BY ts, event_id) AS tools, list(value ORDER BY ts, event_id)[1] AS first_value,
         min(ts) AS started_at, max(ts) AS completed_at, count(*) AS tool_call_count,
         CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS cents,
         count(*) FILTER (event_type='error') AS error_count, count(*) FILTER (event_type IN ('click','view')) AS looks,
         CAST(coalesce(sum(k),0) AS BIGINT) AS prompt_tokens, CAST(sum(length(event_type))*10 AS BIGINT) AS completion_tokens,
-        CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS output_length FROM x_ev GROUP BY user_id, day""",
-    "x_runs": """SELECT user_id||'-'||day AS id, 'agent-'||(user_id%4) AS session_id,
+        CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS output_length FROM x_ev GROUP BY user_id, day, part""",
+    "x_runs": """SELECT user_id||'-'||day||CASE WHEN part>0 THEN '-'||part ELSE '' END AS id, 'agent-'||(user_id%4) AS session_id,
         'v'||(date_diff('day', DATE '2024-01-01', day)//7+1) AS deployment_version,
         CASE WHEN user_id%10=0 THEN 'unknown' ELSE 'release' END AS version_source,
         CASE WHEN user_id%7=0 THEN 'staging' ELSE 'production' END AS environment,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import constants as K
-from tidemark.operators import anomaly, calibrate, compare, decide, distance, fingerprint, resample, significance, usecase
+from tidemark.operators import anomaly, budget, calibrate, compare, decide, distance, fingerprint, resample, significance, usecase
 from tidemark.operators import pairs as pairs_ops
 from tidemark.plans import oracle as O
 from tidemark.plans.oracle import G, P, SCORES, VECTOR, clamp, r, sigmoid, values
@@ -769,7 +769,7 @@ HYPOTHESES = f"""SELECT {P}, rule_order, rule_id,
 
 def found_hypotheses(w):
     return decide.hypotheses(
-        scored(w), w.wide, decide.escalation_delta(w.dist, w.pairs), compare.biggest_tool_moves(w.dist, w.pairs), decide.rules_table(w.spark)
+        scored(w), w.wide, decide.escalation_delta(w.dist, w.pairs), compare.biggest_tool_moves(w.dist, w.pairs)
     )
 
 
@@ -778,7 +778,7 @@ query("v7_hypotheses", f"SELECT {P}, rule_order, rule_id, observation, likely_ca
 )
 query("j10_rules_with_drift", f"SELECT {P}, rule_id FROM ({HYPOTHESES})")(lambda w: found_hypotheses(w).select(*K.PAIR, "rule_id"))
 query("v11_validate_limits", "SELECT p_brand||'_limit' AS budget_key, CAST(count(*) AS VARCHAR) AS limit_text, 'unknown key' AS problem FROM part GROUP BY p_brand UNION ALL SELECT 'max_error_rate', 'high', 'not a number' FROM (SELECT 1 FROM part HAVING count(*)>0)")(
-    lambda w: __import__("tidemark.operators.budget", fromlist=["x"]).validate_limits(
+    lambda w: budget.validate_limits(
         w.table("part").groupBy(F.concat("p_brand", F.lit("_limit")).alias("budget_key")).agg(F.count("*").cast("string").alias("limit_text"))
         .unionByName(w.table("part").agg(F.count("*").alias("k")).where("k > 0").select(F.lit("max_error_rate").alias("budget_key"), F.lit("high").alias("limit_text")))
         .unionByName(w.table("part").agg(F.count("*").cast("string").alias("limit_text")).select(F.lit("max_loop_depth").alias("budget_key"), "limit_text"))

@@ -235,12 +235,10 @@ def limits(w):
 
 
 LIMIT_SQL = "(VALUES " + ", ".join(f"('{k}', '{K.BUDGET_KEYS[k]}', {v}::DOUBLE)" for k, v in LIMITS.items()) + ") l(budget_key, dimension, limit_value)"
-query(
-    "v10_budget_breaches",
-    f"""SELECT * FROM (SELECT session_id, deployment_version, budget_key, dimension, limit_value, {r('actual')} AS actual,
+BREACHES = f"""SELECT * FROM (SELECT session_id, deployment_version, budget_key, dimension, limit_value, {r('actual')} AS actual,
     CASE WHEN budget_key LIKE 'max%' AND actual>limit_value THEN 'above' WHEN budget_key LIKE 'min%' AND actual<limit_value THEN 'below' END AS direction, run_count
-    FROM ({ROLLING}) JOIN {LIMIT_SQL} USING (budget_key)) WHERE direction IS NOT NULL""",
-)(lambda w: budget.budget_breaches(budget.rolling_budget(w.runs), limits(w)))
+    FROM ({ROLLING}) JOIN {LIMIT_SQL} USING (budget_key)) WHERE direction IS NOT NULL"""
+query("v10_budget_breaches", BREACHES)(lambda w: budget.budget_breaches(budget.rolling_budget(w.runs), limits(w)))
 query(
     "j9_budgets_with_runs",
     f"SELECT id, budget_key, limit_value FROM x_runs, {LIMIT_SQL}",

@@ -14,7 +14,7 @@ from tidemark.operators import budget, fingerprint, select
 from tidemark.plans import oracle as O
 from tidemark.plans.oracle import G, r
 from tidemark.plans.queries_compare import memo
-from tidemark.plans.queries_fingerprint import limits
+from tidemark.plans.queries_fingerprint import BREACHES, limits
 from tidemark.plans.registry import query, ts
 from tidemark.sources import runs as runs_io
 from tidemark.sources import traces as traces_io
@@ -388,7 +388,7 @@ def stream_source(w):
     if not hasattr(w, "_stream_source"):
         path = fresh(w, "stream_in")
         doubled = full_runs(w).unionByName(full_runs(w).where(F.col("latency_ms") % 3 == 0))
-        # One file per version, in time order, so that batches follow the clock.
+        # Four files by time, so that a stream of single files has four batches.
         doubled.repartitionByRange(4, "started_at").sortWithinPartitions("started_at").write.parquet(path)
         w._stream_source = path
     return w._stream_source
@@ -423,17 +423,18 @@ query("r2_stream_dedupe", "SELECT deployment_version, count(*) AS n FROM x_runs
 
 def budget_stream(w):
     stream = streaming.stream_runs(w.spark, stream_source(w), 1)
-    out = drained(w, "r3", lambda o, c: streaming.stream_budgets(stream, f"{o}-runs", w.keep(limits(w), "limits"), o, c))
-    return w.spark.read.parquet(f"{out}/batch=*").groupBy(*budget.BY, "budget_key", "direction").agg(F.count("*").alias("alerts"))
+    out = drained(w, "r3", lambda o, c: streaming.stream_budgets(stream, f"{o}-state", w.keep(limits(w), "limits"), o, c))
+    return streaming.present_breaches(w.spark, out)
 
 
-query("r3_stream_budgets")(budget_stream)
+O.CTES["x_twice"] = "SELECT * FROM x_runs UNION ALL SELECT * FROM x_runs WHERE latency_ms%3=0"
+query("r3_stream_budgets", BREACHES.replace("FROM x_runs)", "FROM x_twice)"))(budget_stream)
 
 
 def watching(w):
     baseline = w.runs.where("deployment_version = 'v1'")
     stream = streaming.stream_runs(w.spark, stream_source(w), 1)
-    out = drained(w, "r4", lambda o, c: streaming.watch(stream, baseline, f"{o}-runs", o, c))
+    out = drained(w, "r4", lambda o, c: streaming.watch(stream, baseline, f"{o}-state", o, c))
     return w.spark.read.parquet(f"{out}/alerts/batch=*").groupBy(*K.AGENT).agg(F.count("*").alias("alerts"))
 
 

@@ -97,7 +97,7 @@ def list_runs(runs: DataFrame, path: str, fmt: str = "csv", offset: int = 0, lim
     """A page of a listing with the total count, as CSV or JSON."""
     chosen = S.filter_runs(runs, **filters)
     total = chosen.agg(F.count("*").alias("total_count"))
-    page = S.page(chosen, offset, limit).crossJoin(F.broadcast(total))  # one row
+    page = S.page(chosen, offset, limit).withColumn("total_count", total.scalar())
     if "tools" in page.columns:
         page = page.withColumn("tools", F.to_json("tools"))
     writer = page.coalesce(1).write.mode("overwrite")

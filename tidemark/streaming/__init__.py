@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from tidemark.functions import constants as K
 from tidemark.operators import budget as B
 from tidemark.operators import compare as CM
 from tidemark.operators import fingerprint as FP
-from tidemark.operators import select as S
+from tidemark.operators import ranks
 from tidemark.sources.runs import RUNS
 
 
@@ -70,28 +70,47 @@ def _batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, in
     )
 
 
-def stream_budgets(stream: DataFrame, runs_path: str, limits: DataFrame, out: str, checkpoint: str, window: int = 10) -> StreamingQuery:
+def _advance(batch: DataFrame, batch_id: int, state_path: str, by: Sequence[str], n: int) -> DataFrame:
+    """The newest n runs per key after this batch: the last state and the batch, cut again.
+
+    State is a table per batch id of at most n rows per key, so a batch costs its own size plus the
+    keys, never the history; a batch that is run again replaces its own table.
+    """
+    spark = batch.sparkSession
+    if batch_id > 0:
+        before = spark.read.schema(batch.schema).parquet(f"{state_path}/batch={batch_id - 1}")
+        batch = before.unionByName(batch)
+    ranks.newest_in_time(batch, by, "started_at", ["id"], n).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+    return spark.read.schema(batch.schema).parquet(f"{state_path}/batch={batch_id}")
+
+
+def stream_budgets(stream: DataFrame, state_path: str, limits: DataFrame, out: str, checkpoint: str, window: int = 10) -> StreamingQuery:
     """After each batch, budgets of the touched (agent, version) keys from their newest runs.
 
-    Batches land in folders named by their id, so a batch that is run again replaces itself.
+    Results land in folders named by the batch id: ``breaches`` and the ``touched`` keys.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")
         touched = batch.select(*B.BY).distinct()
-        seen = spark.read.schema(batch.schema).parquet(f"{runs_path}/batch=*")
-        relevant = seen.join(touched, list(B.BY), "left_semi")
+        newest = _advance(batch, batch_id, state_path, B.BY, window)
+        touched.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/touched/batch={batch_id}")
+        relevant = newest.join(touched, list(B.BY), "left_semi")
         breaches = B.budget_breaches(B.rolling_budget(relevant, window), limits)
-        breaches.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        breaches.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/breaches/batch={batch_id}")
 
     return _batches(stream, checkpoint, handle)
 
 
+def present_breaches(spark: SparkSession, out: str) -> DataFrame:
+    """Breaches in force: those of the last batch that touched each key."""
+    touched = spark.read.parquet(f"{out}/touched/batch=*").groupBy(*B.BY).agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(f"{out}/breaches/batch=*").join(touched, [*B.BY, "batch_id"], "left_semi").drop("batch_id")
+
+
 def watch(
     stream: DataFrame,
     baseline: DataFrame,
-    runs_path: str,
+    state_path: str,
     out: str,
     checkpoint: str,
     last_n: int = 20,
@@ -113,10 +132,9 @@ def watch(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")
         touched = batch.select(*K.AGENT).distinct()
-        seen = spark.read.schema(batch.schema).parquet(f"{runs_path}/batch=*").join(touched, K.AGENT, "left_semi")
-        recent = S.last_n(seen, last_n, K.AGENT).withColumn("deployment_version", F.lit(live))
+        newest = _advance(batch, batch_id, state_path, K.AGENT, last_n)
+        recent = newest.join(touched, K.AGENT, "left_semi").withColumn("deployment_version", F.lit(live))
         base_fp = spark.read.schema(fp_schema).parquet(f"{out}/baseline_fp")
         base_dist = spark.read.schema(dist_schema).parquet(f"{out}/baseline_dist")
         pairs = (
@@ -124,9 +142,7 @@ def watch(
             .join(touched, K.AGENT, "left_semi")
             .withColumn("current_version", F.lit(live))
         )
-        wide = CM.compared(
-            base_fp.unionByName(FP.fp_scalar(recent)), base_dist.unionByName(FP.fp_dist(recent)), pairs
-        )
+        wide = CM.compared(base_fp.unionByName(FP.fp_scalar(recent)), base_dist.unionByName(FP.fp_dist(recent)), pairs)
         scored = CM.drift(wide).where((F.col("current_n") >= min_runs) & (F.col("drift_score") >= threshold))
         fresh = scored.select(
             *K.AGENT, "baseline_version", F.round("drift_score", 2).alias("score"), F.col("current_n"), F.lit(batch_id).alias("batch_id")
@@ -140,4 +156,4 @@ def watch(
     return _batches(stream, checkpoint, handle)
 
 
-__all__ = ["append_runs", "stream_budgets", "stream_dedupe", "stream_runs", "watch", "windowed_fingerprints"]
+__all__ = ["append_runs", "present_breaches", "stream_budgets", "stream_dedupe", "stream_runs", "watch", "windowed_fingerprints"]
