@@ -88,11 +88,11 @@ def correlations(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP), min_values
     """Spearman correlation of every two dimensions within a group, paired by run.
 
     Ranks are computed per distinct score value, so one value shared by a third of all runs is one
-    row there. They return to the runs through a join whose rank side is repeated over salts, and
-    the 66 correlations come from one aggregation of sums.
+    row there. They return to the runs through an equi-join whose rank side has one row per key, so
+    adaptive execution can split a partition that a hot value makes large. All correlations come from
+    one aggregation of sums.
     """
     by = list(by)
-    salts = 16
     dims = [d for d in K.DIMS if d not in ("semantic_drift", "tool_sequence_transitions", "tool_sequence", "tool_distribution", "decision_drift")]
     scores = C.calibration_scores()
     keyed = runs.select(*by, "id", *[scores[d].cast("double").alias(d) for d in dims])
@@ -100,11 +100,8 @@ def correlations(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP), min_values
     flat = keyed.select(*by, "id", F.explode(long).alias("s")).select(*by, "id", "s.dim", "s.score").where(
         F.col("score").isNotNull()
     )
-    rank_rows = ranks.average_rank(flat, [*by, "dim"], "score").select(*by, "dim", "score", "avg_rank", "n")
-    salted_ranks = rank_rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    ranked = flat.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(
-        salted_ranks, [*by, "dim", "score", "salt"]
-    )
+    rank_rows = ranks.average_rank(flat, [*by, "dim"], "score").select(*by, "dim", "score", "avg_rank")
+    ranked = flat.join(rank_rows, [*by, "dim", "score"])
     at = lambda d: F.max(F.when(F.col("dim") == d, F.col("avg_rank")))
     per_run = ranked.groupBy(*by, "id").agg(*[at(d).alias(d) for d in dims])
     combos = [(a, b) for i, a in enumerate(dims) for b in dims[i + 1 :]]
