@@ -37,6 +37,12 @@ def test_sigmoid_is_anchored(spark):
         assert abs(one(spark, C.anchored_sigmoid(F.col("v"), 4.0, 0.3), v=F.lit(x)) - want) < 1e-12
 
 
+def test_printed_rounding_is_that_of_the_binary_value(spark):
+    for digits, values in {1: (1.15, 1.25, 0.05, 12.35, 99.95, 0.0), 2: (0.125, 1.005, 2.675, 0.115), 3: (0.0005, 1.0005, 0.1235), 0: (0.5, 1.5, 2.5, 7.0)}.items():
+        for v in values:
+            assert f"{one(spark, C.fixed(F.col('v'), digits), v=F.lit(v)):.{digits}f}" == f"{v:.{digits}f}", (v, digits)
+
+
 def test_severity_cuts_rise_for_small_samples(spark):
     assert one(spark, C.severity(F.col("s"), F.col("n")), s=F.lit(0.5), n=F.lit(50)) == "critical"
     assert one(spark, C.severity(F.col("s"), F.col("n")), s=F.lit(0.5), n=F.lit(15)) == "significant"

@@ -138,6 +138,25 @@ def run_quality() -> Column:
     return F.round(F.lit(0.25) * (clarity + complete + derivable + rich), 4)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x rounded to the digits a printed number shows: half to even, judged on the exact binary value.
+
+    Spark rounds the shortest decimal text of a double, so 1.15 (stored a little below) would count as
+    a tie. Where the text looks like a tie, the sign of x * 2 * 10**digits - odd decides; multiplying
+    in powers of two keeps every step exact.
+    """
+    bits = [b for b in (1024, 512, 256, 128, 64, 32, 16, 8, 4, 2) if (2 * 10**digits) & b]
+    scaled = x * F.lit(float(10**digits))
+    low = F.floor(scaled)
+    residual = x * F.lit(float(bits[0])) - (2 * low + 1).cast("double")
+    for b in bits[1:]:
+        residual = residual + x * F.lit(float(b))
+    near = F.abs(scaled - low - 0.5) < 1e-9
+    down, up = low / F.lit(float(10**digits)), (low + 1) / F.lit(float(10**digits))
+    plain = F.bround(x.cast("double"), digits)
+    return F.when(near & (residual > 0), up).when(near & (residual < 0), down).otherwise(plain)
+
+
 # ---- scores ------------------------------------------------------------------------------------
 def anchored_sigmoid(x: Column, k: float, c: float) -> Column:
     """Sigmoid moved so that 0 maps to 0, clamped to 0..1."""

@@ -307,7 +307,7 @@ def evidence(wide: DataFrame, sequence_shift: DataFrame, outcome_shift: DataFram
     full = wide.join(renamed(sequence_shift, "seq"), K.PAIR, "left").join(renamed(outcome_shift, "out"), K.PAIR, "left")
     b, c = (lambda x: F.col(f"b_{x}")), (lambda x: F.col(f"c_{x}"))
     fs = F.format_string
-    dp = lambda v, d: F.bround(v, d)
+    dp = C.fixed
     path = F.concat(
         F.lit("["), F.array_join(F.from_json(F.col("seq_key"), "array<string>"), ", "), F.lit("]")
     )
@@ -431,7 +431,7 @@ def explanation(wide: DataFrame, scored: DataFrame, tool_diff: DataFrame, thresh
     parts = F.concat_ws(" and ", part_drop, part_rise, part_latency, part_error)
     fallback = fs(
         "Drift score %.2f exceeds threshold %.2f. Review dimension breakdown and tool changes.",
-        F.bround("drift_score", 2), F.lit(threshold),
+        C.fixed(F.col("drift_score"), 2), F.lit(threshold),
     )
     text = F.when(parts == "", fallback).otherwise(F.concat(F.lit("Drift driven by "), parts, F.lit(".")))
     return joined.where(F.col("drift_score") >= threshold).select(*K.PAIR, text.alias("explanation"))

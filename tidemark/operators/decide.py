@@ -67,7 +67,7 @@ def main_cause(top: DataFrame, dims: DataFrame) -> DataFrame:
     return first.join(dims, [*K.PAIR, "dim"]).select(
         *K.PAIR,
         F.format_string(
-            "%s: %.3f (%.1f%% of drift)", F.col("dim"), F.bround("score", 3), F.bround("percent", 1)
+            "%s: %.3f (%.1f%% of drift)", F.col("dim"), C.fixed(F.col("score"), 3), C.fixed(F.col("percent"), 1)
         ).alias("cause"),
     )
 
