@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernels
 from tidemark.llm.common import shuffle_partitions, text_bytes
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]

@@ -5,14 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SPAN = 1 << 20
+SPAN = 1 << 17
 """Bytes hashed at a time: the 64-bit columns of a span stay in the processor's cache."""
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the splitmix64 finaliser)."""
-    x = x.astype(np.uint64, copy=True)
-    x += np.uint64(0x9E3779B97F4A7C15)
+    x = x + np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)

@@ -24,30 +24,26 @@ LENGTH, ANCHOR = 50, 24
 HOT = 12
 """From 2 ** 12 documents on an anchor is hot: its strings are dealt one by one, by their own hash."""
 
-PIECE = 1 << 19
-REGION_BITS = 2
-"""Buckets of regions are 2 ** 2 times as many as those of anchors, for each sorts its texts."""
+PIECE = 1 << 16
+REGION_BITS = 4
+"""Buckets of regions are 2 ** 4 times as many as those of anchors, for each sorts its texts."""
 
 BIG = np.iinfo(np.int64).max
 PLACE = (1 << 20) - 1
 
 
-def rolled(raw: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of all substrings of n bytes, by doubling; n has few set bits."""
-    width, have = 1, kernels.BYTE[raw]
-    done, out = 0, None
-    while True:
-        if n & width:
-            if out is None:
-                out, done = have, width
-            else:
-                short = len(raw) - done - width + 1
-                out = out[:short] * np.uint64(pow(int(kernels.BASE), width, 1 << 64)) + have[done : done + short]
-                done += width
-        if done == n:
-            return out
-        have = have[:-width] * np.uint64(pow(int(kernels.BASE), width, 1 << 64)) + have[width:]
-        width *= 2
+def anchor_hashes(raw: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all substrings of ``ANCHOR`` = 3 * 8 bytes, from words of 8 bytes at every place."""
+    raw = np.ascontiguousarray(raw)
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)) * kernels.BASE
+    words ^= words >> np.uint64(29)
+    n, factor = len(raw) - ANCHOR + 1, np.uint64(0xBF58476D1CE4E5B9)
+    out = words[:n] * factor
+    out += words[8 : 8 + n]
+    out ^= out >> np.uint64(31)
+    out *= factor
+    out += words[16 : 16 + n]
+    return kernels.mix(out)
 
 
 def minimum_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -73,7 +69,7 @@ def regions(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     for begin in range(0, starts, PIECE):
         end = min(begin + PIECE, starts)
         part = raw[begin : end + length - 1]
-        hashes = kernels.mix(rolled(part, ANCHOR))
+        hashes = anchor_hashes(part)
         packed = (hashes & np.uint64(~PLACE & (2**64 - 1))) | np.arange(len(hashes), dtype=np.uint64)
         place = (minimum_of(packed, length - ANCHOR + 1) & np.uint64(PLACE)).astype(np.int64)
         owner_end = np.full(end - begin, 0, np.int64)
@@ -93,7 +89,8 @@ def regions(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
         first = np.flatnonzero(new)
         firsts.append(first + begin)
         counts.append(np.flatnonzero(stop) - first + 1)
-        anchors.append(hashes[place[first]])
+        # The smallest hashes crowd at the low end: mixed again, they spread over all buckets.
+        anchors.append(kernels.mix(hashes[place[first]]))
     first = np.concatenate(firsts)
     return first, np.concatenate(counts), np.concatenate(anchors), np.searchsorted(at, first, "right") - 1
 
