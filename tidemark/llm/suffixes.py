@@ -104,9 +104,10 @@ def anchor_kernel(length: int):
 
 
 class Dealt:
-    """The regions of a batch that other documents may share, and where each goes. The same for a second reading."""
+    """The regions of a batch that other documents may share, and where each goes. The same for a second reading: rows are sorted first, since a shuffle delivers them in any order."""
 
     def __init__(self, batch: pa.Table, classes: Callable[[np.ndarray], np.ndarray], sizes: Sizes, length: int) -> None:
+        batch = self.batch = batch.sort_by([("id", "ascending"), ("text", "ascending")])
         self.raw, self.at, self.ids = parts(batch)
         known = batch.column("id").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
         first, count, anchor, owner = regions(self.raw, self.at, length)
@@ -283,6 +284,7 @@ def send(batch: pa.Table, classes: Callable, sizes: Sizes, length: int) -> pa.Ta
 def mark(batch: pa.Table, classes: Callable, replies: pa.Table, sizes: Sizes, length: int) -> pa.Table:
     """Removed bytes of every document of a batch, from the answers to its regions."""
     dealt = Dealt(batch, classes, sizes, length)
+    batch = dealt.batch
     order = np.argsort(replies.column("bucket").to_numpy()) if replies.num_rows else []
     joined = lambda c, kind: np.frombuffer(b"".join(replies.column(c)[int(i)].as_py() for i in order), kind)
     first, masks = joined("first", "<i8"), joined("masks", "<u4")
