@@ -23,6 +23,7 @@ from tidemark.llm.common import shuffle_partitions, text_bytes
 
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
+FINE_BYTES = 3 << 18
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 """(bytes, places, ids) of a batch to (hash, document) of what is to be counted; pairs may repeat."""
@@ -50,6 +51,7 @@ class Sizes:
     n_batches: int
     bucket_bits: int
     hash_bits: int
+    fine_bits: int
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.hash_bits)
@@ -82,17 +84,23 @@ class Sizes:
             }
         )
 
-    def classes_of(self, kernel: Kernel, batch: pa.Table, replies: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
-        """A function from hashes that the batch holds to their classes."""
-        keys, _ = self.held(kernel, batch)
+    def classes_of(self, replies: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from hashes that a batch holds to their classes."""
         order = np.argsort(replies.column("bucket").to_numpy()) if replies.num_rows else []
-        data = replies.column("classes")
-        classes = np.frombuffer(b"".join(data[int(i)].as_py() for i in order), np.uint8)
-        return lambda hashes: classes[np.searchsorted(keys, self.keys(hashes))] if len(hashes) else np.zeros(0, np.uint8)
+        keys = [unpack(replies.column("keys")[int(i)].as_py()) for i in order]
+        known = np.concatenate([*keys, np.full(1, 2**64 - 1, np.uint64)])
+        classes = np.frombuffer(b"".join([*(replies.column("classes")[int(i)].as_py() for i in order), b"\0"]), np.uint8)
+
+        def lookup(hashes: np.ndarray) -> np.ndarray:
+            asked = self.keys(hashes)
+            at = np.searchsorted(known[:-1], asked)
+            return np.where(known[at] == asked, classes[at], np.uint8(0))
+
+        return lookup
 
 
 def answer(sent: pa.Table) -> pa.Table:
-    """Adds up a bucket's counts over all batches; the classes of each row's keys, in its order."""
+    """Adds up a bucket's counts over all batches; tells each batch which of its keys several documents hold, and their classes."""
     rows = [unpack(x) for x in sent.column("keys").to_pylist()]
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in sent.column("counts").to_pylist()]).astype(np.int64)
     keys = np.concatenate(rows)
@@ -102,9 +110,13 @@ def answer(sent: pa.Table) -> pa.Table:
     total = np.add.reduceat(counts[order], first)
     classes = np.empty(len(keys), np.uint8)
     classes[order] = np.repeat(np.ceil(np.log2(total)).astype(np.uint8), np.diff(np.append(first, len(keys))))
-    ends = np.cumsum([len(r) for r in rows])
-    told = [classes[e - len(r) : e].tobytes() for r, e in zip(rows, ends, strict=True)]
-    return pa.table({"batch": sent.column("batch"), "bucket": sent.column("bucket"), "classes": pa.array(told, pa.binary())})
+    told_keys, told, end = [], [], 0
+    for row in rows:
+        own = classes[end : end + len(row)]
+        end += len(row)
+        told_keys.append(pack(row[own > 0]))
+        told.append(own[own > 0].tobytes())
+    return pa.table({"batch": sent.column("batch"), "bucket": sent.column("bucket"), "keys": pa.array(told_keys, pa.binary()), "classes": pa.array(told, pa.binary())})
 
 
 class Exchange:
@@ -115,6 +127,8 @@ class Exchange:
         self.sizes = Sizes(
             n_batches=max(2 * least, math.ceil(total / BATCH_BYTES)),
             bucket_bits=max(1, math.ceil(math.log2(max(least, total / BUCKET_BYTES)))),
+            # For buckets that need much memory for each byte.
+            fine_bits=max(1, math.ceil(math.log2(max(least, total / FINE_BYTES)))),
             # So many bits that about one in a thousand hashes meets another by chance.
             hash_bits=min(64, max(32, max(1, total).bit_length() + 10)),
         )
@@ -122,17 +136,17 @@ class Exchange:
         self.texts = narrow.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(self.sizes.n_batches)).cast("int"))
 
     def counted(self, kernel: Kernel) -> DataFrame:
-        """(batch, bucket, classes): for each key of the batch in that bucket 0 if one document holds it, else the
-        base-2 logarithm of their number, rounded up."""
+        """(batch, bucket, keys, classes): the keys of the batch in that bucket that several documents hold, and for
+        each the base-2 logarithm of their number, rounded up."""
         sizes = self.sizes
         sent = self.texts.groupBy("batch").applyInArrow(lambda batch: sizes.send(kernel, batch), "batch int, bucket int, keys binary, counts binary")
-        return sent.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, classes binary")
+        return sent.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, keys binary, classes binary")
 
     def told(self, kernel: Kernel, finish: Callable[[pa.Table, Callable], pa.Table], schema: str) -> DataFrame:
         """``finish(texts, classes)`` for every batch."""
         sizes = self.sizes
         replies = self.counted(kernel).groupBy("batch")
-        return self.texts.groupBy("batch").cogroup(replies).applyInArrow(lambda batch, told: finish(batch, sizes.classes_of(kernel, batch, told)), schema)
+        return self.texts.groupBy("batch").cogroup(replies).applyInArrow(lambda batch, told: finish(batch, sizes.classes_of(told)), schema)
 
 
 def parts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,9 +25,6 @@ HOT = 12
 """From 2 ** 12 documents on an anchor is hot: its strings are dealt one by one, by their own hash."""
 
 PIECE = 1 << 16
-REGION_BITS = 4
-"""Buckets of regions are 2 ** 4 times as many as those of anchors, for each sorts its texts."""
-
 BIG = np.iinfo(np.int64).max
 PLACE = (1 << 20) - 1
 
@@ -121,7 +118,7 @@ class Dealt:
             keys = np.array([int.from_bytes(hashlib.blake2b(self.raw[p : p + length].tobytes(), digest_size=8).digest(), "little") for p in inner], np.uint64)
             first, count = np.concatenate([first[~hot], inner]), np.concatenate([count[~hot], np.ones(len(inner), np.int64)])
             anchor, owner = np.concatenate([anchor[~hot], keys]), np.concatenate([owner[~hot], np.repeat(owner[hot], many)])
-        bucket = (anchor >> np.uint64(64 - sizes.bucket_bits - REGION_BITS)).astype(np.int64)
+        bucket = (anchor >> np.uint64(64 - sizes.fine_bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         self.first, self.count, self.owner, self.bucket = first[order], count[order], owner[order], bucket[order]
         data, place, seen = self.raw.tobytes(), np.empty(len(order), np.int64), {}
@@ -152,20 +149,31 @@ class RunLengthIndex:
     def __init__(self, text: np.ndarray, document: np.ndarray, valid: np.ndarray, length: int) -> None:
         n = len(text)
         cyclic = np.concatenate([text, np.resize(text, length + 8)])
-        rank = np.zeros(n, np.uint64)
-        for k in range(8):
+        bits = np.uint64(n.bit_length())
+        places, low = np.arange(n, dtype=np.uint64), np.uint64((1 << n.bit_length()) - 1)
+
+        def ordered(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+            """Rows by key (of ``width`` bits), and the dense rank of every key. Place and key share a word where both fit."""
+            if width + int(bits) <= 64:
+                ranked = np.sort((key << bits) | places)
+                order, ranked = (ranked & low).astype(np.int64), ranked >> bits
+            else:
+                order = np.argsort(key)
+                ranked = key[order]
+            dense = np.empty(n, np.uint64)
+            dense[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
+            return order, dense
+
+        rank, reach = np.zeros(n, np.uint64), 5
+        for k in range(reach):
             rank = (rank << np.uint64(8)) | cyclic[k : k + n].astype(np.uint64)
-        order = np.argsort(rank)
-        rank, width = self._dense(rank, order), 8
-        while True:
-            step = min(width, length - width)
-            key = rank.astype(np.uint64) * np.uint64(n) + rank[(np.arange(n) + step) % n].astype(np.uint64)
-            order = np.argsort(key)
-            rank, width = self._dense(key, order), width + step
-            if width >= length:
-                break
+        order, rank = ordered(rank, 8 * reach)
+        while reach < length:
+            step = min(reach, length - reach)
+            order, rank = ordered((rank << bits) | np.roll(rank, -step), 2 * int(bits))
+            reach += step
         sorted_rank = rank[order]
-        self.class_of = sorted_rank  # by row; classes are numbered in the order of rows
+        self.class_of = sorted_rank.astype(np.int64)  # by row; classes are numbered in the order of rows
         self.class_start = np.flatnonzero(np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]]))
         before = text[(order - 1) % n]
         # Only whole strings inside a region count as occurrences.
@@ -182,13 +190,6 @@ class RunLengthIndex:
         self.head = heads[by_head]
         self.symbol_start = np.searchsorted(np.sort(text), np.arange(257))
 
-    @staticmethod
-    def _dense(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-        ranked = key[order]
-        out = np.empty(len(key), np.int64)
-        out[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
-        return out
-
     def step(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Rows where the strings begin that have ``symbol`` in front of those at ``row``."""
         at = np.searchsorted(self.run_key, symbol * self.n + row, "left") - 1
@@ -291,12 +292,12 @@ def mark(batch: pa.Table, classes: Callable, replies: pa.Table, sizes: Sizes, le
     own = dealt.ids[dealt.owner]
     later = own > first[dealt.place] if len(own) else np.zeros(0, bool)
     mask = np.where(later, np.uint32(0xFFFFFFFF), masks[dealt.place]) if len(own) else np.zeros(0, np.uint32)
-    steps = np.zeros(len(dealt.raw) + 1, np.int32)
+    starts = np.zeros(len(dealt.raw) + length, np.int32)  # removed strings that start here, then those that started so far
     for k in range(int(dealt.count.max()) if len(own) else 0):
         hit = (dealt.count > k) & ((mask >> np.uint32(k)) & np.uint32(1)).astype(bool)
-        np.add.at(steps, dealt.first[hit] + k, 1)
-        np.add.at(steps, dealt.first[hit] + k + length, -1)
-    gone = np.cumsum(steps[:-1]) > 0
+        starts[dealt.first[hit] + k + length] = 1  # a region's strings are nobody else's
+    np.cumsum(starts, out=starts)
+    gone = starts[length:] > starts[: len(dealt.raw)]
     at, raw = dealt.at, dealt.raw
     rising = gone.copy()
     rising[1:] &= ~gone[:-1]
@@ -348,16 +349,16 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     sizes = exchange.sizes
     counted = exchange.counted(kernel)
     regions_sent = exchange.texts.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(
-        lambda batch, told: send(batch, sizes.classes_of(kernel, batch, told), sizes, length) if batch.num_rows else EMPTY,
+        lambda batch, told: send(batch, sizes.classes_of(told), sizes, length) if batch.num_rows else EMPTY,
         "batch int, bucket int, data binary, widths binary, docs binary",
     )
     answers = regions_sent.groupBy("bucket").applyInArrow(lambda t: answer(t, length), "batch int, bucket int, first binary, masks binary")
     blank = F.lit(None).cast("binary")
-    told = counted.select("batch", "bucket", "classes", blank.alias("first"), blank.alias("masks")).union(answers.select("batch", "bucket", blank, "first", "masks"))
+    told = counted.select("batch", "bucket", "keys", "classes", blank.alias("first"), blank.alias("masks")).union(answers.select("batch", "bucket", blank, blank, "first", "masks"))
 
     def finish(batch: pa.Table, told: pa.Table) -> pa.Table:
         is_class = told.column("classes").is_valid()
-        classes = sizes.classes_of(kernel, batch, told.filter(is_class))
+        classes = sizes.classes_of(told.filter(is_class))
         return mark(batch, classes, told.filter(pa.compute.invert(is_class)), sizes, length)
 
     marked = exchange.texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
