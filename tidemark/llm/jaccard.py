@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,10 @@ from tidemark.llm.common import connected_components, keep, query, table
 from tidemark.llm.exchange import Exchange, parts
 
 WORDS, PERCENT = 5, 75
-PIVOTS = 3
-"""A document measures its distance to so many pivots of its regions before it takes the nearest; links that this misses are found by the join of regions."""
+BIN = 0.05
+"""Points of a region are put in bins of this width by their distance to the pivot; windows are ranges of bins."""
+BLOCK_HASHES = 150_000
+"""Blocks of points that a task compares hold about so many hashes (one point at least)."""
 
 
 def shingle_kernel(n_words: int):
@@ -74,12 +76,13 @@ def sets(docs: DataFrame, id_col: str, text: str, n_words: int, percent: int) ->
                 "n": pa.array(sizes.astype(np.int64)),
                 "name_a": pa.array(names[0].view(np.int64)),
                 "name_b": pa.array(names[1].view(np.int64)),
+                "centre": pa.array(np.bincount(owners, weights=rank, minlength=n) / np.maximum(sizes, 1)),
                 "prefix": pa.array(prefixes, pa.list_(pa.int64())),
                 "packed": pa.array(packed, pa.binary()),
             }
         )
 
-    return exchange.told(kernel, finish, "uid long, content long, id long, n long, name_a long, name_b long, prefix array<long>, packed binary")
+    return exchange.told(kernel, finish, "uid long, content long, id long, n long, name_a long, name_b long, centre double, prefix array<long>, packed binary")
 
 
 def content_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -111,21 +114,53 @@ def is_link(percent: int):
     return 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks."""
+    index = np.concatenate(a)
+    owner = np.repeat(np.arange(len(a)), [len(x) for x in a])
+    order = np.argsort(index)
+    index, owner = index[order], owner[order]
+    out = np.zeros((len(b), len(a)), np.int64)
+    for i, x in enumerate(b):
+        low, high = np.searchsorted(index, x, "left"), np.searchsorted(index, x, "right")
+        many = high - low
+        hit = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out[i] = np.bincount(owner[hit], minlength=len(a))
+    return out.T
+
+
+def new_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of roots that a pair of points of two blocks links; of equal pairs one."""
+    for record in batches:
+        for row in record.to_pylist():
+            left, right = ([(p["root"], p["n"], np.frombuffer(p["packed"], "<u8")) for p in row[side]] for side in ("some", "every"))
+            roots_a, roots_b = np.array([p[0] for p in left]), np.array([p[0] for p in right])
+            if len(np.unique(np.concatenate([roots_a, roots_b]))) < 2:
+                continue
+            both = common_counts([p[2] for p in left], [p[2] for p in right])
+            union = np.array([p[1] for p in left])[:, None] + np.array([p[1] for p in right])[None, :] - both
+            i, j = np.nonzero((100 * both >= percent * union) & (roots_a[:, None] != roots_b[None, :]))
+            found = np.unique(np.sort(np.column_stack([roots_a[i], roots_b[j]]), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles`` and ``component_id``.
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` and ``content`` (a hash of the text).
 
     Two documents link when their Jaccard distance is at most r = 1 - percent / 100. The distance is a metric, and:
 
     1. Documents that hold one set are one point.
-    2. Pivots of one shingle: a point belongs to the regions of its rarest shingles, as many as it needs so that
-       partners meet in one of them (``sets``). Points with pivots of whole documents alone would not do: random
-       texts have distance 1 to all of them.
-    3. In each region a document is the pivot; points within r of their nearest pivot form its cell, at once
-       linked, so a group of n near copies costs n measurements and not n * n.
-    4. Cells that meet in a region and are not linked yet are joined by their pivots: nothing in cells of radii
-       s and t can link unless the pivots are within r + s + t; then only points beyond distance - r - t of
-       their own pivot (the window of the triangle inequality) are measured against the other pivot, and those
-       that may still have partners there against the points in the window of the other cell.
+    2. A point belongs to the cells of its rarest shingles, as many as it needs so that partners meet in one of
+       them (``sets``). Each cell takes the most central of its points (whose shingles most others hold) as
+       pivot; cells with one pivot are its region. So partners meet in a region, and a point measures its
+       distance to the pivots of its regions only. (Voronoi regions of freely chosen pivots would not do: random
+       texts have distance 1 to all of them, so every window would hold every point.)
+    3. Points within r of a pivot are linked to it, so n near copies cost n measurements, not n * n.
+    4. In a region that holds points not linked yet, these are joined with the points in their window: by the
+       triangle inequality partners' distances to the pivot differ by r at most. Points lie in bins by that
+       distance, bins are cut into blocks, and a task compares two blocks and returns links between
+       components, never pairs of points. This is exact: nothing is left out but what the inequality excludes
+       and what is linked already.
     5. Links make components; the smallest id names each.
 
     Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id with one text are one
@@ -133,57 +168,38 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_words: i
     component; if all of its component lack ids, ``component_id`` is null. Extra columns are not looked at.
     """
     radius = 1 - percent / 100
-    slack = 1e-9  # windows are rounded outwards; links are decided in whole numbers
     every = keep(sets(docs, id_col, text, n_words, percent), "sets")
     able = every.where("packed is not null")
     points = keep(able.groupBy("n", "name_a", "name_b").agg(F.min("uid").alias("point")), "points")
     copies = keep(able.select("uid", "n", "name_a", "name_b").distinct().join(points, ["n", "name_a", "name_b"]).select("uid", "point"), "copies")
     members = able.join(points.select(F.col("point").alias("uid")), "uid", "left_semi").dropDuplicates(["uid"])
-    members = keep(members.select("uid", "n", "prefix", "packed"), "members")
-    keys = keep(members.select("uid", F.explode("prefix").alias("key")), "keys")
-
-    pivots = keep(keys.groupBy("key").agg(F.min("uid").alias("pivot"), F.max("uid").alias("other")).where("pivot != other").select("key", "pivot"), "pivots")
-    tried = keys.join(pivots, "key").where("uid != pivot").groupBy("uid", "pivot").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("uid").orderBy(F.desc("n"), "pivot")
-    tried = tried.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PIVOTS).select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
-    near = measured(tried, members).where(is_link(percent))
-    links = near.select("a", "b")
-    nearest = keep(near.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", F.col("m.b").alias("pivot"), "m.distance"), "nearest")
-    centres = keep(nearest.select(F.col("pivot").alias("uid")).distinct().withColumn("centre", F.lit(True)), "centres")
-    roots = connected_components(links)
-    cells = members.select("uid").join(centres, "uid", "left").join(nearest.withColumnRenamed("a", "uid"), "uid", "left")
-    inside = F.col("centre").isNull() & F.col("pivot").isNotNull()
-    cells = cells.select("uid", F.when(inside, F.col("pivot")).otherwise(F.col("uid")).alias("cell"), F.when(inside, F.col("distance")).otherwise(0.0).alias("own"))
-    cells = cells.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "cell", "own", F.coalesce("root", "uid").alias("root"))
-    cells = keep(cells, "cells")
-
-    in_region = keep(keys.join(cells, "uid").select("key", "cell", "root").distinct(), "regions")
-    open_keys = keep(in_region.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "open")
-    in_region = in_region.join(open_keys, "key", "left_semi")
-    left, right = (in_region.select("key", F.col("cell").alias(s), F.col("root").alias(f"root_{s}")) for s in ("a", "b"))
-    meet = keep(left.join(right, "key").where("root_a < root_b").select("a", "b").distinct(), "meet")
-    radii = keep(cells.groupBy("cell").agg(F.max("own").alias("radius")), "radii")
-    of = lambda s: radii.select(F.col("cell").alias(s), F.col("radius").alias(f"radius_{s}"))
-    apart = measured(meet, members).join(of("a"), "a").join(of("b"), "b").where(F.col("distance") <= radius + F.col("radius_a") + F.col("radius_b") + slack)
-    apart = keep(apart, "apart")
-    found = apart.where(is_link(percent)).select("a", "b")
-    # One side's points in the window against the other pivot; the pivots themselves are measured already.
-    inner = cells.where("uid != cell").select(F.col("cell").alias("of"), "uid", "own")
-    wide = apart.select(F.col("a").alias("of"), F.col("b").alias("to"), "distance", F.col("radius_b").alias("reach"))
-    wide = wide.union(apart.select(F.col("b").alias("of"), F.col("a").alias("to"), "distance", F.col("radius_a").alias("reach")))
-    window = wide.join(inner, "of").where(F.col("own") >= F.col("distance") - radius - F.col("reach") - slack)
-    second = measured(window.select(F.col("uid").alias("a"), F.col("to").alias("b")).distinct(), members)
-    found = found.union(second.where(is_link(percent)).select("a", "b"))
-    reach = radii.select(F.col("cell").alias("b"), "radius")
-    onward = second.join(reach, "b").where((F.col("radius") > 0) & (F.col("distance") <= radius + F.col("radius") + slack)).select("a", "b", "distance")
-    third = onward.join(inner.select(F.col("of").alias("b"), F.col("uid").alias("y"), F.col("own").alias("own_y")), "b")
-    third = third.where(F.col("own_y") >= F.col("distance") - radius - slack).select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct()
-    found = found.union(measured(third, members).where(is_link(percent)).select("a", "b"))
-
-    root_of = lambda s: cells.select(F.col("uid").alias(s), F.col("root").alias(f"root_{s}"))
-    joins = found.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    above = connected_components(joins).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    whole = cells.select("uid", "root").join(above, "root", "left").select(F.col("uid").alias("point"), F.coalesce("top", "root").alias("top"))
+    members = keep(members.select("uid", "n", "centre", "prefix", "packed"), "members")
+    keys = keep(members.select("uid", "centre", F.explode("prefix").alias("key")), "keys")
+
+    pivots = keys.groupBy("key").agg(F.max_by("uid", F.struct("centre", "uid")).alias("pivot"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+    pivots = keep(pivots.where("lo != hi").select("key", "pivot"), "pivots")
+    belongs = keep(keys.join(pivots, "key").where("uid != pivot").select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct(), "belongs")
+    near = measured(belongs, members)
+    roots = connected_components(near.where(is_link(percent)).select("a", "b"))
+    rooted = keep(members.select("uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root")), "rooted")
+
+    in_region = near.select(F.col("b").alias("region"), F.col("a").alias("uid"), F.col("n_a").alias("n"), "distance")
+    homes = rooted.select(F.col("uid").alias("region"), F.col("root").alias("home"))
+    in_region = keep(in_region.join(rooted, "uid").join(homes, "region").withColumn("open", F.col("root") != F.col("home")), "regions")
+    open_regions = keep(in_region.where("open").groupBy("region").agg(F.min("distance").alias("low"), F.max("distance").alias("high")), "open")
+    # The pivot was measured against all: it needs no place in its region any more.
+    placed = in_region.join(open_regions, "region").where((F.col("distance") >= F.col("low") - radius - BIN) & (F.col("distance") <= F.col("high") + radius + BIN))
+    placed = placed.select("region", "uid", "n", "root", "open", F.floor(F.col("distance") / BIN).cast("int").alias("bin"))
+    cuts = keep(placed.groupBy("region", "bin", "open").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("cuts")), "cuts")
+    placed = placed.join(cuts, ["region", "bin", "open"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("cuts")))
+    blocks = placed.join(members.select("uid", "packed"), "uid").groupBy("region", "bin", "open", "block").agg(F.collect_list(F.struct("root", "n", "packed")).alias("points"))
+    blocks = keep(blocks, "blocks")
+    reach = int(np.ceil(radius / BIN)) + 1
+    some = blocks.where("open").select("region", F.col("points").alias("some"), F.explode(F.sequence(F.col("bin") - reach, F.col("bin") + reach)).alias("bin"))
+    tiles = some.join(blocks.select("region", "bin", F.col("points").alias("every")), ["region", "bin"])
+    found = keep(tiles.select("some", "every").mapInArrow(lambda it: new_links(it, percent), "a long, b long"), "found")
+    above = connected_components(found).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    whole = rooted.join(above, "root", "left").select(F.col("uid").alias("point"), F.coalesce("top", "root").alias("top"))
     placed = keep(copies.join(whole, "point").select("uid", "top"), "placed")
     tops = keep(every.select("uid", "id").where("id is not null").join(placed, "uid").groupBy("top").agg(F.min("id").alias("component_id")), "tops")
     named = keep(placed.join(tops, "top").select("uid", "component_id"), "named")
