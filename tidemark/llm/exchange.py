@@ -129,8 +129,8 @@ class Exchange:
             bucket_bits=max(1, math.ceil(math.log2(max(least, total / BUCKET_BYTES)))),
             # For buckets that need much memory for each byte.
             fine_bits=max(1, math.ceil(math.log2(max(least, total / FINE_BYTES)))),
-            # So many bits that about one in a thousand hashes meets another by chance.
-            hash_bits=min(64, max(32, max(1, total).bit_length() + 10)),
+            # So many bits that few hashes (one in some hundreds) meet another by chance.
+            hash_bits=min(64, max(32, max(1, total).bit_length() + 8)),
         )
         narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
         self.texts = narrow.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(self.sizes.n_batches)).cast("int"))

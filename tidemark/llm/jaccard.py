@@ -217,7 +217,8 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     joined = keep(join(docs, id_col, text).where(F.col(id_col).isNotNull()), "joined")
     gone = keep(joined.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_id"), F.col("content").alias("_content")).distinct(), "gone")
     own = F.xxhash64(F.coalesce(F.col(f"d.`{text}`"), F.lit("")))
-    kept = docs.alias("d").join(gone, (F.col(f"d.`{id_col}`") == F.col("_id")) & (own == F.col("_content")), "left_anti")
+    # The list of copies grows with the corpus: a shuffle at every size, never a broadcast.
+    kept = docs.alias("d").join(gone.hint("merge"), (F.col(f"d.`{id_col}`") == F.col("_id")) & (own == F.col("_content")), "left_anti")
     again = joined.where(F.col("component_id") == F.col(id_col)).groupBy(id_col, "content").agg(F.count("*").alias("n")).where("n > 1")
     again = keep(again.select(F.col(id_col).alias("_id")).distinct(), "again")
     if again.isEmpty():
