@@ -214,3 +214,27 @@ def test_root_cause_prefers_the_change_that_explains_most(spark):
     dims = spark.createDataFrame([("s", "e", "v1", "v2", d, 0.5) for d in ("latency", "error_rate", "tool_sequence")] + [("s", "e", "v1", "v2", "retry_rate", 0.1)], "session_id string, environment string, baseline_version string, current_version string, dim string, score double")
     row = decide.root_cause(dims, changes, pairs).first()
     assert (row.winner, row.confidence, row.previous, row.current, row.ruled_out) == ("tool_version", "HIGH", None, "2", "prompt_hash")
+
+
+def test_time_offsets_become_utc(spark, tmp_path):
+    times = ["2026-01-01T03:04:05+02:00", "2026-01-01T03:04:05Z", "2026-01-01 03:04:05", "2026-01-01T03:04:05.250-0330", "soon"]
+    (tmp_path / "runs.json").write_text("\n".join(f'{{"id": "{k}", "started_at": "{t}"}}' for k, t in enumerate(times)))
+    got = {r.id: str(r.started_at) for r in runs_io.read_runs(spark, str(tmp_path), multiline=False).collect()}
+    assert got == {"0": "2026-01-01 01:04:05", "1": "2026-01-01 03:04:05", "2": "2026-01-01 03:04:05", "3": "2026-01-01 06:34:05.250000", "4": "None"}
+
+
+def test_deep_chain_keeps_its_order(spark):
+    from tidemark.sources import traces
+
+    rows = [("t", f"n{k}", f"n{k - 1}" if k else None, 80 - k) for k in range(80)]
+    paths = traces.tree_paths(spark.createDataFrame(rows, "trace_id string, id string, parent_id string, position int"))
+    assert [r.id for r in paths.orderBy("path").collect()] == [f"n{k}" for k in range(80)]
+
+
+def test_learned_weights_of_two_environments(spark):
+    weights = spark.createDataFrame([("a", "v", e, d, 0.5) for e in ("prod", "dev") for d in ("x", "y")], "session_id string, deployment_version string, environment string, dim string, weight double")
+    learned = spark.createDataFrame([("a", e, d, w, 1.0, 20) for e in ("prod", "dev") for d, w in (("x", 0.7), ("y", 0.3))], "session_id string, environment string, dim string, learned_weight double, learned_factor double, n_total long")
+    from tidemark.operators import calibrate
+
+    got = calibrate.learned_blend(weights, learned).collect()
+    assert sorted((r.environment, r.dim, round(r.weight, 6)) for r in got) == [("dev", "x", 0.7), ("dev", "y", 0.3), ("prod", "x", 0.7), ("prod", "y", 0.3)]

@@ -350,7 +350,6 @@ Z_BETA = 0.841621234
 CHI2_CRITICAL = {1: 3.84, 2: 5.99, 3: 7.81, 4: 9.49, 5: 11.07, 6: 12.59, 7: 14.07, 8: 15.51, 9: 16.92, 10: 18.31}
 TIER1_MIN = 15
 TIER2_MIN = 50
-FINGERPRINT_LIMIT = 5000
 BOOTSTRAP_ROUNDS = 500
 BOOTSTRAP_CAP = 200
 TEXT_LIMIT = 102400

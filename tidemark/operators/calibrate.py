@@ -181,11 +181,13 @@ def redistribute(weights: DataFrame, unavailable: DataFrame, by: Sequence[str] =
 def learned_blend(weights: DataFrame, learned: DataFrame, by: Sequence[str] = tuple(K.GROUP), min_labels: int = 10) -> DataFrame:
     """f x learned + (1-f) x calibrated for agents with enough labels.
 
-    ``learned``: session_id, dim, learned_weight, learned_factor, n_total.
+    ``learned``: session_id, dim, learned_weight, learned_factor, n_total, and the environment if it was learned
+    for each one.
     """
-    usable = learned.where(F.col("n_total") >= min_labels).select("session_id", "dim", "learned_weight", "learned_factor")
+    on = [c for c in ("session_id", "environment") if c in learned.columns and c in weights.columns] + ["dim"]
+    usable = learned.where(F.col("n_total") >= min_labels).select(*on, "learned_weight", "learned_factor")
     factor = F.coalesce("learned_factor", F.lit(0.0))
-    mixed = weights.join(usable, ["session_id", "dim"], "left").withColumn(
+    mixed = weights.join(usable, on, "left").withColumn(
         "__raw", factor * F.coalesce("learned_weight", F.lit(0.0)) + (1 - factor) * F.col("weight")
     )
     return _normalised(mixed.withColumnRenamed("weight", "before"), "__raw", by, F.col("before")).select(*by, "dim", "weight")
@@ -248,7 +250,7 @@ def dim_thresholds(stats: DataFrame, quantiles: DataFrame, by: Sequence[str] = t
     df = F.least(F.greatest(F.lit(1), F.col("n") - 1), F.lit(LARGE_DF)).cast("long")
     return (
         stats.withColumn("df", df)
-        .join(F.broadcast(quantiles), "df")
+        .join(quantiles, "df")
         .select(*by, "dim", "level", (F.col("mean") + F.col("t") * F.greatest(F.col("std"), F.lit(0.01))).alias("threshold"))
     )
 
@@ -351,7 +353,7 @@ def learn_weights(scored: DataFrame, general: DataFrame, by: Sequence[str] = tup
     factor = blending_factor(F.col("n_total"))
     blended = (
         long.join(sums, by)
-        .join(F.broadcast(general), "dim")
+        .join(general, "dim")
         .withColumn("learned_factor", factor)
         .withColumn("__raw", F.col("learned_factor") * F.col("correlation") / F.col("all_corr") + (1 - F.col("learned_factor")) * F.col("preset"))
     )

@@ -17,10 +17,10 @@ def runs_for(
     runs: DataFrame,
     version: str | None = None,
     env: str | None = None,
-    limit: int | None = K.FINGERPRINT_LIMIT,
+    limit: int | None = None,
     by: Sequence[str] = tuple(K.GROUP),
 ) -> DataFrame:
-    """Runs of a version and environment, the newest ``limit`` of each group."""
+    """Runs of a version and environment; with ``limit`` the newest so many of each group."""
     if version is not None:
         runs = runs.where(F.col("deployment_version") == version)
     if env is not None:
@@ -129,7 +129,7 @@ def quality_filter(name: str) -> Column:
     return named[name]
 
 
-def keep_last(runs: DataFrame, n: int = 10000, by: Sequence[str] = ()) -> DataFrame:
+def keep_last(runs: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     """Retention by count: the newest n runs of each group, or of the whole table."""
     return ranks.newest_in_time(runs, by, "started_at", ["id"], n)
 

@@ -208,7 +208,7 @@ def version_source_downgrade(tiered: DataFrame, mix: DataFrame) -> DataFrame:
 # ---- attribution -------------------------------------------------------------------------------
 def attribution(dims: DataFrame, scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Composite minus the weighted sum of raw scores without the dimension. weights: dim, weight."""
-    joined = dims.join(F.broadcast(weights), "dim")
+    joined = dims.join(weights, "dim")
     total = F.sum(F.col("weight") * F.col("score")).over(Window.partitionBy(*K.PAIR))
     return (
         joined.withColumn("total", total)
@@ -223,7 +223,7 @@ def attribution(dims: DataFrame, scores: DataFrame, weights: DataFrame) -> DataF
 
 def marginal(dims: DataFrame, weights: DataFrame) -> DataFrame:
     """weight x score and weight x composite term per dimension."""
-    return dims.join(F.broadcast(weights), "dim").select(
+    return dims.join(weights, "dim").select(
         *K.PAIR,
         "dim",
         (F.col("weight") * F.col("score")).alias("marginal"),

@@ -25,11 +25,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for reliable checkpoints: the cluster's own setting, else a temporary one (local tests)."""
+    """The folder for reliable checkpoints: the cluster's own setting. A local session may do without; then a
+    temporary folder serves, as there is no other machine that has to see it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     target = configured or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
     return spark.sparkContext.getCheckpointDir()

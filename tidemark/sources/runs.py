@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,12 +59,18 @@ def read_runs(spark: SparkSession, path: str, fmt: str = "json", multiline: bool
     if fmt == "parquet":
         return spark.read.schema(RUNS).parquet(path)
     raw = spark.read.schema(_EXPORT).option("multiLine", multiline).json(path)
-    utc = lambda c: F.to_timestamp_ntz(F.substring(F.regexp_replace(c, "T", " "), 1, 26))
+
+    def utc(name: str) -> Column:
+        """The time in UTC: an offset is applied, a time without one is UTC already, an unreadable one is null."""
+        text = F.regexp_replace(F.trim(F.col(name)), "([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+        zoned = F.when(text.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.try_cast("timestamp").cast("timestamp_ntz"))
+
     zero = lambda n: F.coalesce(F.col(n), F.lit(0))
     built = {
         "tools": C.parse_tools(F.col("tool_sequence")),
-        "started_at": utc(F.regexp_replace("started_at", "(Z|[+]00:?00)$", "")),
-        "completed_at": utc(F.regexp_replace("completed_at", "(Z|[+]00:?00)$", "")),
+        "started_at": utc("started_at"),
+        "completed_at": utc("completed_at"),
         "deployment_version": F.coalesce("deployment_version", F.lit("unknown")),
         "environment": F.coalesce("environment", F.lit("production")),
         "semantic_cluster": F.coalesce("semantic_cluster", F.lit("cluster_none")),

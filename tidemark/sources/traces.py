@@ -28,13 +28,16 @@ def version_columns(env_version: str | None = None) -> tuple[Column, Column]:
     return version, source
 
 
-def tree_paths(observations: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Observations with their pre-order path; orphans are roots, cycles end at the depth cap.
+def tree_paths(observations: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Observations with their pre-order path, however deep the tree; orphans are roots.
 
-    Pointer doubling: after k joins every row knows its 2**k-th ancestor and the path below it, so
-    ``max_depth`` levels need log2(max_depth) equi-joins on (trace, id). A trace is a unit of work of
-    the source system and the joins spread by trace and id, so one long trace does not sit in one task.
+    Pointer doubling: after k joins every row knows its 2**k-th ancestor and the path below it. No tree is deeper
+    than its trace has rows, so the joins end at the size of the largest trace (one number, from one
+    aggregation); that also ends cycles, whose rows keep the path walked so far. ``max_depth`` ends them
+    sooner. The joins are on (trace, id),
+    so one long trace does not sit in one task.
     """
+    most = max_depth or observations.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
     key = F.struct(F.col("position"), F.col("id"))
     ids = observations.select("trace_id", F.col("id").alias("parent_id")).distinct().withColumn("has_parent", F.lit(True))
     paths = (
@@ -43,7 +46,7 @@ def tree_paths(observations: DataFrame, max_depth: int = 32) -> DataFrame:
         .select(*observations.columns, "up", F.array(key).alias("path"))
     )
     depth = 1
-    while depth < max_depth:
+    while depth < most:
         above = paths.select("trace_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("head"))
         paths = (
             paths.join(above, ["trace_id", "up"], "left")
@@ -62,7 +65,7 @@ def is_tool() -> Column:
     return ((F.col("type") == "tool") & (name != "")) | (F.col("type").isin("generation", "span") & named)
 
 
-def tree_tools(observations: DataFrame, max_depth: int = 32) -> DataFrame:
+def tree_tools(observations: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Tool names per trace in pre-order of the observation tree."""
     called = tree_paths(observations, max_depth).where(is_tool())
     return called.groupBy("trace_id").agg(
@@ -128,18 +131,17 @@ def runs_from_traces(
     fmt: str = "A",
     agent: str | None = None,
     env_version: str | None = None,
-    max_depth: int = 32,
 ) -> DataFrame:
     """Runs from exported traces; ``fmt`` B is the nested-run format read by ``flatten_run_tree``."""
     if fmt == "B":
         roots, children = flatten_run_tree(traces)
-        return _runs_b(roots, children, agent, env_version, max_depth)
+        return _runs_b(roots, children, agent, env_version)
     if fmt != "A":
         raise ValueError(f"unknown format: {fmt}")
     version, source = version_columns(env_version)
     joined = (
         traces.join(observation_summary(observations), "trace_id", "left")
-        .join(tree_tools(observations, max_depth), "trace_id", "left")
+        .join(tree_tools(observations), "trace_id", "left")
         .withColumn("deployment_version", version)
         .withColumn("version_source", source)
     )
@@ -189,7 +191,7 @@ def flatten_run_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return roots, children
 
 
-def _runs_b(roots: DataFrame, children: DataFrame, agent: str | None, env_version: str | None, max_depth: int) -> DataFrame:
+def _runs_b(roots: DataFrame, children: DataFrame, agent: str | None, env_version: str | None) -> DataFrame:
     blank = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
     steps = [
         (blank("meta_version"), "tag"),
@@ -199,7 +201,7 @@ def _runs_b(roots: DataFrame, children: DataFrame, agent: str | None, env_versio
         (F.lit("unknown"), "none"),
     ]
     summary = observation_summary(children, ("tool",), ("chain", "llm")).drop("prompt_tokens", "completion_tokens")
-    joined = roots.join(summary, "trace_id", "left").join(tree_tools(children, max_depth), "trace_id", "left")
+    joined = roots.join(summary, "trace_id", "left").join(tree_tools(children), "trace_id", "left")
     return _finished(
         joined.withColumn("deployment_version", F.coalesce(*[v for v, _ in steps]))
         .withColumn("version_source", F.coalesce(*[F.when(v.isNotNull(), F.lit(s)) for v, s in steps]))
