@@ -238,3 +238,51 @@ def test_learned_weights_of_two_environments(spark):
 
     got = calibrate.learned_blend(weights, learned).collect()
     assert sorted((r.environment, r.dim, round(r.weight, 6)) for r in got) == [("dev", "x", 0.7), ("dev", "y", 0.3), ("prod", "x", 0.7), ("prod", "y", 0.3)]
+
+
+def test_quantiles_have_their_own_value_at_any_size(spark):
+    from statistics import NormalDist
+
+    needed = spark.createDataFrame([(999,), (1000,), (10**6,), (10**9,)], "df long")
+    got = {(r.df, r.level): r.t for r in calibrate.t_quantiles(spark, needed).collect()}
+    for level, p in K.THRESHOLD_PROBS.items():
+        series = spark.range(1).select(calibrate.expanded_quantile(F.lit(999), p).alias("t")).first().t
+        assert abs(series - got[(999, level)]) < 1e-9
+        z = NormalDist().inv_cdf(p)
+        assert got[(1000, level)] > got[(10**6, level)] > got[(10**9, level)] > z
+        assert got[(10**6, level)] - z < 1e-4
+
+
+def test_difference_of_means_takes_all_runs(spark):
+    runs = spark.range(1200).select(
+        F.concat(F.lit("r"), F.col("id")).alias("id"), F.lit("s").alias("session_id"), F.lit("e").alias("environment"),
+        F.when(F.col("id") < 600, "v1").otherwise("v2").alias("deployment_version"),
+        (F.col("id") % 600 + F.when(F.col("id") < 600, 0).otherwise(50)).alias("latency_ms"),
+    )
+    pairs = spark.createDataFrame([("s", "e", "v1", "v2")], "session_id string, environment string, baseline_version string, current_version string")
+    row = resample.bootstrap_mean_diff(runs, pairs).first()
+    half = 1.96 * 173.2 * math.sqrt(2 / 600)
+    assert abs(row.mean_diff - 50) < 1e-9
+    assert abs((row.ci_upper - row.ci_lower) / (2 * half) - 1) < 0.15 and row.ci_lower < 50 < row.ci_upper
+
+
+def test_root_cause_names_every_pair_with_advice(spark):
+    pair = "session_id string, environment string, baseline_version string, current_version string"
+    pairs = spark.createDataFrame([(s, "e", "v1", "v2") for s in ("none", "same", "model", "half", "own")], pair)
+    rows = [("same", "v1", "prompt_hash", "p"), ("same", "v2", "prompt_hash", "p"), ("model", "v1", "model_version", "a"), ("model", "v2", "model_version", "b"),
+            ("half", "v2", "model_version", "b"), ("own", "v1", "custom_flag", "0"), ("own", "v2", "custom_flag", "1")]
+    changes = spark.createDataFrame(rows, "session_id string, deployment_version string, change_type string, current_value string")
+    dims = spark.createDataFrame([(s, "e", "v1", "v2", "error_rate", 0.5) for s in ("none", "same", "model", "half", "own")], pair + ", dim string, score double")
+    got = {r.session_id: r for r in decide.root_cause(dims, changes, pairs).collect()}
+    assert len(got) == 5
+    assert (got["none"].has_changes, got["none"].winner_score, got["none"].confidence) == (False, None, None)
+    assert (got["same"].has_changes, got["same"].winner_score, got["same"].confidence, got["same"].ruled_out) == (True, 0.0, "UNLIKELY", "prompt_hash")
+    assert 'model="a" vs model="b"' in got["model"].suggested_action and "Compare" not in got["half"].suggested_action
+    assert "(custom_flag=1)" in got["own"].suggested_action and got["own"].confidence == "HIGH"
+
+
+def test_last_good_version_of_each_environment(spark):
+    rows = [("a", i, f"id{i}", "SHIP" if i == 0 else "BLOCK", "" if i == 0 else f"v{i}", "v0") for i in range(60)] + [("b", 5, "x", None, "w1", "w0")]
+    history = spark.createDataFrame(rows, "environment string, recorded_at int, verdict_id string, verdict string, current_version string, baseline_version string")
+    assert {tuple(r) for r in decide.last_good_version(history).collect()} == {("a", "v0"), ("b", "w1")}
+    assert {tuple(r) for r in decide.last_good_version(history, window=20).collect()} == set()

@@ -221,3 +221,11 @@ def seeded_index(parts: list[Column], n: Column) -> Column:
     """A reproducible draw in 0..n-1: the first 32 bits of an MD5 over the parts, modulo n."""
     digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+
+
+def poisson_draws(u: Column) -> Column:
+    """Poisson(1) from a uniform number in 0..2^32-1: how many of the distribution's steps it reaches."""
+    total = F.lit(0)
+    for cut in K.POISSON_CUTS:
+        total = total + (u >= F.lit(cut)).cast("int")
+    return total

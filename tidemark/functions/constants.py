@@ -1,5 +1,7 @@
 """Fixed values. Results depend on them, so they are listed here as they are and nowhere else."""
 
+import math
+
 # ---- keys -------------------------------------------------------------------------------------
 GROUP = ["session_id", "deployment_version", "environment"]
 AGENT = ["session_id", "environment"]
@@ -223,60 +225,60 @@ BEHAVIOUR_RULES = [
 HYPOTHESIS_RULES = [
     {
         "rule_id": "escalation_more",
-        "decision_min": 0.5,
-        "escalation_min": 0.08,
+        "decision_drift_min": 0.5,
+        "escalation_rate_delta_min": 0.08,
         "observation": "Agent is escalating significantly more than baseline.",
         "likely_cause": "Prompt or threshold changes, or model behaving more cautiously; task mix may favor edge cases.",
         "recommended_action": "Review escalation triggers and recent prompt/model changes. Check if higher escalation is acceptable or tighten resolution paths.",
     },
     {
         "rule_id": "escalation_less",
-        "decision_min": 0.5,
-        "escalation_max": -0.03,
+        "decision_drift_min": 0.5,
+        "escalation_rate_delta_max": -0.03,
         "observation": "Agent is escalating significantly less than baseline.",
         "likely_cause": "Model or prompt change favoring resolution; possible over-confidence or reduced sensitivity to edge cases.",
         "recommended_action": "Confirm that lower escalation is intended. If not, restore or tighten escalation conditions and review resolution quality.",
     },
     {
         "rule_id": "tool_decrease",
-        "tool_decrease_min": 40.0,
+        "tool_decrease_min_pct": 40.0,
         "observation": "Tool '{{tool_name}}' is being used much less (down {{delta_pct}}% vs baseline).",
         "likely_cause": "Prompt or model change bypassing this tool; fewer tasks requiring it; or new fallback path.",
         "recommended_action": "Review recent changes that might reduce {{tool_name}} usage. Ensure the tool is still invoked when needed.",
     },
     {
         "rule_id": "tool_increase",
-        "tool_increase_min": 100.0,
+        "tool_increase_min_pct": 100.0,
         "observation": "Tool '{{tool_name}}' is being used much more (up {{delta_pct}}% vs baseline).",
         "likely_cause": "Agent over-relying on this tool; task mix shift; or escalation/search behavior increased.",
         "recommended_action": "Confirm whether increased {{tool_name}} use is intended. If not, tighten instructions or add guardrails.",
     },
     {
         "rule_id": "latency_slow",
-        "latency_min": 0.4,
-        "tool_max": 0.1,
+        "latency_drift_min": 0.4,
+        "tool_drift_max": 0.1,
         "observation": "Behavior is similar (tool usage stable) but latency is significantly higher.",
         "likely_cause": "Slower model or APIs, more reasoning steps, or infrastructure/load; tool mix unchanged.",
         "recommended_action": "Profile per-tool and model latency. Consider caching, simpler flows, or capacity scaling.",
     },
     {
         "rule_id": "error_drift",
-        "error_min": 0.3,
+        "error_drift_min": 0.3,
         "observation": "Error rate has increased significantly vs baseline.",
         "likely_cause": "New failures (timeouts, validation, API errors) or more aggressive retries exposing edge cases.",
         "recommended_action": "Inspect error types in runs and logs. Fix or relax validations and timeouts as needed.",
     },
     {
         "rule_id": "decision_only_drift",
-        "decision_min": 0.3,
-        "tool_max": 0.1,
+        "decision_drift_min": 0.3,
+        "tool_drift_max": 0.1,
         "observation": "Decision outcomes (resolved/escalated/fallback) changed but tool usage is stable.",
         "likely_cause": "Prompt or model changes affecting when the agent escalates or resolves, without changing tool choice.",
         "recommended_action": "Compare prompts and system instructions between baseline and current. Check escalation and resolution thresholds.",
     },
     {
         "rule_id": "stable",
-        "overall_max": 0.05,
+        "overall_drift_max": 0.05,
         "observation": "Overall drift is low; behavior is stable.",
         "likely_cause": "No significant change in tool usage, decisions, latency, or errors.",
         "recommended_action": "No action required. Continue monitoring.",
@@ -291,6 +293,19 @@ CHANGE_DIMS = {
     "tool_version": ["error_rate", "tool_sequence", "latency", "retry_rate"],
 }
 
+# ---- fixed values: advice on the change that explains a drift, by its type ---------------------
+ADVICE = {
+    "model_version": 'Pin model version explicitly in your API call to isolate whether this is model-induced. Compare: model="{previous}" vs model="{current}"',
+    "model_version, one side": "Pin model version explicitly in your API call to isolate model-induced drift",
+    "prompt_hash": "Review the system prompt diff between versions. Even small wording changes can shift decision distributions significantly.",
+    "rag_snapshot": "Compare the document sets in each RAG snapshot. New or removed documents directly affect retrieval behavior and output content.",
+    "tool_version": "Check the changelog for the tool between the two versions. Tool behavior changes are a common source of sequence and error drift.",
+    "custom": "Review the recorded change ({type}={current}) and assess whether it could affect agent decision logic.",
+    "other": "Review the recorded change and assess its impact on agent behavior.",
+    "nothing changed": "No changes detected between versions despite having recorded change events.",
+    "nothing recorded": "Record change events at deploy time to enable root cause analysis.",
+}
+
 # ---- fixed values: budget keys and the quantity each one limits --------------------------------
 BUDGET_KEYS = {
     "max_p95_latency": "latency_p95",
@@ -351,6 +366,8 @@ CHI2_CRITICAL = {1: 3.84, 2: 5.99, 3: 7.81, 4: 9.49, 5: 11.07, 6: 12.59, 7: 14.0
 TIER1_MIN = 15
 TIER2_MIN = 50
 BOOTSTRAP_ROUNDS = 500
+# Steps of the Poisson(1) distribution, scaled to 32 bits.
+POISSON_CUTS = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
 BOOTSTRAP_CAP = 200
 TEXT_LIMIT = 102400
 EPOCH_CUT = 0.15

@@ -203,7 +203,11 @@ def affected_dims(diff: DataFrame, dims: DataFrame, cut: float = 0.15) -> DataFr
 
 
 def root_cause(dims: DataFrame, changes: DataFrame, pairs: DataFrame, cut: float = 0.15) -> DataFrame:
-    """The change that explains most drifted dimensions per pair, with its confidence."""
+    """The change that explains most drifted dimensions per pair, with its confidence and what to do about it.
+
+    Every pair gets a row: without recorded events ``has_changes`` is false and score and confidence are null;
+    with events that do not differ the score is 0.
+    """
     diff = change_diff(changes, pairs)
     drifted = dims.where(F.col("score") > cut).groupBy(*K.PAIR).agg(F.count("*").alias("drifted"))
     hits = affected_dims(diff, dims, cut).groupBy(*K.PAIR, "change_type").agg(
@@ -227,23 +231,41 @@ def root_cause(dims: DataFrame, changes: DataFrame, pairs: DataFrame, cut: float
     ruled_out = diff.groupBy(*K.PAIR).agg(
         F.array_join(F.array_sort(F.collect_list(F.when(~F.col("changed"), F.col("change_type")))), ",").alias("ruled_out")
     )
-    score = -F.col("w.minus")
+    recorded, score = F.col("seen"), F.coalesce(-F.col("w.minus"), F.lit(0.0))
     confidence = F.when(score >= 0.8, "HIGH").when(score >= 0.5, "MEDIUM").when(score >= 0.2, "LOW").otherwise("UNLIKELY")
-    return (
-        ruled_out.join(scored.groupBy(*K.PAIR).agg(best.alias("w")), K.PAIR, "left")
-        .select(
-            *K.PAIR,
-            F.col("w.change_type").alias("winner"),
-            score.alias("winner_score"),
-            F.when(F.col("w").isNull(), "UNLIKELY").otherwise(confidence).alias("confidence"),
-            F.col("w.previous").alias("previous"),
-            F.col("w.current").alias("current"),
-            F.col("w.affected").alias("affected"),
-            "ruled_out",
-        )
+    found = ruled_out.join(scored.groupBy(*K.PAIR).agg(best.alias("w")), K.PAIR, "left").withColumn("seen", F.lit(True))
+    whole = pairs.select(*K.PAIR).join(found, K.PAIR, "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    return whole.select(
+        *K.PAIR,
+        recorded.alias("has_changes"),
+        F.col("w.change_type").alias("winner"),
+        F.when(recorded, score).alias("winner_score"),
+        F.when(recorded, confidence).alias("confidence"),
+        F.col("w.previous").alias("previous"),
+        F.col("w.current").alias("current"),
+        F.coalesce("w.affected", F.lit("")).alias("affected"),
+        F.coalesce("ruled_out", F.lit("")).alias("ruled_out"),
+        advice(recorded, F.col("w.change_type"), F.col("w.previous"), F.col("w.current")).alias("suggested_action"),
     )
 
 
+def advice(recorded: Column, change: Column, previous: Column, current: Column) -> Column:
+    """The text for a change type out of the fixed table, its places filled in."""
+    texts = F.create_map(*[F.lit(x) for item in K.ADVICE.items() for x in item])
+    half = F.when(previous.isNull() | current.isNull(), ", one side").otherwise("")
+    key = F.coalesce(
+        F.when(~recorded, "nothing recorded"),
+        F.when(change.isNull(), "nothing changed"),
+        F.when(change == "model_version", F.concat(change, half)),
+        F.when(F.startswith(change, F.lit("custom")), "custom"),
+        change,
+    )
+    text = F.coalesce(F.try_element_at(texts, key), F.lit(K.ADVICE["other"]))
+    for place, value in (("{type}", change), ("{previous}", previous), ("{current}", current)):
+        text = F.replace(text, F.lit(place), F.coalesce(value, F.lit("None")))
+    return text
+
+
 def keep_first(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """First record per key (change events)."""
     rest = [c for c in events.columns if c not in keys]
@@ -269,21 +291,27 @@ def rollback(decided: DataFrame) -> DataFrame:
     return decided.where(ok).select(*K.PAIR, F.col("baseline_version").alias("rollback_version"), reason.alias("reason"))
 
 
-def last_good_version(history: DataFrame, window: int = 50, by: tuple[str, ...] = ("environment",)) -> DataFrame:
-    """Newest SHIP (or undecided) version among the newest verdicts of each environment."""
-    recent = ranks.newest(history, by, [F.col("recorded_at").desc(), F.col("verdict_id").desc()], window, F.col("verdict_id"))
+def last_good_version(history: DataFrame, window: int | None = None, by: tuple[str, ...] = ("environment",)) -> DataFrame:
+    """Newest SHIP (or undecided) version of each environment; with ``window`` only among so many newest verdicts of all.
+
+    A verdict without a current version names its baseline.
+    """
+    recent = history if window is None else history.orderBy(F.col("recorded_at").desc(), F.col("verdict_id").desc()).limit(window)
     good = recent.where(F.col("verdict").isNull() | (F.col("verdict") == "SHIP"))
-    return good.groupBy(*by).agg(
-        F.max_by("current_version", F.struct("recorded_at", "verdict_id")).alias("last_good_version")
-    )
+    version = F.when(F.coalesce("current_version", F.lit("")) != "", F.col("current_version")).otherwise(F.col("baseline_version"))
+    return good.groupBy(*by).agg(F.max_by(version, F.struct("recorded_at", "verdict_id")).alias("last_good_version"))
 
 
 # ---- hypotheses --------------------------------------------------------------------------------
 RULE_COLUMNS = {
-    "overall_min": ">=", "overall_max": "<=", "decision_min": ">=", "decision_max": "<=", "latency_min": ">=",
-    "error_min": ">=", "tool_max": "<=", "tool_decrease_min": ">=", "tool_increase_min": ">=",
-    "escalation_min": ">=", "escalation_max": "<=", "baseline_runs_min": ">=", "current_runs_min": ">=",
+    "overall_drift_min": ("overall", ">="), "overall_drift_max": ("overall", "<="),
+    "decision_drift_min": ("decision", ">="), "decision_drift_max": ("decision", "<="),
+    "latency_drift_min": ("latency", ">="), "error_drift_min": ("error", ">="), "tool_drift_max": ("tool", "<="),
+    "tool_decrease_min_pct": ("tool_decrease", ">="), "tool_increase_min_pct": ("tool_increase", ">="),
+    "escalation_rate_delta_min": ("escalation", ">="), "escalation_rate_delta_max": ("escalation", "<="),
+    "baseline_runs_min": ("baseline_runs", ">="), "current_runs_min": ("current_runs", ">="),
 }
+"""Bounds of a rule: the quantity each limits and how."""
 
 
 def _rule_rows(rules: list[dict]) -> Column:
@@ -329,8 +357,8 @@ def hypotheses(
         "current_runs": F.col("current_n"),
     }
     holds = F.lit(True)
-    for column, op in RULE_COLUMNS.items():
-        value = left[column.rsplit("_", 1)[0]]
+    for column, (quantity, op) in RULE_COLUMNS.items():
+        value = left[quantity]
         bound = F.col(column)
         test = value >= bound if op == ">=" else value <= bound
         holds = holds & (bound.isNull() | F.coalesce(test, F.lit(False)))
@@ -388,32 +416,3 @@ def benchmark_comparison(metrics: DataFrame, by: tuple[str, ...] = tuple(K.GROUP
 def newest_records(df: DataFrame, by: list[str], at: str, tie: str, n: int) -> DataFrame:
     """Newest n records per key (feedback, breaches, changes, verdicts)."""
     return ranks.newest(df, by, [F.col(at).desc(), F.col(tie).desc()], n, F.col(tie))
-
-
-def suggested_action(change: Column, previous: Column, current: Column) -> Column:
-    """What to do about the winning change."""
-    pinned = F.format_string(
-        'Pin model version explicitly in your API call to isolate whether this is model-induced. Compare: model="%s" vs model="%s"',
-        previous, current,
-    )
-    return (
-        F.when((change == "model_version") & previous.isNotNull() & current.isNotNull(), pinned)
-        .when(change == "model_version", "Pin model version explicitly in your API call to isolate model-induced drift")
-        .when(
-            change == "prompt_hash",
-            "Review the system prompt diff between versions. Even small wording changes can shift decision distributions significantly.",
-        )
-        .when(
-            change == "rag_snapshot",
-            "Compare the document sets in each RAG snapshot. New or removed documents directly affect retrieval behavior and output content.",
-        )
-        .when(
-            change == "tool_version",
-            "Check the changelog for the tool between the two versions. Tool behavior changes are a common source of sequence and error drift.",
-        )
-        .when(
-            change.startswith("custom"),
-            F.format_string("Review the recorded change (%s=%s) and assess whether it could affect agent decision logic.", change, current),
-        )
-        .otherwise("Review the recorded change and assess its impact on agent behavior.")
-    )

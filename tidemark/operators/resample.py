@@ -11,6 +11,7 @@ from tidemark.functions import columns as C
 from tidemark.functions import constants as K
 from tidemark.operators import compare as CM
 from tidemark.operators import distance as D
+from tidemark.operators import pairs as P
 from tidemark.operators import ranks
 
 REPLICATE = [*K.PAIR, "replicate"]
@@ -214,21 +215,31 @@ def runs_forecast(replicates: DataFrame, sizes: DataFrame, target: float = 0.10)
 
 
 def bootstrap_mean_diff(
-    runs: DataFrame, pairs: DataFrame, column: str = "latency_ms", b: int = 1000, cap: int = K.BOOTSTRAP_CAP, seed: int = K.SEED
+    runs: DataFrame, pairs: DataFrame, column: str = "latency_ms", b: int = 1000, seed: int = K.SEED
 ) -> DataFrame:
-    """Observed difference of means and its resampled 95 % bounds, read by index."""
-    sample = capped_sample(runs.where(F.col(column).isNotNull()), cap, seed).select(*K.GROUP, "idx", column)
-    samples = paired_samples(sample, pairs, [column])
-    total = lambda rows: F.aggregate(rows, F.lit(0.0), lambda acc, d: acc + d[column].cast("double"))
-    means = _draw(samples, b, seed).select(*REPLICATE, "chunk", "side", (total("drawn") / F.col("n")).alias("mean"))
-    on = lambda side: F.max(F.when(F.col("side") == side, F.col("mean")))
-    diffs = means.groupBy(*REPLICATE, "chunk").agg((on("c") - on("b")).alias("diff"))
-    at = lambda i: F.element_at(F.array_sort(F.collect_list("diff")), i + 1)  # noqa: E731  (b values per pair)
-    bounds = diffs.groupBy(*K.PAIR).agg(
-        at(int(0.025 * b)).alias("ci_lower"), at(min(int(0.975 * b), b - 1)).alias("ci_upper")
-    )
-    observed = samples.where(F.col("chunk") == 0).select(
+    """Observed difference of means and its resampled 95 % bounds, read by index; both from all runs.
+
+    A run's place in a round is its Poisson(1) number of draws, so a round is a sum over runs that is
+    partly added up before it is shuffled, and no group has to fit in a task. Rounds that draw no run of
+    a side (groups of a few runs) do not count.
+    """
+    values = runs.where(F.col(column).isNotNull()).select(*K.GROUP, "id", F.col(column).cast("double").alias("x"))
+    rounds = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("replicate"))
+    drawn = rounds.withColumn(
+        "u", C.seeded_index([F.lit(seed), *[F.col(k) for k in K.GROUP], F.col("id"), F.col("replicate")], F.lit(2**32))
+    ).withColumn("draws", C.poisson_draws(F.col("u")))
+    means = drawn.groupBy(*K.GROUP, "replicate").agg(
+        F.try_divide(F.sum(F.col("draws") * F.col("x")), F.sum("draws")).alias("mean")
+    )
+    per_group = means.groupBy(*K.GROUP).agg(F.sort_array(F.collect_list(F.struct("replicate", "mean"))).alias("means"))
+    observed = values.groupBy(*K.GROUP).agg(F.avg("x").alias("observed"))
+    wide = P.both_sides(per_group.join(observed, K.GROUP), pairs, ["means", "observed"])
+    diffs = F.zip_with("b_means", "c_means", lambda x, y: y["mean"] - x["mean"])
+    n = F.size("diffs")
+    at = lambda i: F.get(F.col("diffs"), i.cast("int"))
+    return wide.withColumn("diffs", F.array_sort(F.filter(diffs, lambda d: d.isNotNull()))).select(
         *K.PAIR,
-        (total("current_rows") / F.size("current_rows") - total("baseline_rows") / F.size("baseline_rows")).alias("mean_diff"),
+        (F.col("c_observed") - F.col("b_observed")).alias("mean_diff"),
+        at(F.floor(n * 0.025)).alias("ci_lower"),
+        at(F.least(F.floor(n * 0.975), n - 1)).alias("ci_upper"),
     )
-    return observed.join(bounds, K.PAIR)

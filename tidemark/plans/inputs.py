@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import ranks
-
-LONGEST = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def runs_from_events(spark: SparkSession, sf_dir: str, one_agent: bool = False) -> DataFrame:
     """One run per user and day; tools are the event types in time order.
 
-    A day of more than LONGEST events becomes several runs, so no tool list grows without bound
-    however many events one user has.
+    A tool list is as long as the user's day, which the source bounds and the engine does not cut.
     """
     events = table(spark, sf_dir, "events").select(
         "user_id",
@@ -30,9 +26,7 @@ def runs_from_events(spark: SparkSession, sf_dir: str, one_agent: bool = False)
         "value",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
-    numbered = ranks.numbered(events, ["user_id", "day"], "ts", ["event_id"], name="rn")
-    parts = numbered.withColumn("part", F.expr(f"(rn - 1) div {LONGEST}"))
-    grouped = parts.groupBy("user_id", "day", "part").agg(
+    grouped = events.groupBy("user_id", "day").agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value"))).alias("steps"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("completed_at"),
@@ -48,7 +42,7 @@ def runs_from_events(spark: SparkSession, sf_dir: str, one_agent: bool = False)
     last = F.element_at("tools", -1)
     week = F.expr("datediff(day, DATE'2024-01-01') div 7 + 1")
     return grouped.withColumn("tools", tools).select(
-        F.concat_ws("-", F.col("user_id"), F.col("day"), F.when(F.col("part") > 0, F.col("part"))).alias("id"),
+        F.concat_ws("-", F.col("user_id"), F.col("day")).alias("id"),
         (F.lit("agent-0") if one_agent else F.concat(F.lit("agent-"), F.col("user_id") % 4)).alias("session_id"),
         F.concat(F.lit("v"), week).alias("deployment_version"),
         F.when(F.col("user_id") % 10 == 0, "unknown").otherwise("release").alias("version_source"),

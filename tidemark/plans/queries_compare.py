@@ -738,13 +738,19 @@ BRIDGE = values([(c, d) for c, ds in K.CHANGE_DIMS.items() for d in ds], "change
 O.CTES["x_affected"] = f"""SELECT {P}, c.change_type, d.dim FROM x_cdiff c JOIN x_dims d USING ({P}) WHERE changed AND d.score>0.15
     AND (c.change_type NOT IN ({', '.join(f"'{c}'" for c in K.CHANGE_DIMS)}) OR EXISTS (SELECT 1 FROM {BRIDGE} b WHERE b.change_type=c.change_type AND b.dim=d.dim))"""
 query("j6_affected_dims", f"SELECT {P}, change_type, dim FROM x_affected")(lambda w: decide.affected_dims(decide.change_diff(changes(w), w.pairs), dims(w)))
+ADVICE_SQL = values(list(K.ADVICE.items()), "advice_key, advice")
 query(
     "v5_root_cause",
-    f"""SELECT {P}, change_type AS winner, {NR('s')} AS winner_score, CASE WHEN s>=0.8 THEN 'HIGH' WHEN s>=0.5 THEN 'MEDIUM' WHEN s>=0.2 THEN 'LOW' ELSE 'UNLIKELY' END AS confidence, previous, current, affected, ruled_out FROM (
-    SELECT {P}, coalesce(array_to_string(list(change_type ORDER BY change_type) FILTER (NOT changed), ','), '') AS ruled_out FROM x_cdiff GROUP BY {P}) LEFT JOIN (
+    f"""SELECT {P}, has_changes, winner, {NR('s')} AS winner_score, CASE WHEN s>=0.8 THEN 'HIGH' WHEN s>=0.5 THEN 'MEDIUM' WHEN s>=0.2 THEN 'LOW' WHEN s IS NOT NULL THEN 'UNLIKELY' END AS confidence, previous, current, affected, ruled_out,
+    replace(replace(replace(coalesce(advice, (SELECT advice FROM {ADVICE_SQL} WHERE advice_key='other')), '{{type}}', coalesce(winner, 'None')), '{{previous}}', coalesce(previous, 'None')), '{{current}}', coalesce(current, 'None')) AS suggested_action
+    FROM (SELECT {P}, o.ruled_out IS NOT NULL AS has_changes, w.change_type AS winner, CASE WHEN o.ruled_out IS NOT NULL THEN coalesce(w.s, 0.0) END AS s, previous, current, coalesce(affected, '') AS affected, coalesce(o.ruled_out, '') AS ruled_out,
+      CASE WHEN o.ruled_out IS NULL THEN 'nothing recorded' WHEN w.change_type IS NULL THEN 'nothing changed' WHEN w.change_type='model_version' AND (previous IS NULL OR current IS NULL) THEN 'model_version, one side'
+        WHEN w.change_type LIKE 'custom%' THEN 'custom' ELSE w.change_type END AS advice_key
+    FROM (SELECT {P} FROM x_pairs) LEFT JOIN (
+    SELECT {P}, coalesce(array_to_string(list(change_type ORDER BY change_type) FILTER (NOT changed), ','), '') AS ruled_out FROM x_cdiff GROUP BY {P}) o USING ({P}) LEFT JOIN (
     SELECT * FROM (SELECT {P}, change_type, previous, current, coalesce(affected, '') AS affected, coalesce(hits/drifted, 0.0) AS s, row_number() OVER (PARTITION BY {P} ORDER BY coalesce(hits/drifted, 0.0) DESC, change_type) AS rn
       FROM (SELECT * FROM x_cdiff WHERE changed) LEFT JOIN (SELECT {P}, change_type, count(*) AS hits, array_to_string(list(dim ORDER BY dim), ',') AS affected FROM x_affected GROUP BY {P}, change_type) USING ({P}, change_type)
-      LEFT JOIN (SELECT {P}, count(*) AS drifted FROM x_dims WHERE score>0.15 GROUP BY {P}) USING ({P})) WHERE rn=1) USING ({P})""",
+      LEFT JOIN (SELECT {P}, count(*) AS drifted FROM x_dims WHERE score>0.15 GROUP BY {P}) USING ({P})) WHERE rn=1) w USING ({P})) LEFT JOIN {ADVICE_SQL} USING (advice_key)""",
 )(lambda w: decide.root_cause(dims(w), changes(w), w.pairs))
 query(
     "v6_rollback",
@@ -756,15 +762,18 @@ LEFT = {
     "overall": "drift_score", "decision": "decision_drift", "latency": "latency", "error": "error_rate", "tool": "tool_jsd", "tool_decrease": "abs(fall_pct)",
     "tool_increase": "rise_pct", "escalation": "esc", "baseline_runs": "baseline_n", "current_runs": "current_n",
 }
-HOLDS = " AND ".join(f"({c} IS NULL OR coalesce({LEFT[c.rsplit('_', 1)[0]]}{op}{c}, false))" for c, op in decide.RULE_COLUMNS.items())
+HOLDS = " AND ".join(f"({c} IS NULL OR coalesce({LEFT[k]}{op}{c}, false))" for c, (k, op) in decide.RULE_COLUMNS.items())
 O.CTES["x_facts"] = f"""SELECT d.*, w.tool_jsd, coalesce(e.d, 0.0) AS esc, m.fallen_tool, m.fall_pct, m.risen_tool, m.rise_pct FROM x_drift d JOIN x_wide w USING ({P}) LEFT JOIN x_moves m USING ({P})
     LEFT JOIN (SELECT {P}, q-p AS d FROM x_shares WHERE kind='outcome' AND key='escalated') e USING ({P})"""
 FILL = lambda t, tool, pct: f"replace(replace({t}, '{{{{tool_name}}}}', {tool}), '{{{{delta_pct}}}}', printf('%.0f', abs({pct})))"
 DOWN = f"CASE WHEN abs(fall_pct)>=99 THEN 'Tool '''||fallen_tool||''' dropped from baseline — no longer being called' ELSE {FILL('observation', 'fallen_tool', 'fall_pct')} END"
 UP = FILL("observation", "risen_tool", "rise_pct")
+EITHER = f"""CASE WHEN risen_tool IS NOT NULL AND rise_pct>=99 THEN 'Tool '''||risen_tool||''' is new in current version — not present in baseline' WHEN fallen_tool IS NOT NULL THEN {DOWN}
+    WHEN risen_tool IS NOT NULL THEN {UP} ELSE observation END"""
+FALLING, RISING = "rule_id LIKE '%decrease%'", "(rule_id LIKE '%increase%' OR rule_id LIKE '%escalation%')"
 HYPOTHESES = f"""SELECT {P}, rule_order, rule_id,
-    CASE WHEN rule_id LIKE '%decrease%' THEN {DOWN} WHEN rule_id LIKE '%increase%' THEN {UP} ELSE observation END AS observation, likely_cause,
-    replace(recommended_action, '{{{{tool_name}}}}', coalesce(CASE WHEN rule_id LIKE '%decrease%' THEN fallen_tool ELSE risen_tool END, '')) AS recommended_action FROM x_facts, {RULE_SQL} WHERE {HOLDS}"""
+    CASE WHEN {FALLING} THEN coalesce({DOWN}, observation) WHEN {RISING} THEN coalesce({UP}, observation) ELSE {EITHER} END AS observation, likely_cause,
+    coalesce(replace(recommended_action, '{{{{tool_name}}}}', CASE WHEN {FALLING} THEN fallen_tool WHEN {RISING} THEN risen_tool ELSE coalesce(fallen_tool, risen_tool) END), recommended_action) AS recommended_action FROM x_facts, {RULE_SQL} WHERE {HOLDS}"""
 
 
 def found_hypotheses(w):
@@ -773,9 +782,7 @@ def found_hypotheses(w):
     )
 
 
-query("v7_hypotheses", f"SELECT {P}, rule_order, rule_id, observation, likely_cause, recommended_action FROM ({HYPOTHESES}) WHERE rule_id LIKE 'tool%'")(
-    lambda w: found_hypotheses(w).where("rule_id like 'tool%'")
-)
+query("v7_hypotheses", HYPOTHESES)(found_hypotheses)
 query("j10_rules_with_drift", f"SELECT {P}, rule_id FROM ({HYPOTHESES})")(lambda w: found_hypotheses(w).select(*K.PAIR, "rule_id"))
 query("v11_validate_limits", "SELECT p_brand||'_limit' AS budget_key, CAST(count(*) AS VARCHAR) AS limit_text, 'unknown key' AS problem FROM part GROUP BY p_brand UNION ALL SELECT 'max_error_rate', 'high', 'not a number' FROM (SELECT 1 FROM part HAVING count(*)>0)")(
     lambda w: budget.validate_limits(
@@ -813,10 +820,11 @@ O.CTES["x_history"] = f"""SELECT d.*, f.recorded_at, md5(concat_ws('|', d.sessio
 query("s12_verdict_history", f"SELECT {P}, verdict_id, {r('drift_score')} AS drift_score, verdict, severity, tier, {ts('x_history.recorded_at')} AS recorded_at FROM x_history ORDER BY x_history.recorded_at DESC, verdict_id DESC LIMIT 50")(
     lambda w: runs_io.list_verdicts(history(w), 50)
 )
-query(
-    "t9_last_good_version",
-    "SELECT environment, arg_max(current_version, (recorded_at, verdict_id)) AS last_good_version FROM (SELECT *, row_number() OVER (PARTITION BY environment ORDER BY recorded_at DESC, verdict_id DESC) AS rn FROM x_history) WHERE rn<=50 AND (verdict IS NULL OR verdict='SHIP') GROUP BY environment",
-)(lambda w: decide.last_good_version(history(w)))
+LAST_GOOD = "SELECT environment, arg_max(coalesce(nullif(current_version, ''), baseline_version), (recorded_at, verdict_id)) AS last_good_version FROM {} WHERE verdict IS NULL OR verdict='SHIP' GROUP BY environment"
+query("t9_last_good_version", LAST_GOOD.format("x_history"))(lambda w: decide.last_good_version(history(w)))
+query("t9_last_good_of_newest", LAST_GOOD.format("(SELECT * FROM x_history ORDER BY recorded_at DESC, verdict_id DESC LIMIT 50)"))(
+    lambda w: decide.last_good_version(history(w), window=50)
+)
 query(
     "t10_newest_records",
     "SELECT session_id, verdict_id, current_version FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY recorded_at DESC, verdict_id DESC) AS rn FROM x_history) WHERE rn<=3",
@@ -890,13 +898,15 @@ query("q8_mde", f"SELECT {P}, dim, {r(f'{Z}*sigma*sqrt(1/b_n+1/c_n)')} AS mde FR
 query("q9_runs_forecast", f"SELECT {P}, dim, CAST(greatest(0, ceil(2*pow({Z}*sigma/0.1::DOUBLE, 2))-(b_n+c_n)) AS BIGINT) AS more_runs FROM x_sigma JOIN x_wide USING ({P})")(
     lambda w: resample.runs_forecast(replicates(w), sizes(w))
 )
-O.CTES["x_draws1000"] = O.CTES["x_draws"].replace("range(0, 500)", "range(0, 1000)")
+POISSON_SQL = "+".join(f"(u>={cut})::INT" for cut in K.POISSON_CUTS)
+O.CTES["x_rounds"] = f"""SELECT {G}, replicate, sum(draws*latency_ms)/nullif(sum(draws), 0) AS mean FROM (SELECT *, {POISSON_SQL} AS draws FROM (
+    SELECT {G}, latency_ms, replicate, CAST(('0x'||substr(md5('42:'||{" ||':'|| ".join(K.GROUP)}||':'||id||':'||replicate), 1, 8)) AS BIGINT) AS u FROM x_runs, (SELECT unnest(range(0, 1000)) AS replicate) WHERE latency_ms IS NOT NULL)) GROUP BY {G}, replicate"""
 query(
     "q4_bootstrap_mean_diff",
     f"""SELECT {P}, {r('mean_diff')} AS mean_diff, {r('ci_lower')} AS ci_lower, {r('ci_upper')} AS ci_upper FROM (
-    SELECT {P}, list_sort(list(diff))[26] AS ci_lower, list_sort(list(diff))[976] AS ci_upper FROM (
-      SELECT {PR}, avg(latency_ms) FILTER (side='c')-avg(latency_ms) FILTER (side='b') AS diff FROM x_draws1000 JOIN x_sided USING ({P}, side, idx) GROUP BY {PR}) GROUP BY {P})
-    JOIN (SELECT {P}, avg(latency_ms) FILTER (side='c')-avg(latency_ms) FILTER (side='b') AS mean_diff FROM x_sided GROUP BY {P}) USING ({P})""",
+    SELECT {P}, list_sort(list(diff))[CAST(floor(count(*)*0.025::DOUBLE) AS INT)+1] AS ci_lower, list_sort(list(diff))[CAST(least(floor(count(*)*0.975::DOUBLE), count(*)-1) AS INT)+1] AS ci_upper FROM (
+      SELECT {P}, replicate, max(mean) FILTER (side='c')-max(mean) FILTER (side='b') AS diff FROM x_rounds JOIN x_sides USING ({G}) GROUP BY {P}, replicate) WHERE diff IS NOT NULL GROUP BY {P})
+    JOIN (SELECT {P}, avg(latency_ms) FILTER (side='c')-avg(latency_ms) FILTER (side='b') AS mean_diff FROM x_runs JOIN x_sides USING ({G}) GROUP BY {P}) USING ({P})""",
 )(lambda w: resample.bootstrap_mean_diff(w.runs, w.pairs))
 query("v4_verdict_payload")(
     lambda w: decide.verdict_payload(
