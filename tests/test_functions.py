@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import constants as K
-from tidemark.operators import budget, calibrate, decide, select, usecase
+from tidemark.operators import budget, calibrate, decide, resample, select, usecase
 from tidemark.sources import runs as runs_io
 from tidemark.sources import traces as T
 
