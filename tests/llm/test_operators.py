@@ -223,6 +223,14 @@ def test_toxicity_learns(spark):
     assert toxicity.keep_clean(frame, own).count() == 182
 
 
+def test_toxicity_without_enough_labels(spark):
+    """Equal texts all fall into one part, so nothing is left to calibrate with: every score is 0 and all rows stay."""
+    frame = spark.createDataFrame([(k, "") for k in range(40)], "doc_id long, text string")
+    own = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    assert {(r.score, r.predicted) for r in toxicity.judge(frame, own).collect()} == {(0.0, 0)}
+    assert toxicity.keep_clean(frame, own).count() == 40
+
+
 def test_isotonic_rises():
     xs, ys = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(ys) >= 0).all() and ys[0] == 0 and ys[-1] == 1 and np.interp(2.5, xs, ys) == 0.5

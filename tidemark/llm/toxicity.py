@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
+from tidemark.llm.common import keep, query, table
 from tidemark.llm.rules import labelled_sample
 
 SAMPLE = 9000
@@ -134,30 +134,14 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration. Trained on one half of the sample, calibrated on the other."""
+    """Lexicon, trees and calibration. The trees learn from the rows out of ``fold``, the calibration from those in it."""
 
-    def __init__(self, texts: list[str], y: np.ndarray) -> None:
-        fold = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 3 == 0 for t in texts], bool)
-        self.lexicon = self._lexicon([t for t, f in zip(texts, fold, strict=True) if not f], y[~fold])
-        x = np.array([features(t, self.lexicon) for t in texts]).reshape(len(texts), -1)
+    def __init__(self, lexicon: frozenset[str], x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> None:
+        self.lexicon = lexicon
         self.boosted = Boosted(x[~fold], y[~fold])
         # Equal raw scores meet in the calibration however little they differ by.
         self.points = isotonic(np.round(self.boosted.raw(x[fold]), 3), y[fold])
 
-    @staticmethod
-    def _lexicon(texts: list[str], y: np.ndarray) -> frozenset[str]:
-        """Words held by far more toxic texts than others, as they stand and with look-alikes read as letters."""
-        toxic, other = {}, {}
-        for text, label in zip(texts, y, strict=True):
-            held = toxic if label else other
-            own = set(plain_words(text))
-            for w in own | {w[:STEM] + "*" for w in own if len(w) > STEM}:
-                held[w] = held.get(w, 0) + 1
-        n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-        rated = {w: np.log((c + 0.5) / (n1 + 1)) - np.log((other.get(w, 0) + 0.5) / (n0 + 1)) for w, c in toxic.items() if w and c >= max(3, 0.01 * n1)}
-        best = sorted((w for w, r in rated.items() if r > np.log(8)), key=lambda w: (-rated[w] * toxic[w], w))
-        return frozenset(best[:LEXICON])
-
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
@@ -165,24 +149,68 @@ class Model:
         return np.clip(np.interp(np.round(self.boosted.raw(x), 3), *self.points), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """A model from at most ``sample`` toxic and ``sample`` other labelled rows outside the held-out third; None where one kind is missing."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, sample: int) -> DataFrame:
+    """(_id, text, _label, fold) of at most ``sample`` toxic and ``sample`` other labelled ids outside the held-out third.
+
+    An id with several labels has the largest, one with several texts the smallest. ``fold`` hangs on the text.
+    """
     where = TRAINING.replace("doc_id", f"`{id_col}`")
     kinds = [labelled_sample(docs, labels.where(F.col(label) == k), id_col, label, sample, where) for k in (1, 0)]
     chosen = F.broadcast(kinds[0].union(kinds[1]))  # bounded by the parameter
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(chosen, F.col("id") == F.col("_id")).select("text", "_label")
-    found = [(r.text or "", r._label) for r in rows.limit(2 * sample).toLocalIterator()]
-    y = np.array([label for _, label in found], float)
-    if len(set(y)) < 2 or min(np.bincount(y.astype(int))) < 6:
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, F.col("id") == F.col("_id"))
+    one = rows.groupBy("_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
+    return keep(one.withColumn("fold", F.crc32("text") % 3 == 0), "labelled")
+
+
+def lexicon(rows: DataFrame, n_toxic: int, n_other: int) -> frozenset[str]:
+    """Words held by far more toxic texts than others, as they stand and as stems; counted over ``rows`` in tasks."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, toxic = [], []
+            for i, (text, label) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_label").to_pylist(), strict=True)):
+                own = set(plain_words(text))
+                own |= {w[:STEM] + "*" for w in own if len(w) > STEM}
+                words += own
+                toxic += [label] * len(own)
+                if len(words) > 100_000 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["word", "toxic"])
+                    words, toxic = [], []
+
+    counted = rows.select("text", "_label").mapInArrow(held, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other"))
+    rate = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
+    able = counted.where((F.col("word") != "") & (F.col("toxic") >= max(3, 0.01 * n_toxic))).withColumn("rate", rate).where(F.col("rate") > float(np.log(8)))
+    return frozenset(r.word for r in able.orderBy((F.col("rate") * F.col("toxic")).desc(), "word").limit(LEXICON).collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
+    """A model from at most ``sample`` toxic and ``sample`` other labelled rows outside the held-out third.
+
+    None where a kind has under 6 rows or is missing from the part for the trees or from the part for the
+    calibration. Texts stay in tasks: the driver gets the lexicon and ten numbers a row.
+    """
+    rows = labelled(docs, labels, id_col, text, label, sample)
+    n = {(r._label, r.fold): r.n for r in rows.groupBy("_label", "fold").agg(F.count("*").alias("n")).collect()}
+    if any(not n.get((k, False)) or not n.get((k, True)) or n[k, False] + n[k, True] < 6 for k in (0, 1)):
         return None
-    return Model([t for t, _ in found], y)
+    words = lexicon(rows.where("not fold"), n[1, False], n[0, False])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [features(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("fold"), pa.array(own, pa.list_(pa.float64()))], names=["_label", "fold", "features"])
+
+    found = rows.select("text", "_label", "fold").mapInArrow(measure, "_label int, fold boolean, features array<double>").collect()
+    found = sorted((tuple(r.features), r._label, r.fold) for r in found)  # sums do not hang on the order of tasks
+    return Model(words, np.array([r[0] for r in found]), np.array([r[1] for r in found], float), np.array([r[2] for r in found], bool))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``score`` and ``predicted``.
 
     Only the text enters a score. Null and empty texts get the score of an empty text. A null id is not held
-    out. Without labels of both kinds every score is 0. One scan of all texts, no shuffle.
+    out. Without enough labels of both kinds (``fit``) every score is 0. One scan of all texts; only the labelled
+    sample is shuffled.
     """
     model = fit(docs, labels, id_col, text)
 
