@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import constants as K
-from tidemark.operators import anomaly, budget, calibrate, compare, decide, distance, fingerprint, resample, significance, usecase
+from tidemark.operators import anomaly, budget, calibrate, calibrated, compare, decide, distance, fingerprint, resample, significance, usecase
 from tidemark.operators import pairs as pairs_ops
 from tidemark.plans import oracle as O
 from tidemark.plans.oracle import G, P, SCORES, VECTOR, clamp, r, sigmoid, values
@@ -693,6 +693,55 @@ query(
       UNION ALL SELECT session_id, beh_case, beh_share FROM x_blend UNION ALL SELECT session_id, 'GENERAL', general_share FROM x_blend)) JOIN x_presets USING (use_case) GROUP BY ALL)""",
 )(lambda w: usecase.blended_weights(usecase.blend_use_case(brand_agents(w), usecase.behaviour_use_case(signals(w)))))
 
+# ---- the calibrated comparison: use cases, weights, tiers and cuts in one job --------------------
+O.CTES["x_cal_presets"] = f"""SELECT session_id, dim, raw/sum(raw) OVER (PARTITION BY session_id) AS preset FROM (SELECT session_id, dim, sum(share*preset) AS raw FROM (
+    SELECT session_id, CASE WHEN list_contains({CASES}, c) THEN c ELSE 'GENERAL' END AS use_case, share FROM (SELECT session_id, kw_case AS c, kw_share AS share FROM x_blend
+      UNION ALL SELECT session_id, beh_case, beh_share FROM x_blend UNION ALL SELECT session_id, 'GENERAL', general_share FROM x_blend)) JOIN x_presets USING (use_case) GROUP BY ALL)"""
+O.CTES["x_cal_relw"] = f"""SELECT {G}, dim, preset*reliability/sum(preset*reliability) OVER (PARTITION BY {G}) AS weight FROM x_stats JOIN x_cal_presets USING (session_id, dim)"""
+for step in ("factors", "corrw", "redist"):
+    body = O.CTES[f"x_{step}"]
+    for part in ("relw", "factors", "corrw"):
+        body = body.replace(f"x_{part}", f"x_cal_{part}")
+    O.CTES[f"x_cal_{step}"] = body
+O.CTES["x_cal_cuts"] = f"""SELECT session_id, environment, deployment_version AS baseline_version, {', '.join(f"sum(threshold*weight) FILTER (level='{level}') AS {level.lower()}" for level in K.COMPOSITE_CUTS)}
+    FROM x_thr JOIN x_cal_redist USING ({G}, dim) GROUP BY ALL"""
+O.CTES["x_cal_totals"] = f"""SELECT {P}, sum(weight*term) AS total, max(score) FILTER (dim='decision_drift') AS decision FROM x_dims
+    JOIN (SELECT session_id, environment, deployment_version AS baseline_version, dim, weight FROM x_cal_redist) USING (session_id, environment, baseline_version, dim) GROUP BY {P}"""
+O.CTES["x_cal_drift"] = f"""SELECT *, CASE WHEN tier<>'TIER3' THEN 'none' WHEN drift_score>=0.5*factor THEN 'critical' WHEN drift_score>=0.35*factor THEN 'significant'
+      WHEN drift_score>=0.2*factor THEN 'moderate' WHEN drift_score>=0.1*factor THEN 'low' ELSE 'none' END AS severity
+    FROM (SELECT {P}, b_n, c_n, tier, needed, CASE WHEN smaller_n>=50 THEN 1.0 ELSE 1.0+(ln(50)-ln(smaller_n))/ln(50) END AS factor,
+        CASE WHEN tier<>'TIER3' THEN 0.0 ELSE decision END AS decision_drift,
+        CASE WHEN tier<>'TIER3' THEN 0.0 WHEN decision>0.3 THEN greatest({clamp('total')}, 0.15) ELSE {clamp('total')} END AS drift_score
+      FROM x_wide JOIN x_tiers USING ({P}) JOIN x_cal_totals USING ({P}))"""
+O.CTES["x_cal_judged"] = f"""SELECT *, CASE WHEN tier<>'TIER3' THEN NULL WHEN drift_score>cut_block OR decision_drift>0.40 THEN 'BLOCK'
+      WHEN drift_score>cut_review OR decision_drift>0.25 THEN 'REVIEW' WHEN drift_score>cut_monitor THEN 'MONITOR' ELSE 'SHIP' END AS verdict,
+      CASE severity WHEN 'critical' THEN 'BLOCK' WHEN 'significant' THEN 'REVIEW' WHEN 'moderate' THEN 'MONITOR' ELSE 'SHIP' END AS severity_verdict
+    FROM (SELECT d.*, CASE WHEN b_n<30 THEN 'preset' ELSE 'statistical' END AS method,
+        {', '.join(f"coalesce(CASE WHEN b_n<30 THEN {cut}::DOUBLE ELSE {level.lower()}*{VOLUME.replace('*0.75::DOUBLE', '')} END, {cut}::DOUBLE) AS cut_{level.lower()}" for level, cut in K.COMPOSITE_CUTS.items())}
+      FROM x_cal_drift d LEFT JOIN x_cal_cuts USING (session_id, environment, baseline_version))"""
+
+
+@memo("calibrated_weights")
+def calibrated_weights(w):
+    presets = usecase.blended_weights(usecase.blend_use_case(brand_agents(w), usecase.behaviour_use_case(signals(w)))).withColumnRenamed("weight", "preset")
+    return calibrated.baseline_weights(rho(w), stats(w), w.keep(presets, "inferred_presets"), gone(w))
+
+
+@memo("judged")
+def judged(w):
+    return calibrated.judged(w.wide, stats(w), calibrated_weights(w), quantiles(w)).drop("failed_checks")
+
+
+query(
+    "d7_calibrated",
+    f"SELECT {P}, b_n AS baseline_n, c_n AS current_n, tier, {r('decision_drift')} AS decision_drift, {r('drift_score')} AS drift_score, severity FROM x_cal_drift",
+)(lambda w: judged(w).select(*K.PAIR, "baseline_n", "current_n", "tier", "decision_drift", "drift_score", "severity"))
+query(
+    "v1_calibrated",
+    f"""SELECT {P}, tier, method, {', '.join(f"{r('cut_' + c)} AS {c}" for c in ("monitor", "review", "block"))}, verdict, severity_verdict,
+    CASE WHEN verdict IN ('REVIEW','BLOCK') THEN 1 ELSE 0 END AS exit_code FROM x_cal_judged""",
+)(lambda w: judged(w).select(*K.PAIR, "tier", "method", "monitor", "review", "block", "verdict", "severity_verdict", "exit_code"))
+
 # ---- decisions ---------------------------------------------------------------------------------
 query(
     "v1_verdict",
