@@ -196,6 +196,40 @@ def test_lines(docs):
     assert cut[31] == prose(5, 50)
 
 
+def test_passages_inside_lines(spark):
+    """A passage within longer lines, where no whole line repeats: the sentences of the later document go."""
+    passage = "The 𝄞 number one has eight words here. And the second one has just as many words!"
+    rows = [(1, f"alpha é beta. {passage} Gamma ends."), (2, f"Delta\n Epsilon 3.14\t{passage}"), (3, f"Zeta? {passage.upper()}  Eta"), (4, None), (None, passage)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not lines.repeated_units(frame).where("doc_id is not null").count()
+    gone = lines.repeated_units(frame, cut=lines.sentences).collect()
+    cut = {(r.doc_id, dict(rows)[r.doc_id][r.start : r.end].strip(), r.kept_in) for r in gone}
+    first, second = passage.split(". ")
+    assert cut == {(2, second, 1), (3, first.upper() + ".", 1), (3, second.upper(), 1), (None, first + ".", 1), (None, second, 1)}
+    left = {r.doc_id: r.text for r in lines.without_sentences(frame, lines.repeated_units(frame, cut=lines.sentences)).collect()}
+    assert left[3] == "Zeta?  Eta" and left[2] == rows[1][1].removesuffix(" " + second) and left[1] == rows[0][1] and left[4] is None
+
+
+def test_sentences_brute(docs):
+    """Against pieces cut by a regular expression, with the same normalisation."""
+    first, all_units = {}, []
+    for i, t in texts():
+        at = n = 0
+        for line in (t or "").split("\n"):
+            for piece in re.split(r"(?<=[.!?])(?=[ \t\v\f\r])", line):
+                words = WORD.findall(piece.translate(lines.FOLD))
+                if len(words) >= lines.LEAST_WORDS:
+                    all_units.append((i, n, at, at + len(piece), tuple(words)))
+                n, at = n + 1, at + len(piece)
+            at += 1
+    for i, n, _, _, w in all_units:
+        if i is not None:
+            first[w] = min(first.get(w, (i, n)), (i, n))
+    want = [(i, n, s, e, *first[w]) for i, n, s, e, w in all_units if w in first and (i is None or (i, n) > first[w])]
+    assert want
+    same(lines.repeated_units(docs, cut=lines.sentences), want)
+
+
 def test_mixing_prefixes(docs):
     chosen = mixing.mix(docs, F.lit("d"), {}, 0.5, epochs=1).collect()
     total = sum(r.mix_tokens for r in chosen)

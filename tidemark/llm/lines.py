@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ LEAST_WORDS = 8
 FOLD = str.maketrans(UPPER, LOWER)
 BLANKS = " \t\n\v\f\r"
 ONE_BLANK = str.maketrans(BLANKS, " " * len(BLANKS))
+FLAT = FOLD | {k: v for k, v in ONE_BLANK.items() if k != ord("\n")}
 UNITS = "id long, unit int, start int, end int, digest binary"
 
 
@@ -34,9 +35,27 @@ def units(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int,
         at += len(line) + 1
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def sentences(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
+    """``units`` with lines cut further, after each . ! ? that a blank follows; the blanks go with what is behind them.
+
+    These pieces tile a line, so a repeated line is found by its sentences, and so is a passage inside a longer line.
+    """
+    at = number = 0
+    for line in text.translate(FLAT).split("\n"):
+        for piece in line.replace(". ", ".\n ").replace("! ", "!\n ").replace("? ", "?\n ").split("\n"):
+            words = [w for w in piece.split(" ") if w]
+            if words and len(words) >= least_words:
+                yield number, at, at + len(piece), hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+            number += 1
+            at += len(piece)
+        at += 1
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, cut: Callable = units) -> DataFrame:
     """One row per unit to remove: its document, number, offsets, and the document and unit that keep the text.
 
+    ``cut`` tells the units of a text: ``units`` (whole lines) or ``sentences``.
+
     The earliest occurrence (smallest id, then first in the text) is kept, also within one document. Rows with
     a null id come last and are told apart by nothing, so of them only units that a row with an id holds go.
     Null and empty texts have no units. Rows that repeat an id are one document for ranking: a unit number
@@ -49,7 +68,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [])
             for i, value in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for unit in units(value or "", least_words):
+                for unit in cut(value or "", least_words):
                     for column, v in zip(columns, (i, *unit), strict=True):
                         column.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
@@ -67,7 +86,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def without_units(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the given units cut out of their texts; the other lines keep their order."""
+    """``docs`` with the given units (whole lines) cut out of their texts; the other lines keep their order."""
     by_doc = keep(gone.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_set("unit")).alias("_gone")), "gone")
     wide = docs.alias("d").join(by_doc, F.col(f"d.`{id_col}`") == F.col("_id"), "left")
     lines = F.filter(F.split(F.col(f"d.`{text}`"), "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i))
@@ -75,6 +94,29 @@ def without_units(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
     return wide.select(*(cut.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns))
 
 
+def without_sentences(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the given sentences cut out of their texts; line breaks stay. In rows that repeat an id, only what is a unit there too."""
+    by_doc = keep(gone.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.struct("start", "end")).alias("_gone")), "gone")
+    wide = docs.alias("d").join(by_doc, F.col(f"d.`{id_col}`") == F.col("_id"), "left").select("d.*", "_gone")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for value, spans in zip(batch.column(text).to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+                if value and spans:
+                    out, at, own = [], 0, {(s["start"], s["end"]) for s in spans}
+                    for _, start, end, _ in sentences(value, 1):
+                        if (start, end) in own:
+                            out.append(value[at:start])
+                            at = end
+                    value = "".join([*out, value[at:]])
+                texts.append(value)
+            at = batch.schema.get_field_index(text)
+            yield batch.set_column(at, text, pa.array(texts, batch.schema.field(text).type)).drop_columns(["_gone"])
+
+    return wide.mapInArrow(apply, docs.schema)
+
+
 ORACLE = f"""
 with lines as (
   select doc_id, unnest(range(len(l))) as unit, unnest(l) as line
@@ -95,3 +137,9 @@ select doc_id, unit::int as unit, start::int as start, stop::int as "end", kept_
 @query("op6_substring_dedup", ORACLE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sentence_dedup")
+def op6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside ``op6_substring_dedup``, whose SQL has whole lines of ``LEAST_WORDS`` words or more."""
+    return repeated_units(table(spark, sf_dir, "documents"), cut=sentences)
