@@ -210,6 +210,14 @@ def test_passages_inside_lines(spark):
     assert left[3] == "Zeta?  Eta" and left[2] == rows[1][1].removesuffix(" " + second) and left[1] == rows[0][1] and left[4] is None
 
 
+def test_short_units_of_the_query(spark, tmp_path):
+    """The registered query leaves no unit out, however short: menus, footers, notices."""
+    rows = [(1, "Home About Contact\nOnly here. Top"), (2, "home  about contact\n\nAnother text. Top"), (3, "\n \t\nTop")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gone = lines.op6_sentences(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, dict(rows)[r.doc_id][r.start : r.end].strip(), r.kept_in) for r in gone} == {(2, "home  about contact", 1), (2, "Top", 1), (3, "Top", 1)}
+
+
 def test_sentences_brute(docs):
     """Against pieces cut by a regular expression, with the same normalisation."""
     first, all_units = {}, []

@@ -13,7 +13,7 @@ from tidemark.llm.common import keep, query, table
 from tidemark.llm.urls import LOWER, UPPER
 
 LEAST_WORDS = 8
-"""Shorter units (headings, single words) are never removed: they recur without being copies."""
+"""Shorter units are left out unless a caller asks for them; ``op6_sentence_dedup`` does."""
 
 FOLD = str.maketrans(UPPER, LOWER)
 BLANKS = " \t\n\v\f\r"
@@ -141,5 +141,5 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_sentence_dedup")
 def op6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside ``op6_substring_dedup``, whose SQL has whole lines of ``LEAST_WORDS`` words or more."""
-    return repeated_units(table(spark, sf_dir, "documents"), cut=sentences)
+    """Beside ``op6_substring_dedup``, whose SQL has whole lines of ``LEAST_WORDS`` words or more: every sentence is a unit, of one word too."""
+    return repeated_units(table(spark, sf_dir, "documents"), least_words=1, cut=sentences)
