@@ -46,14 +46,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def more_spans(text: str, base: list[Span]) -> list[Span]:
-    """Further candidates that touch no base span and not each other: key blocks, signed tokens, random-looking runs."""
+    """Further candidates: key blocks, signed tokens, random-looking runs. They may overlap other spans; those wholly inside one are left out."""
     taken, found = list(base), []
     for kind, pattern in (("pem", PEM), ("jwt", JWT), ("random", RANDOM)):
         for m in pattern.finditer(text):
             run = m.group()
             if kind == "random" and not (DIGIT.search(run) and LETTER.search(run) and entropy(run) >= BITS):
                 continue
-            if all(m.end() <= s[0] or s[1] <= m.start() for s in taken):
+            if not any(s[0] <= m.start() and m.end() <= s[1] for s in taken):
                 taken.append((m.start(), m.end(), kind))
                 found.append(taken[-1])
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
