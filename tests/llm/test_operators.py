@@ -309,6 +309,26 @@ def test_urls(spark):
     assert Counter(got) == Counter([(u, *v) for u, v in cases.items()] + [("http://A.Net/x", *cases["http://A.Net/x"])])
 
 
+def test_longer_tokens_behind_patterns(spark):
+    """Tokens that a pattern bounds on one side only index nothing: php is rarest here, and longer in the first url."""
+    hits = {
+        "http://x.com/wp-login.php5": "block", "http://x.com/wp-login.phps?a": "block", "http://x.com/?sessionid=1x": "block", "http://x.com/?phpsessid=1x": "block",
+        "http://x.com/?replytocom=1x": "block", "http://x.com/cgi-bin/5x": "block", "http://x.com/tag/a/page/1x": "block", "http://x.com/ads-track.x5": "block",
+        "http://x.com/casino-win.x5": "block", "http://x.com/free-bets.x5": "block", "http://example.net/en/5x": "allow", "http://x.com/wp-login-php": "allow",
+    }
+    crowd = [f"http://y.com/{t}/{k}" for k in range(3) for t in ("wp", "login")]
+    frame = spark.createDataFrame([(u,) for u in [*hits, *crowd]], "url string")
+    assert {r.url: r.verdict for r in urls.judge(frame).collect()} == hits | dict.fromkeys(crowd, "allow")
+
+
+def test_rules_without_bounded_tokens(spark):
+    """A rule without tokens is fetched by every url, and a site's path may end inside a token."""
+    patterns = (("digits", "block", r"[0-9]{4}$", ()),)
+    frame = spark.createDataFrame([("http://a.com/x1234",), ("http://a.com/dex",), ("http://b.com/x",), (None,)], "url string")
+    got = {r.url: (r.rule, r.verdict) for r in urls.judge(frame, (("a.com/de", "block"), ("é/", "block")), patterns).collect()}
+    assert got == {"http://a.com/x1234": (None, "block"), "http://a.com/dex": ("a.com/de", "block"), "http://b.com/x": (None, "allow"), None: (None, "allow")}
+
+
 def test_vectors(spark):
     draw = np.random.default_rng(3)
     base = draw.normal(size=(3, 16))

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import keep, query, table
 
 # The site rules of the contract (site, verdict) and patterns over the whole lower-case url
-# (name, verdict, pattern). Each pattern holds its literal tokens between non-word characters.
+# (name, verdict, pattern, tokens). Listed are only literal tokens that the pattern bounds by non-word characters on both
+# sides: what it leaves open at an end may be part of a longer token of the url.
 SITES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 PATTERNS = (
     ("session", "block", r"[?&;]sessionid=", ("sessionid",)),
     ("php-session", "block", r"[?&;]phpsessid=", ("phpsessid",)),
     ("reply", "block", r"[?&]replytocom=[0-9]+", ("replytocom",)),
-    ("login", "block", r"/wp-login\.php", ("wp", "login", "php")),
+    ("login", "block", r"/wp-login\.php", ("wp", "login")),
     ("scripts", "block", r"/cgi-bin/", ("cgi", "bin")),
     ("archive", "block", r"/tag/[^/?#]+/page/[0-9]+", ("tag", "page")),
     ("adverts", "block", r"[./]ads-track\.", ("ads", "track")),
@@ -49,7 +50,10 @@ def rule_rows(sites=SITES, patterns=PATTERNS) -> list[tuple]:
     rows = []
     for site, verdict in sites:
         host, _, path = site.partition("/")
-        literal = [t for t in re.split(r"[^a-z0-9]+", site.lower()) if t]
+        split = re.split(r"[^a-z0-9]+", site.lower())
+        if path:
+            split.pop()  # '' behind a last slash; else the start of a token that the path may go on with
+        literal = [t for t in split if t]
         rows.append((site, verdict, True, rf"^(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}", literal, len(site)))
     rows += [(name, verdict, False, pattern, list(literal), len(pattern)) for name, verdict, pattern, literal in patterns]
     return rows
@@ -60,12 +64,14 @@ def judge(pages: DataFrame, sites=SITES, patterns=PATTERNS, url: str = "url", de
 
     The longest site rule that fits decides; without one, the longest pattern that fits; else ``default``.
     Each rule waits under the one of its literal tokens that is rarest in all urls, a url fetches only the
-    rules under its own tokens, and only those run their regular expression. Equal urls are judged once.
+    rules under its own tokens, and only those run their regular expression. Rules without tokens are a list
+    that every url fetches. Equal urls are judged once.
     A null url has an empty host and path and gets ``default``. Rows, repeated ones too, all stay.
     """
     spark = pages.sparkSession
+    rows = rule_rows(sites, patterns)
     rules = spark.createDataFrame(
-        rule_rows(sites, patterns), "name string, verdict string, is_site boolean, pattern string, tokens array<string>, size int"
+        rows, "name string, verdict string, is_site boolean, pattern string, tokens array<string>, size int"
     )
     small = F.broadcast if len(sites) + len(patterns) <= BROADCAST_RULES else (lambda df: df)
     host, path = parts(F.col(url))
@@ -78,7 +84,11 @@ def judge(pages: DataFrame, sites=SITES, patterns=PATTERNS, url: str = "url", de
         F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token")
     )
     index = keep(index, "rules")
-    fetched = distinct.select("u", F.explode("tokens").alias("token")).join(small(index), "token")
+    fetched = distinct.select("u", F.explode("tokens").alias("token")).join(small(index), "token").drop("token")
+    if loose := [r for r in rows if not r[4]]:
+        kinds = ("name", "verdict", "is_site", "pattern", "size")
+        listed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(kinds, (*r[:4], r[5]), strict=True))) for r in loose))
+        fetched = fetched.unionByName(distinct.select("u", F.inline(listed)))
     h, p = parts(F.col("u"))
     subject = F.when(F.col("is_site"), F.concat(h, p)).otherwise(lower(F.col("u")))
     fits = fetched.where(F.regexp_like(subject, F.col("pattern")))
