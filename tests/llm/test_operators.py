@@ -168,6 +168,27 @@ def test_forest_finds_outliers():
     assert (scores[500:] > model[1]).all() and (scores[:500] > model[1]).mean() <= rules.GOOD_LOSS
 
 
+def test_forest_sees_shape(spark):
+    """Repeated windows and lines under the base rule's limit and endless words stand out without capitals and symbols."""
+
+    def junk(seed: int) -> list[str]:
+        own = [prose(7000 + 20 * seed + j, 9) for j in range(11)]
+        return [
+            prose(seed, 70) + " " + f"over and again{seed} " * 19,
+            "\n".join([*own, *(own[j] for j in range(3))]),
+            " ".join("x" * 37 + str(100 * seed + k) for k in range(100, 190)),
+        ]
+
+    normal = {k: "\n".join(prose(100 * k + j, 9) for j in range(8 + k % 9)) for k in range(300)}
+    bad = dict(enumerate((t for seed in range(4) for t in junk(seed)), 1000))
+    unseen = dict(enumerate(junk(9), 2000))
+    labels = spark.createDataFrame([(k, int(k in normal)) for k in (*normal, *bad)], "doc_id long, quality int")
+    frame = spark.createDataFrame([*normal.items(), *bad.items(), *unseen.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in rules.judge(frame, labels).collect()}
+    assert not any(got[k].base_failed or got[k].kept for k in unseen)
+    assert sum(not got[k].kept for k in normal) <= rules.GOOD_LOSS * len(normal)
+
+
 def test_secrets(spark):
     shared, own, hexes = "Zk9x8Qw7Lm6Np5Rt4Yv3", "Bb1Cc2Dd3Ee4Ff5Gg6Hh", "0123456789abcdef" * 2
     rows = [(k, f"x {shared} password = \"{'abc12345' if k % 2 else 'short'}\" AKIA{'A1' * 6} {hexes}g", f"o{k}") for k in range(4)]
