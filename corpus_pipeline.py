@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import jaccard, mixing, packing, secrets, toxicity
 from tidemark.llm.common import keep, table
 
-SHARE, EPOCHS = 0.9, 1
-"""Of the tokens that reach the mixing stage so many are wanted, none more than once."""
+SHARE, EPOCHS = 0.9, mixing.EPOCHS
+"""Of the tokens that reach the mixing stage so many are wanted, each at most twice: with one epoch nearly every leaf is taken whole, whatever its weight."""
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tidemark.llm import jaccard, kernels, lines, mixing, packing, rules, secrets, suffixes, toxicity, urls, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -280,6 +281,13 @@ def test_mixing_prefixes(docs):
     assert all(r.copies == 2 for r in twice if r.mix_tokens)
 
 
+def test_pipeline_mix_follows_the_weights(spark):
+    """Four equal domains: the stage's own share and epochs leave room for weights 1:2:3:4."""
+    leaves = spark.createDataFrame([(f"group{k}", "en", "s", 1000) for k in range(4)], "domain string, language string, leaf_source string, tokens long")
+    got = {r.domain: r.budget for r in mixing.budgets(leaves, mixing.WEIGHTS, F.lit(4000 * corpus_pipeline.SHARE), corpus_pipeline.EPOCHS).collect()}
+    assert got == {"group0": 360, "group1": 720, "group2": 1080, "group3": 1440}
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 100), ("b", "y", "3", 100)], "domain string, language string, leaf_source string, tokens long")
     got = {r.leaf_source: r.budget for r in mixing.budgets(leaves, {}, F.lit(100), 1).collect()}
