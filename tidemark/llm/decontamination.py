@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels
 from tidemark.llm.common import keep, query, table
+from tidemark.llm.units import by_bytes
 
 WINDOW, SHINGLE = 10, 5
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,17 +72,6 @@ def cuts(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about ``size`` bytes together, one row at least: their arrays of hashes stay small."""
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(ends):
-        before = ends[start - 1] if start else 0
-        stop = max(int(np.searchsorted(ends, before + size, "right")), start + 1)
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of ``size`` consecutive words from every place on; the last places of the block have none."""
     n = max(len(hashes) - size + 1, 0)
