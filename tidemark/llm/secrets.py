@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import keep, query, table
@@ -47,15 +49,20 @@ def base_spans(text: str) -> list[Span]:
 
 def more_spans(text: str, base: list[Span]) -> list[Span]:
     """Further candidates: key blocks, signed tokens, random-looking runs. They may overlap other spans; those wholly inside one are left out."""
-    taken, found = list(base), []
+    taken, found = sorted(base), []
     for kind, pattern in (("pem", PEM), ("jwt", JWT), ("random", RANDOM)):
+        # Spans of one pattern do not overlap, so only earlier ones can hold a match: the farthest end among those that start before.
+        starts, farthest = [s[0] for s in taken], list(itertools.accumulate((s[1] for s in taken), max))
+        mine = []
         for m in pattern.finditer(text):
             run = m.group()
             if kind == "random" and not (DIGIT.search(run) and LETTER.search(run) and entropy(run) >= BITS):
                 continue
-            if not any(s[0] <= m.start() and m.end() <= s[1] for s in taken):
-                taken.append((m.start(), m.end(), kind))
-                found.append(taken[-1])
+            before = bisect.bisect_right(starts, m.start())
+            if not before or farthest[before - 1] < m.end():
+                mine.append((m.start(), m.end(), kind))
+        found += mine
+        taken = sorted(taken + mine)
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -71,7 +78,7 @@ def value_of(text: str, span: Span) -> bytes:
 
 
 SPAN_TYPE = "array<struct<start:int,end:int,kind:string,digest:binary>>"
-SCANNED = f"id long, repository string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base {SPAN_TYPE}, more {SPAN_TYPE}"
+SCANNED = f"id long, content string, repository string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base {SPAN_TYPE}, more {SPAN_TYPE}"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,48 +96,61 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for spans, column in ((base, bases), (more, mores)):
                 column.append([{"start": s[0], "end": s[1], "kind": s[2], "digest": value_of(text, s)} for s in spans])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("repository"), batch.column("owner")]
+            [batch.column(c) for c in ("id", "content", "repository", "owner")]
             + [pa.array(c, pa.int64()) for c in counts.values()]
             + [pa.array(shas, pa.string()), pa.array(bases, span), pa.array(mores, span)],
-            names=["id", "repository", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more"],
+            names=["id", "content", "repository", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more"],
         )
 
 
-def ownership(scanned: DataFrame, max_owners: int = 2) -> DataFrame:
+GROUP = "concat('group', cast(try_cast(regexp_extract(source, '([0-9]+)', 1) as int) % 4 as string))"
+"""The owner of a source: documents name none, so sources of one group count as repositories of one owner."""
+
+MAX_OWNERS, MAX_REPOSITORIES = 1, 2
+
+
+def digests(base: str = "base", more: str = "more") -> Column:
+    """The distinct values of a row."""
+    return F.array_distinct(F.transform(F.concat(base, more), lambda s: s["digest"]))
+
+
+def ownership(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(digest, n_documents, n_repositories, n_owners, live) of every candidate of the corpus.
 
-    ``live``: at most ``max_owners`` owners hold it; what more owners share is a copied example. Counts are
+    ``live``: at most ``max_owners`` owners hold it, in however many repositories of theirs, or at most
+    ``max_repositories`` repositories; what is held more widely is a copied example. Counts are
     exact and pre-aggregated per (digest, repository, owner), so one example that a third of all documents
-    hold reaches no task in full. A null owner or repository counts as one of that name.
+    hold reaches no task in full. A null owner or repository counts as one of the name ''.
     """
-    each = scanned.select("owner", "repository", F.explode(F.concat("base", "more")).alias("s")).select(
-        F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.col("s.digest").alias("digest")
-    )
+    each = scanned.select("owner", "repository", F.explode(digests()).alias("digest"))
+    each = each.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), "digest")
     pairs = each.groupBy("digest", "repository", "owner").agg(F.count("*").alias("n"))
-    return pairs.groupBy("digest").agg(
-        F.sum("n").alias("n_documents"),
-        F.countDistinct("repository").alias("n_repositories"),
-        F.countDistinct("owner").alias("n_owners"),
-        (F.countDistinct("owner") <= max_owners).alias("live"),
+    counted = pairs.groupBy("digest").agg(
+        F.sum("n").alias("n_documents"), F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners")
     )
+    return counted.withColumn("live", (F.col("n_owners") <= max_owners) | (F.col("n_repositories") <= max_repositories))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source", max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", repository: str = "source", owner: Column | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per row of ``docs``: id, base counts and digest, and ``spans`` as text and as array.
 
     Base spans always stay. A further candidate is added where its value is live (``ownership``) in the whole
-    corpus. ``n_live`` and ``n_examples`` count all spans of the row by that verdict. Null and empty texts have
-    no spans; rows with a null or repeated id each keep their row (verdicts hang on values, not on rows).
-    The texts are read once; only spans move.
+    corpus. ``owner`` is the repository itself where none is given. ``n_live`` and ``n_examples`` count all spans of the
+    row by that verdict. Null and empty texts have no spans; rows with a null or repeated id each keep their row, and their
+    verdicts: these reach a row by its place in the written scan, not by its id. ``content`` names the text. Extra
+    columns are not looked at, and the names of the result are fixed. The texts are read once; only spans move.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"))
-    scanned = keep(narrow.mapInArrow(_scan, SCANNED), "scanned")
-    owned = keep(ownership(scanned, max_owners), "owned")
-    each = scanned.where(F.size("base") + F.size("more") > 0).select("id", F.explode(F.array_distinct(F.transform(F.concat("base", "more"), lambda s: s["digest"]))).alias("digest"))
-    live = each.join(owned.where("live").select("digest"), "digest").groupBy("id").agg(F.collect_set("digest").alias("live"))
+    value = F.col(f"`{text}`")
+    narrow = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), value.alias("text"), F.md5(value.cast("binary")).alias("content"),
+        F.col(f"`{repository}`").cast("string").alias("repository"), (F.col(f"`{repository}`") if owner is None else owner).cast("string").alias("owner"),
+    )
+    scanned = keep(narrow.mapInArrow(_scan, SCANNED).withColumn("row", F.monotonically_increasing_id()), "scanned")
+    owned = keep(ownership(scanned, max_owners, max_repositories), "owned")
+    each = scanned.where(F.size("base") + F.size("more") > 0).select("row", F.explode(digests()).alias("digest"))
+    live = each.join(owned.where("live").select("digest"), "digest").groupBy("row").agg(F.collect_set("digest").alias("live"))
     live = keep(live, "live")
-    wide = scanned.alias("s").join(live.alias("l"), F.col("s.id") == F.col("l.id"), "left").select("s.*", F.coalesce("l.live", F.array().cast("array<binary>")).alias("live"))
-    # A row without an id can meet no verdicts; its further candidates stay out.
+    wide = scanned.alias("s").join(live.alias("l"), F.col("s.row") == F.col("l.row"), "left").select("s.*", F.coalesce("l.live", F.array().cast("array<binary>")).alias("live"))
     all_spans = F.array_sort(
         F.transform(
             F.concat("base", F.filter("more", lambda s: F.array_contains("live", s["digest"]))),
@@ -139,6 +159,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", repository
     )
     return wide.withColumn("found", all_spans).select(
         F.col("id").alias(id_col),
+        "content",
         "n_assign",
         "n_access",
         "n_hex",
@@ -163,26 +184,26 @@ def masked(text: str, spans: Iterable[tuple[int, int]], mask: str = "[SECRET]")
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the base spans of every text masked, and with the live spans of ``scan`` masked too.
 
-    Live spans reach their row by id, from the few rows that have any; the row's own base spans are found
-    again in place, so rows with null or repeated ids are masked as well.
+    Spans hang on the text and verdicts on values, so live spans reach a row by its text: rows with null or repeated ids are
+    masked as all others, each at its own places. Columns of any name stay as they are; null and empty texts too.
     """
-    more = keep(scanned.where("n_live > 0").groupBy(F.col(id_col).alias("_id")).agg(F.flatten(F.collect_set("found")).alias("_found")), "found")
-    wide = docs.alias("d").join(more, F.col(f"d.`{id_col}`") == F.col("_id"), "left").select("d.*", "_found")
+    more = keep(scanned.where("n_live > 0").groupBy(F.col("content").alias("_content_")).agg(F.first("found").alias("_found_")), "found")
+    wide = docs.alias("d").join(more, F.md5(F.col(f"d.`{text}`").cast("binary")) == F.col("_content_"), "left").select("d.*", "_found_")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for value, found in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist(), strict=True):
+            for value, found in zip(batch.column(text).to_pylist(), batch.column("_found_").to_pylist(), strict=True):
                 if value:
-                    spans = {(s[0], s[1]) for s in base_spans(value)} | {(s["start"], s["end"]) for s in found or () if s["end"] <= len(value)}
+                    spans = {(s[0], s[1]) for s in base_spans(value)} | {(s["start"], s["end"]) for s in found or ()}
                     value = masked(value, spans) if spans else value
                 texts.append(value)
             at = batch.schema.get_field_index(text)
-            yield batch.set_column(at, text, pa.array(texts, batch.schema.field(text).type)).drop_columns(["_found"])
+            yield batch.set_column(at, text, pa.array(texts, batch.schema.field(text).type)).drop_columns(["_found_"])
 
     return wide.mapInArrow(apply, docs.schema)
 
 
 @query("op5_secret_scans")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).drop("found")
+    return scan(table(spark, sf_dir, "documents"), owner=F.expr(GROUP)).drop("found", "content")
