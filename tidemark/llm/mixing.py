@@ -85,8 +85,10 @@ def cuts(docs: DataFrame, leaves: DataFrame, seed: int = SEED) -> DataFrame:
     return keep(plan.join(ends, list(LEVELS)).select(*LEVELS, "whole", "cutoff"), "cuts")
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], share: float, epochs: int = EPOCHS, seed: int = SEED, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` with its levels, ``mix_tokens`` and ``copies``: how often each row is taken.
+def marked(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], share: float, epochs: int = EPOCHS, seed: int = SEED, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """``docs`` with ``_mix_domain``, ``_mix_language``, ``_mix_leaf_source``, ``_mix_tokens`` and ``_mix_copies``: how often each row is taken.
+
+    Columns of any name that does not begin with ``_mix_`` stay beside them as they are.
 
     ``share`` of all tokens is the total budget. A null name is the name ''. Rows without tokens cost nothing
     and are never taken (0 copies). Rows with a null id take part as the identity ''; rows that repeat an id
@@ -95,19 +97,37 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], s
     """
     named = docs.withColumns(
         {
-            "domain": F.coalesce(domain.cast("string"), F.lit("")),
-            "language": F.coalesce(F.col(lang).cast("string"), F.lit("")),
-            "leaf_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
-            "mix_tokens": n_tokens(F.col(text)),
-            "identity": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+            "_mix_domain": F.coalesce(domain.cast("string"), F.lit("")),
+            "_mix_language": F.coalesce(F.col(lang).cast("string"), F.lit("")),
+            "_mix_leaf_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
+            "_mix_tokens": n_tokens(F.col(text)),
+            "_mix_identity": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
         }
     )
-    small = keep(named.select(*LEVELS, "identity", F.col("mix_tokens").alias("n_tokens")), "named")
+    own = [F.col(f"_mix_{level}").alias(level) for level in LEVELS]
+    small = keep(named.select(*own, F.col("_mix_identity").alias("identity"), F.col("_mix_tokens").alias("n_tokens")), "named")
     leaves = keep(small.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     plan = cuts(small, keep(budgets(leaves, weights, F.floor(F.col("all") * share), epochs), "budgets"), seed)
-    prefix = (draw(seed, F.col("whole"), F.col("identity")) <= F.col("cutoff")).cast("int")
-    copies = F.when((F.col("mix_tokens") > 0) & F.col("whole").isNotNull(), F.col("whole").cast("int") + prefix).otherwise(0)
-    return named.join(plan, list(LEVELS), "left").select(*docs.columns, *LEVELS, "mix_tokens", copies.alias("copies"))
+    plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
+    prefix = (draw(seed, F.col("_mix_whole"), F.col("_mix_identity")) <= F.col("_mix_cutoff")).cast("int")
+    copies = F.when((F.col("_mix_tokens") > 0) & F.col("_mix_whole").isNotNull(), F.col("_mix_whole").cast("int") + prefix).otherwise(0)
+    joined = named.join(plan, [f"_mix_{level}" for level in LEVELS], "left")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"_mix_{level}") for level in LEVELS), "_mix_tokens", copies.alias("_mix_copies"))
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """``marked`` with the added columns as ``domain``, ``language``, ``leaf_source``, ``mix_tokens`` and ``copies``; columns of ``docs`` that are called so make way."""
+    mixed = marked(docs, *args, **options)
+    added = {**{f"_mix_{level}": level for level in LEVELS}, "_mix_tokens": "mix_tokens", "_mix_copies": "copies"}
+    own = [F.col(f"`{c}`") for c in mixed.columns if c not in added and c not in added.values()]
+    return mixed.select(*own, *(F.col(c).alias(name) for c, name in added.items()))
+
+
+def taken(mixed: DataFrame) -> DataFrame:
+    """Of ``marked``: the documents as they came, each as often as it is taken."""
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies"))).alias("_mix_copy")
+    own = [F.col(f"`{c}`") for c in mixed.columns if not c.startswith("_mix_")]
+    return mixed.where("_mix_copies > 0").select(*own, copies).drop("_mix_copy")
 
 
 DOMAIN = "concat('group', cast(try_cast(regexp_extract(source, '([0-9]+)', 1) as int) % 4 as string))"
