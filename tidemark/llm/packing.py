@@ -19,8 +19,11 @@ from tidemark.llm.common import query, table
 
 LENGTH, END = 2048, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED = 600_000
-"""Pieces whose ids a worker remembers; when full it starts anew."""
+CACHED = 40_000
+"""Pieces whose ids a task remembers, in each of two tables (some 5 MB each); a full one starts anew, and none outlives its task."""
+
+STREAM_DOCUMENTS = 25_000
+"""Documents of a stream at least, where the input has them: what is still open at its end is cut anew."""
 
 LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%$&*#|]*)")
 
@@ -73,13 +76,6 @@ def pack_ids(*ids: int) -> bytes:
 
 
 END_BYTES = np.array([END], "<u4").tobytes()
-_TOKENS: dict[str, Tokens] = {}
-
-
-def tokens(path: str = TOKENIZER) -> Tokens:
-    if path not in _TOKENS:
-        _TOKENS[path] = Tokens(path)
-    return _TOKENS[path]
 
 
 class Levels:
@@ -143,18 +139,24 @@ def recut(windows: list[list[tuple[int, int, bytes, int]]], length: int) -> Iter
         yield window
 
 
-PACKED = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PACKED = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, recut boolean"
+NAMES = [part.split()[0] for part in PACKED.split(", ")]
 
 
 def packed(texts: Iterator[tuple[int | None, str | None]], shard: int, length: int = LENGTH, path: str = TOKENIZER) -> Iterator[tuple]:
+    """``placed`` without its last column."""
+    return (row[:-1] for row in placed(texts, shard, length, path))
+
+
+def placed(texts: Iterator[tuple[int | None, str | None]], shard: int, length: int = LENGTH, path: str = TOKENIZER) -> Iterator[tuple]:
     """Rows of ``PACKED`` for one stream of documents; sequences are numbered from ``shard`` * 2**32 on."""
-    tokenizer, levels, sequence = tokens(path), Levels(length), shard << 32
+    tokenizer, levels, sequence = Tokens(path), Levels(length), shard << 32
 
-    def rows(window: list) -> Iterator[tuple]:
+    def rows(window: list, anew: bool) -> Iterator[tuple]:
         offset = 0
         for doc, start, ids, whole in window:
             n = len(ids) // 4
-            yield doc, start, n, zlib.crc32(ids), whole, sequence, offset
+            yield doc, start, n, zlib.crc32(ids), whole, sequence, offset, anew
             offset += n
 
     for doc, text in texts:
@@ -163,27 +165,27 @@ def packed(texts: Iterator[tuple[int | None, str | None]], shard: int, length: i
         for start in range(0, whole, length):
             part = ids[4 * start : 4 * (start + length)]
             for window in levels.add((doc, start, part, whole), len(part) // 4):
-                yield from rows(window)
+                yield from rows(window, False)
                 sequence += 1
     for window in recut(levels.rest(), length):
-        yield from rows(window)
+        yield from rows(window, True)
         sequence += 1
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, path: str = TOKENIZER) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``length`` ids.
 
-    Every partition of the scan is a stream of its own, with a level array for its open windows, so nothing is
-    shuffled and a task holds only those windows. Longer documents fill whole windows first and send their
-    remainder through the sum-of-squares rule; windows still open at the end are cut anew, so no sequence
-    needs padding. Null and empty texts consist of the end id. Rows with null or repeated ids are documents
+    Partitions of the scan are joined, unshuffled, to streams of about ``STREAM_DOCUMENTS`` documents; each has a level array for its
+    open windows, and a task holds only those windows. Longer documents fill whole windows first and send their
+    remainder through the sum-of-squares rule; windows still open at the end are cut anew (``recut``), so no sequence
+    needs padding. The names of the result are fixed; extra columns are not looked at. Null and empty texts consist of the end id. Rows with null or repeated ids are documents
     like all others. Sequences are numbered by the partition of the scan, so a repeated task repeats them.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (pair for b in batches for pair in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True))
         found: list[tuple] = []
-        for row in packed(stream, TaskContext.get().partitionId(), length, path):
+        for row in placed(stream, TaskContext.get().partitionId(), length, path):
             found.append(row)
             if len(found) >= 20_000:
                 yield batch(found)
@@ -191,10 +193,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: in
         yield batch(found)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        columns = zip(*rows, strict=True) if rows else [()] * len(NAMES)
+        kinds = [pa.int64()] * (len(NAMES) - 1) + [pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    narrow = narrow.coalesce(max(1, docs.count() // STREAM_DOCUMENTS))
     return narrow.mapInArrow(apply, PACKED).withColumnRenamed("id", id_col)
 
 
