@@ -31,15 +31,16 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; every document stays. ``n_chars`` follows the text where it did before."""
-    scanned = keep(secrets.scan(docs), "secrets")
+    scanned = keep(secrets.scan(docs, owner=F.expr(secrets.GROUP)), "secrets")
     masked = secrets.redact(docs, scanned)
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf of the tree of domains, languages and sources gives the prefix that its budget buys."""
-    chosen = mixing.mix(docs, F.expr(mixing.DOMAIN), mixing.WEIGHTS, SHARE, EPOCHS)
-    return chosen.where("copies > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
+    return mixing.taken(mixing.marked(docs, F.expr(mixing.DOMAIN), mixing.WEIGHTS, SHARE, EPOCHS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
