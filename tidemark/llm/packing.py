@@ -19,8 +19,8 @@ from tidemark.llm.common import query, table
 
 LENGTH, END = 2048, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED = 40_000
-"""Pieces whose ids a task remembers, in each of two tables (some 5 MB each); a full one starts anew, and none outlives its task."""
+CACHED = 60_000
+"""Pieces, and words within pieces, whose ids a task remembers: so many new ones and as many from before (some 50 MB in all). None outlives its task."""
 
 STREAM_DOCUMENTS = 25_000
 """Documents of a stream at least, where the input has them: what is still open at its end is cut anew."""
@@ -40,6 +40,8 @@ class Tokens(dict):
         self.encoder = Tokenizer.from_file(path)
         self.model = self.encoder.model
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
         # The byte alphabet of byte-level models: printable bytes are themselves, the others follow from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in plain)
@@ -47,7 +49,11 @@ class Tokens(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHED:
+            self.older = dict(self)
             self.clear()
+        if value := self.older.get(piece):
+            self[piece] = value
+            return value
         if m := LATIN.fullmatch(piece):
             value = self.merged(m[1].lower()) + (self.merged(m[2]) if m[2] else b"")
         else:
@@ -60,7 +66,10 @@ class Tokens(dict):
         value = self.parts.get(part)
         if value is None:
             if len(self.parts) >= CACHED:
-                self.parts.clear()
+                self.older_parts, self.parts = self.parts, {}
+            if value := self.older_parts.get(part):
+                self.parts[part] = value
+                return value
             plain = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
             value = self.parts[part] = pack_ids(*[t.id for t in self.model.tokenize(plain)])
         return value
