@@ -46,8 +46,12 @@ def rolling_budget(runs: DataFrame, window: int = 10, min_n: int = 5, by: Sequen
     """Mean of the newest ``window`` runs per group and budget key."""
     recent = ranks.newest_in_time(runs, by, "started_at", ["id"], window)
     measures = _measures()
-    wide = recent.groupBy(*by).agg(F.count("*").alias("run_count"), *[F.avg(m).alias(k) for k, m in measures.items()])
-    rows = F.array(*[F.struct(F.lit(k).alias("budget_key"), F.col(k).alias("actual")) for k in measures])
+    return rolling_means(recent.groupBy(*by).agg(F.count("*").alias("run_count"), *[F.avg(m).alias(k) for k, m in measures.items()]), min_n, by)
+
+
+def rolling_means(wide: DataFrame, min_n: int = 5, by: Sequence[str] = BY) -> DataFrame:
+    """One row per group and budget key, from one row per group with ``run_count`` and a column per key."""
+    rows = F.array(*[F.struct(F.lit(k).alias("budget_key"), F.col(k).alias("actual")) for k in _measures()])
     return (
         wide.where(F.col("run_count") >= min_n)
         .select(*by, "run_count", F.explode(rows).alias("r"))

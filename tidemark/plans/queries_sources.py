@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from datetime import datetime
 
@@ -421,9 +422,27 @@ def stream_unique(w):
 query("r2_stream_dedupe", "SELECT deployment_version, count(*) AS n FROM x_runs GROUP BY 1")(stream_unique)
 
 
+DROP_DAYS = 12
+"""Days of runs that arrive together in the drops of ``arriving``."""
+
+
+def arriving(w, name, start):
+    """Runs arrive in drops of some days, and after each the streams are started anew from their checkpoint, run to the end of
+    what there is, and stop. Returns the folder they wrote to."""
+    out, source = fresh(w, name), fresh(w, f"{name}-in")
+    doubled = full_runs(w).unionByName(full_runs(w).where(F.col("latency_ms") % 3 == 0))
+    dropped = w.keep(doubled.withColumn("drop", F.expr(f"datediff(started_at, date'2024-01-01') div {DROP_DAYS}")), "drops")
+    last = dropped.agg(F.max("drop")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        dropped.where(F.col("drop") == k).drop("drop").write.mode("append").parquet(source)
+        for step in start(streaming.stream_runs(w.spark, source), out):
+            step().awaitTermination()
+    return out
+
+
 def budget_stream(w):
-    stream = streaming.stream_runs(w.spark, stream_source(w), 1)
-    out = drained(w, "r3", lambda o, c: streaming.stream_budgets(stream, f"{o}-state", w.keep(limits(w), "limits"), o, c))
+    kept = w.keep(limits(w), "limits")
+    out = arriving(w, "r3", lambda stream, o: [lambda: streaming.stream_budgets(stream, kept, o, f"{o}-checkpoint")])
     return streaming.present_breaches(w.spark, out)
 
 
@@ -433,12 +452,32 @@ query("r3_stream_budgets", BREACHES.replace("FROM x_runs)", "FROM x_twice)"))(bu
 
 def watching(w):
     baseline = w.runs.where("deployment_version = 'v1'")
-    stream = streaming.stream_runs(w.spark, stream_source(w), 1)
-    out = drained(w, "r4", lambda o, c: streaming.watch(stream, baseline, f"{o}-state", o, c))
-    return w.spark.read.parquet(f"{out}/alerts/batch=*").groupBy(*K.AGENT).agg(F.count("*").alias("alerts"))
-
-
-query("r4_watch")(watching)
+    start = lambda stream, o: [lambda: streaming.watch(stream, baseline, o, f"{o}-watch"), lambda: streaming.alerts(w.spark, o, f"{o}-alerts")]
+    out = arriving(w, "r4", start)
+    return w.spark.read.schema(streaming.SCORES).parquet(f"{out}/alerts/told=*").select(*K.AGENT, "batch_id", "score", "current_n")
+
+
+# The same comparison, of the newest runs at the end of each drop with the baseline version.
+WATCHED = ("runs", "pairs", "sides", "fp", "entries", "dist", "shares", "jsd", "emd", "wide", "drift")
+O.CTES["x_dropped"] = f"SELECT *, date_diff('day', DATE '2024-01-01', CAST(started_at AS DATE)) // {DROP_DAYS} AS d FROM x_twice"
+O.CTES["x_recent"] = """SELECT * FROM (SELECT t.*, b.d AS upto, row_number() OVER (PARTITION BY t.session_id, t.environment, b.d ORDER BY started_at DESC, id DESC) AS newest
+    FROM x_dropped t JOIN (SELECT DISTINCT session_id, environment, d FROM x_dropped) b
+      ON b.session_id=t.session_id AND b.environment=t.environment AND t.d<=b.d) WHERE newest<=20"""
+for _name in WATCHED:
+    O.CTES[f"x_w_{_name}"] = re.sub(rf"\bx_({'|'.join(WATCHED)})\b", r"x_w_\1", O.CTES[f"x_{_name}"])
+O.CTES["x_w_runs"] = """SELECT * FROM x_runs WHERE deployment_version='v1'
+    UNION ALL BY NAME SELECT * EXCLUDE (d, upto, newest) REPLACE ('live-'||upto AS deployment_version) FROM x_recent"""
+O.CTES["x_w_pairs"] = """SELECT DISTINCT r.session_id, r.environment, 'v1' AS baseline_version, 'live-'||upto AS current_version FROM x_recent r
+    JOIN (SELECT DISTINCT session_id, environment FROM x_runs WHERE deployment_version='v1') USING (session_id, environment)"""
+# Watching goes by fingerprints; there are no latency distances of single runs.
+O.CTES["x_w_emd"] = "SELECT *, CAST(NULL AS DOUBLE) AS emd FROM x_w_pairs WHERE false"
+query(
+    "r4_watch",
+    f"""SELECT session_id, environment, batch_id, score, current_n FROM (
+      SELECT *, lag(score) OVER (PARTITION BY session_id, environment ORDER BY batch_id) AS earlier FROM (
+        SELECT session_id, environment, CAST(substr(current_version, 6) AS BIGINT) AS batch_id, {O.r('round(drift_score, 2)')} AS score, current_n
+        FROM x_w_drift WHERE current_n>=10 AND drift_score>={K.DRIFT_THRESHOLD!r}::DOUBLE)) WHERE score IS DISTINCT FROM earlier""",
+)(watching)
 
 
 def windowed(w):

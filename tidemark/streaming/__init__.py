@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import constants as K
 from tidemark.operators import budget as B
 from tidemark.operators import compare as CM
 from tidemark.operators import fingerprint as FP
-from tidemark.operators import ranks
 from tidemark.sources.runs import RUNS
+from tidemark.streaming import state
 
 
 def stream_runs(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -61,44 +62,35 @@ def windowed_fingerprints(stream: DataFrame, size: str = "24 hours", slide: str
     )
 
 
-def _batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def _batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
+    """Runs to the end of what there is and stops, or for good if ``every`` names an interval (which expiry of keys needs)."""
     return (
         stream.writeStream.foreachBatch(handle)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 
 
-def _advance(batch: DataFrame, batch_id: int, state_path: str, by: Sequence[str], n: int) -> DataFrame:
-    """The newest n runs per key after this batch: the last state and the batch, cut again.
+def stream_budgets(stream: DataFrame, limits: DataFrame, out: str, checkpoint: str, window: int = 10, min_n: int = 5, idle_ms: int | None = None, every: str | None = None) -> StreamingQuery:
+    """After each batch, budgets of the touched (agent, version) keys from their newest ``window`` runs.
 
-    State is a table per batch id of at most n rows per key, so a batch costs its own size plus the
-    keys, never the history; a batch that is run again replaces its own table.
-    """
-    spark = batch.sparkSession
-    if batch_id > 0:
-        before = spark.read.schema(batch.schema).parquet(f"{state_path}/batch={batch_id - 1}")
-        batch = before.unionByName(batch)
-    ranks.newest_in_time(batch, by, "started_at", ["id"], n).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
-    return spark.read.schema(batch.schema).parquet(f"{state_path}/batch={batch_id}")
-
-
-def stream_budgets(stream: DataFrame, state_path: str, limits: DataFrame, out: str, checkpoint: str, window: int = 10) -> StreamingQuery:
-    """After each batch, budgets of the touched (agent, version) keys from their newest runs.
-
-    Results land in folders named by the batch id: ``breaches`` and the ``touched`` keys.
+    The runs of a key are in the engine's state store, so a batch costs its own rows and the keys it touches, a restart
+    goes on from the checkpoint, and keys that bring no run for ``idle_ms`` are forgotten. Results land in folders named by
+    the batch id, which a repeated batch replaces: ``breaches`` and the ``touched`` keys.
     """
+    measures = B._measures()
+    slim = stream.select(*B.BY, "id", "started_at", *(m.cast("double").alias(k) for k, m in measures.items()))
+    newest = state.newest_rows(slim, B.BY, list(measures), window, idle_ms)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(*B.BY).distinct()
-        newest = _advance(batch, batch_id, state_path, B.BY, window)
-        touched.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/touched/batch={batch_id}")
-        relevant = newest.join(touched, list(B.BY), "left_semi")
-        breaches = B.budget_breaches(B.rolling_budget(relevant, window), limits)
+        rolling = B.rolling_means(batch.groupBy(*B.BY).agg(F.count("*").alias("run_count"), *[F.avg(k).alias(k) for k in measures]), min_n)
+        batch.select(*B.BY).distinct().withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/touched/batch={batch_id}")
+        breaches = B.budget_breaches(rolling, limits)
         breaches.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/breaches/batch={batch_id}")
 
-    return _batches(stream, checkpoint, handle)
+    return _batches(newest, checkpoint, handle, every)
 
 
 def present_breaches(spark: SparkSession, out: str) -> DataFrame:
@@ -107,53 +99,70 @@ def present_breaches(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/breaches/batch=*").join(touched, [*B.BY, "batch_id"], "left_semi").drop("batch_id")
 
 
+LIVE = "__live__"
+SCORES = T.StructType(
+    [T.StructField(c, T.StringType()) for c in (*K.AGENT, "baseline_version")]
+    + [T.StructField("score", T.DoubleType()), T.StructField("current_n", T.LongType()), T.StructField("batch_id", T.LongType())]
+)
+
+
 def watch(
     stream: DataFrame,
     baseline: DataFrame,
-    state_path: str,
     out: str,
     checkpoint: str,
     last_n: int = 20,
     min_runs: int = 10,
     threshold: float = K.DRIFT_THRESHOLD,
+    idle_ms: int | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """After each batch, the newest runs of every touched agent against its baseline version.
 
     ``baseline``: runs of the versions watched against, one version per agent and environment. Its
-    fingerprint is kept as a table, computed once. An alert is written when the score reaches the
-    threshold and differs (two digits) from the agent's last alert.
+    fingerprint is kept as a table, computed once. Scores that reach the threshold go to ``out``/scores; ``alerts``
+    is the stream of those that differ from the agent's last one. The newest runs of each agent are in the engine's
+    state store; nothing but the touched agents' is read or written.
     """
     fp = FP.fp_scalar(baseline)
     dist = FP.fp_dist(baseline)
-    fp.write.mode("overwrite").parquet(f"{out}/baseline_fp")
-    dist.write.mode("overwrite").parquet(f"{out}/baseline_dist")
+    fp.write.mode("ignore").parquet(f"{out}/baseline_fp")
+    dist.write.mode("ignore").parquet(f"{out}/baseline_dist")
     fp_schema, dist_schema = fp.schema, dist.schema
-    live = "__live__"
+    measured = ["started_at", "tools", "tool_call_count", "latency_ms", "error_count", "retry_count", "loop_count", "time_to_first_tool_ms",
+                "verbosity_ratio", "output_length", "semantic_cluster"]
+    newest = state.newest_rows(stream, K.AGENT, measured, last_n, idle_ms)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
+        recent = batch.withColumn("deployment_version", F.lit(LIVE))
         touched = batch.select(*K.AGENT).distinct()
-        newest = _advance(batch, batch_id, state_path, K.AGENT, last_n)
-        recent = newest.join(touched, K.AGENT, "left_semi").withColumn("deployment_version", F.lit(live))
         base_fp = spark.read.schema(fp_schema).parquet(f"{out}/baseline_fp")
         base_dist = spark.read.schema(dist_schema).parquet(f"{out}/baseline_dist")
         pairs = (
             base_fp.select(*K.AGENT, F.col("deployment_version").alias("baseline_version"))
             .join(touched, K.AGENT, "left_semi")
-            .withColumn("current_version", F.lit(live))
+            .withColumn("current_version", F.lit(LIVE))
         )
         wide = CM.compared(base_fp.unionByName(FP.fp_scalar(recent)), base_dist.unionByName(FP.fp_dist(recent)), pairs)
         scored = CM.drift(wide).where((F.col("current_n") >= min_runs) & (F.col("drift_score") >= threshold))
-        fresh = scored.select(
-            *K.AGENT, "baseline_version", F.round("drift_score", 2).alias("score"), F.col("current_n"), F.lit(batch_id).alias("batch_id")
-        )
-        if batch_id > 0:
-            earlier = spark.read.schema(fresh.schema).parquet(f"{out}/alerts/batch=*").where(F.col("batch_id") < batch_id)
-            last = earlier.groupBy(*K.AGENT).agg(F.max_by("score", "batch_id").alias("last_score"))
-            fresh = fresh.join(last, K.AGENT, "left").where(~F.col("score").eqNullSafe(F.col("last_score"))).drop("last_score")
-        fresh.write.mode("overwrite").parquet(f"{out}/alerts/batch={batch_id}")
+        told = scored.select(*K.AGENT, "baseline_version", F.round("drift_score", 2).alias("score"), "current_n", F.lit(batch_id).cast("long").alias("batch_id"))
+        told.write.mode("overwrite").parquet(f"{out}/scores/batch={batch_id}")
+        batch.unpersist()
+
+    return _batches(newest, checkpoint, handle, every)
+
+
+def alerts(spark: SparkSession, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Of the scores that ``watch`` writes, those that differ (two digits) from the agent's last one, which the state store holds."""
+    scores = spark.readStream.schema(SCORES).parquet(f"{out}/scores/batch=*")
+    fresh = state.changed_scores(scores, K.AGENT)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/alerts/told={batch_id}")
 
-    return _batches(stream, checkpoint, handle)
+    return _batches(fresh, checkpoint, handle, every)
 
 
-__all__ = ["append_runs", "present_breaches", "stream_budgets", "stream_dedupe", "stream_runs", "watch", "windowed_fingerprints"]
+__all__ = ["alerts", "append_runs", "present_breaches", "stream_budgets", "stream_dedupe", "stream_runs", "watch", "windowed_fingerprints"]
