@@ -481,16 +481,20 @@ query(
 
 
 def windowed(w):
-    name = f"r5_{uuid.uuid4().hex[:8]}"
-    stream = streaming.stream_runs(w.spark, stream_source(w))
-    out = fresh(w, "r5")
-    wins = streaming.windowed_fingerprints(stream, "24 hours", "12 hours", "1 hour")
-    started = wins.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-c").queryName(name).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return w.spark.read.schema(wins.schema).parquet(out).groupBy(*K.GROUP).agg(F.count("*").alias("windows"), F.sum("n").alias("runs"))
+    out = arriving(w, "r5", lambda stream, o: [lambda: streaming.stream_panes(stream, o, f"{o}-checkpoint", "12 hours")])
+    return streaming.windowed_fingerprints(w.spark, out, "24 hours", "12 hours", "1 hour")
 
 
-query("r5_windowed_fingerprints")(windowed)
+HALF_DAY = 12 * 3600 * 1_000_000
+query(
+    "r5_windowed_fingerprints",
+    f"""SELECT {ts('make_timestamp(start_us)')} AS window_start, {ts(f'make_timestamp(start_us+{2 * HALF_DAY})')} AS window_end, {G}, n,
+      {r('avg_latency_ms')} AS avg_latency_ms, p95_latency_ms, {r('error_rate')} AS error_rate, {r('avg_output_length')} AS avg_output_length,
+      {r('escalation_rate')} AS escalation_rate, start_us+{2 * HALF_DAY} <= (SELECT max(epoch_us(started_at)) FROM x_twice)-3600000000 AS closed
+    FROM (SELECT epoch_us(started_at)//{HALF_DAY}*{HALF_DAY}-j*{HALF_DAY} AS start_us, {G}, count(*) AS n, avg(latency_ms) AS avg_latency_ms,
+        {O.percentile('latency_ms', 95)} AS p95_latency_ms, avg(error_count) AS error_rate, avg(output_length) AS avg_output_length,
+        count(*) FILTER (semantic_cluster='escalated')/count(*) AS escalation_rate FROM x_twice, (VALUES (0), (1)) v(j) GROUP BY start_us, {G})""",
+)(windowed)
 
 
 def twice(w):

@@ -13,6 +13,7 @@ from tidemark.functions import constants as K
 from tidemark.operators import budget as B
 from tidemark.operators import compare as CM
 from tidemark.operators import fingerprint as FP
+from tidemark.operators import ranks
 from tidemark.sources.runs import RUNS
 from tidemark.streaming import state
 
@@ -44,22 +45,65 @@ def stream_dedupe(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return timed.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["source", "external_id"])
 
 
-def windowed_fingerprints(stream: DataFrame, size: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Fingerprint numbers per sliding window and group, final once the watermark has passed."""
-    timed = stream.withColumn("event_time", F.col("started_at").cast("timestamp")).withWatermark("event_time", late)
-    return (
-        timed.groupBy(F.window("event_time", size, slide), *K.GROUP)
-        .agg(
-            F.count("*").alias("n"),
-            F.avg("latency_ms").alias("avg_latency_ms"),
-            F.approx_percentile("latency_ms", F.lit(0.95), F.lit(10000)).alias("p95_latency_ms"),
-            F.avg("error_count").alias("error_rate"),
-            F.avg("output_length").alias("avg_output_length"),
-            (F.count_if(F.col("semantic_cluster") == "escalated") / F.count("*")).alias("escalation_rate"),
-        )
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *K.GROUP, "n",
-                "avg_latency_ms", "p95_latency_ms", "error_rate", "avg_output_length", "escalation_rate")
+def _micros(spark: SparkSession, interval: str) -> int:
+    return spark.sql(f"select unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {interval})").first()[0]
+
+
+def stream_panes(stream: DataFrame, out: str, checkpoint: str, slide: str = "1 hour", every: str | None = None) -> StreamingQuery:
+    """What windows are made of: after each batch, its runs counted by pane of length ``slide``, group and latency.
+
+    A batch is added up before it is written and never reads earlier ones; a repeated batch replaces its folder. Runs
+    without a start belong to no pane.
+    """
+    width = _micros(stream.sparkSession, slide)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        us = F.unix_micros(F.col("started_at").cast("timestamp"))
+        counted = (
+            batch.where(F.col("started_at").isNotNull())
+            .groupBy((us - F.pmod(us, F.lit(width))).alias("pane"), *K.GROUP, "latency_ms")
+            .agg(
+                F.count("*").alias("k"), F.max(us).alias("newest"), F.sum("error_count").alias("errors"), F.count("error_count").alias("errors_k"),
+                F.sum("output_length").alias("output"), F.count("output_length").alias("output_k"), F.count_if(F.col("semantic_cluster") == "escalated").alias("escalated"),
+            )
+        )
+        counted.write.mode("overwrite").parquet(f"{out}/panes/batch={batch_id}")
+
+    return _batches(stream, checkpoint, handle, every)
+
+
+def windowed_fingerprints(spark: SparkSession, out: str, size: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Fingerprint numbers per sliding window and group, exact, from the panes of ``stream_panes`` with the same ``slide``.
+
+    A pane's counts are merged into the ``size`` / ``slide`` windows that cover it, so runs are counted once whatever the
+    overlap, and the percentile is the one by rank over counts of values. A run that comes late is in its
+    windows at the next reading. ``closed``: the window ends by the newest start minus ``late``, so later runs that are in time
+    cannot change it; windows still open are told as well, so none is lost at the end of a stream.
+    """
+    length, width, grace = (_micros(spark, x) for x in (size, slide, late))
+    if length % width:
+        raise ValueError("size must be a multiple of slide")
+    by = ["window_us", *K.GROUP]
+    sums = ("k", "errors", "errors_k", "output", "output_k", "escalated")
+    panes = spark.read.parquet(f"{out}/panes/batch=*")
+    newest = panes.agg(F.max("newest")).first()[0]
+    merged = panes.groupBy("pane", *K.GROUP, "latency_ms").agg(*(F.sum(c).alias(c) for c in sums))
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(length // width - 1)), lambda j: F.col("pane") - j * width))
+    counts = merged.withColumn("window_us", starts).groupBy(*by, "latency_ms").agg(*(F.sum(c).alias(c) for c in sums))
+    timed = counts.where(F.col("latency_ms").isNotNull())
+    p95 = ranks.percentile_of_counts(timed.select(*by, "latency_ms", "k"), by, "latency_ms", {"p95_latency_ms": ranks.percent_rank(95)})
+    numbers = counts.groupBy(*by).agg(
+        F.sum("k").alias("n"),
+        (F.sum(F.col("latency_ms") * F.col("k")) / F.sum(F.when(F.col("latency_ms").isNotNull(), F.col("k")))).alias("avg_latency_ms"),
+        F.try_divide(F.sum("errors"), F.sum("errors_k")).alias("error_rate"),
+        F.try_divide(F.sum("output"), F.sum("output_k")).alias("avg_output_length"),
+        (F.sum("escalated") / F.sum("k")).alias("escalation_rate"),
     )
+    end = F.col("window_us") + length
+    return numbers.join(p95, by, "left").select(
+        F.timestamp_micros("window_us").cast("timestamp_ntz").alias("window_start"), F.timestamp_micros(end).cast("timestamp_ntz").alias("window_end"), *K.GROUP,
+        "n", "avg_latency_ms", "p95_latency_ms", "error_rate", "avg_output_length", "escalation_rate", (end <= F.lit(newest) - grace).alias("closed"),
+    )
 
 
 def _batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
@@ -165,4 +209,4 @@ def alerts(spark: SparkSession, out: str, checkpoint: str, every: str | None = N
     return _batches(fresh, checkpoint, handle, every)
 
 
-__all__ = ["alerts", "append_runs", "present_breaches", "stream_budgets", "stream_dedupe", "stream_runs", "watch", "windowed_fingerprints"]
+__all__ = ["alerts", "append_runs", "present_breaches", "stream_budgets", "stream_dedupe", "stream_panes", "stream_runs", "watch", "windowed_fingerprints"]
