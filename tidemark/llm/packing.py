@@ -19,8 +19,8 @@ from tidemark.llm.common import query, table
 
 LENGTH, END = 2048, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED = 60_000
-"""Pieces, and words within pieces, whose ids a task remembers: so many new ones and as many from before (some 50 MB in all). None outlives its task."""
+CACHED = 200_000
+"""Words whose ids a task remembers (some 35 MB). A full table starts anew, and none outlives its task."""
 
 STREAM_DOCUMENTS = 25_000
 """Documents of a stream at least, where the input has them: what is still open at its end is cut anew."""
@@ -39,40 +39,34 @@ class Tokens(dict):
         super().__init__()
         self.encoder = Tokenizer.from_file(path)
         self.model = self.encoder.model
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.older_parts: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         # The byte alphabet of byte-level models: printable bytes are themselves, the others follow from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in plain)
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED:
-            self.older = dict(self)
-            self.clear()
-        if value := self.older.get(piece):
-            self[piece] = value
-            return value
+        """Only words in lower case and pieces of other kinds are remembered; others are put together from these."""
         if m := LATIN.fullmatch(piece):
-            value = self.merged(m[1].lower()) + (self.merged(m[2]) if m[2] else b"")
+            word, tail = m[1].lower(), m[2]
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self.merged(tail)
+                return self[word] + self.tails[tail]
+            if word != piece:
+                return self[word]
+            value = self.merged(word)
         else:
             value = np.array(self.encoder.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= CACHED:
+            self.clear()
         if len(piece) <= 64:
             self[piece] = value
         return value
 
     def merged(self, part: str) -> bytes:
-        value = self.parts.get(part)
-        if value is None:
-            if len(self.parts) >= CACHED:
-                self.older_parts, self.parts = self.parts, {}
-            if value := self.older_parts.get(part):
-                self.parts[part] = value
-                return value
-            plain = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
-            value = self.parts[part] = pack_ids(*[t.id for t in self.model.tokenize(plain)])
-        return value
+        plain = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
+        return pack_ids(*[t.id for t in self.model.tokenize(plain)])
 
     def ids(self, text: str) -> bytes:
         """All ids of a text, then the end id."""
