@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,8 @@ from tidemark.llm.common import query, table
 
 LENGTH, END = 2048, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHED = 200_000
-"""Words whose ids a task remembers (some 35 MB). A full table starts anew, and none outlives its task."""
+CACHED = 300_000
+"""Words whose ids a task remembers (some 50 MB). A full table starts anew, and none outlives its task."""
 
 STREAM_DOCUMENTS = 25_000
 """Documents of a stream at least, where the input has them: what is still open at its end is cut anew."""
@@ -75,7 +77,7 @@ class Tokens(dict):
 
 
 def pack_ids(*ids: int) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
 
 
 END_BYTES = np.array([END], "<u4").tobytes()
