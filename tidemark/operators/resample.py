@@ -13,6 +13,7 @@ from tidemark.operators import compare as CM
 from tidemark.operators import distance as D
 from tidemark.operators import pairs as P
 from tidemark.operators import ranks
+from tidemark.session import ensure_checkpoint_dir
 
 REPLICATE = [*K.PAIR, "replicate"]
 REPLICATE_COLUMNS = [
@@ -91,15 +92,17 @@ def bootstrap(
     runs: DataFrame,
     pairs: DataFrame,
     b: int = K.BOOTSTRAP_ROUNDS,
-    cap: int = K.BOOTSTRAP_CAP,
+    cap: int | None = K.BOOTSTRAP_CAP,
     seed: int = K.SEED,
 ) -> DataFrame:
     """Replicates: per pair and round all twelve dimensions and the fixed-weight composite.
 
-    The sample is capped per group before anything is multiplied, so the work is pairs x b x cap
+    ``cap=None`` resamples all runs of every group (``bootstrap_all``). Otherwise the sample is capped per group before anything is multiplied, so the work is pairs x b x cap
     draws whatever the size of the groups. Each round's keys and numbers go through one aggregation
     as (kind, key, weight) rows; a key weighs one over the side's total, so sums are shares.
     """
+    if cap is None:
+        return bootstrap_all(runs, pairs, b, seed)
     sample = capped_sample(runs, cap, seed).select(
         *K.GROUP,
         "idx",
@@ -156,6 +159,10 @@ def bootstrap(
         *[number("p", c).alias(f"b_{c}") for c in numbers],
         *[number("q", c).alias(f"c_{c}") for c in numbers],
     )
+    return _scored(full)
+
+
+def _scored(full: DataFrame) -> DataFrame:
     scores = CM.dimension_scores(with_emd=False)
     return full.select(
         *REPLICATE,
@@ -164,6 +171,92 @@ def bootstrap(
     )
 
 
+ROUNDS_PER_DIGEST = 4
+MEANS = ["output_length", "verbosity_ratio", "retry_count", "time_to_first_tool_ms", "error_count"]
+MEAN_NAMES = {c: "error_rate" if c == "error_count" else f"avg_{c}" for c in MEANS}
+
+
+def _multiplicities(runs: DataFrame, b: int, seed: int) -> DataFrame:
+    """Per run and round its Poisson(1) number of draws, where that is not 0; one digest serves four rounds."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((b - 1) // ROUNDS_PER_DIGEST)))
+    hashed = runs.select("*", blocks.alias("block")).withColumn(
+        "digest", F.md5(F.concat_ws(":", F.lit(seed), *K.GROUP, "id", "block"))
+    )
+    u = lambda i: F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("long")
+    four = F.array(
+        *[
+            F.struct((F.col("block") * ROUNDS_PER_DIGEST + i).alias("replicate"), C.poisson_draws(u(i)).alias("draws"))
+            for i in range(ROUNDS_PER_DIGEST)
+        ]
+    )
+    spread = hashed.select("*", F.explode(four).alias("r")).drop("block", "digest").select("*", "r.*").drop("r")
+    return spread.where((F.col("draws") > 0) & (F.col("replicate") < b))
+
+
+def bootstrap_all(runs: DataFrame, pairs: DataFrame, b: int = K.BOOTSTRAP_ROUNDS, seed: int = K.SEED) -> DataFrame:
+    """Replicates from all runs: a run's place in a round is its Poisson(1) number of draws.
+
+    Rounds belong to groups, not to pairs, so a version in two pairs is drawn once. A round is a set of sums (draws
+    per sequence, outcome, transition, latency and loop count, and the sums behind the means), which are partly added
+    up before they are shuffled: no group has to fit in a task, and what is shuffled follows the distinct values of a
+    group, not its runs. Keys travel as 64-bit hashes; the 95th percentiles are read off the running sums of draws
+    over the sorted values. Rounds that draw no run of a side (groups of a few runs) do not count. Null numbers count
+    in no mean and no percentile.
+    """
+    moves = F.transform(C.bigrams(F.col("tools")), lambda p: F.xxhash64(p["head"], p["tail"]))
+    slim = runs.select(
+        *K.GROUP,
+        "id",
+        *MEANS,
+        F.col("latency_ms").cast("long").alias("latency_ms"),
+        F.col("loop_count").cast("long").alias("loop_count"),
+        F.xxhash64(C.sequence_key(F.col("tools"))).alias("sequence"),
+        F.xxhash64(F.coalesce("semantic_cluster", F.lit("cluster_none"))).alias("outcome"),
+        F.coalesce(moves, F.array().cast("array<bigint>")).alias("moves"),
+    )
+    drawn = _multiplicities(slim, b, seed)
+    by = [*K.GROUP, "replicate"]
+    mean = lambda c: F.try_divide(
+        F.sum(F.col("draws") * F.col(c).cast("double")), F.sum(F.when(F.col(c).isNotNull(), F.col("draws")))
+    )
+    moments = drawn.groupBy(*by).agg(
+        F.sum("draws").alias("n"),
+        F.sum(F.col("draws") * F.size("moves")).alias("n_moves"),
+        *[mean(c).alias(name) for c, name in MEAN_NAMES.items()],
+    )
+    entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    entries = F.concat(
+        F.array(*[entry(c, F.col(c)) for c in ("sequence", "outcome", "latency_ms", "loop_count")]),
+        F.transform("moves", lambda m: entry("bigram", m)),
+    )
+    counts = (
+        drawn.select(*by, "draws", F.explode(entries).alias("e"))
+        .select(*by, "draws", "e.*")
+        .where(F.col("key").isNotNull())
+        .groupBy(*by, "kind", "key")
+        .agg(F.sum("draws").alias("k"))
+    )
+    ensure_checkpoint_dir(runs.sparkSession)
+    counts, moments = counts.checkpoint(), moments.checkpoint()
+
+    numbers = counts.where(F.col("kind").isin("latency_ms", "loop_count"))
+    ranked = ranks.running(numbers, [*by, "kind"], "key", ["k"]).withColumn("n", F.col("all_k"))
+    rank = ranks.percent_rank(95)
+    hit = (F.col("cum_k") - F.col("k") <= rank) & (rank < F.col("cum_k"))
+    p95 = lambda c: F.max(F.when(F.col("kind") == c, F.col("key").cast("double"))).alias(f"p95_{c}")
+    tails = ranked.where(hit).groupBy(*by).agg(p95("latency_ms"), p95("loop_count"))
+    sides = P.sides(pairs)
+    numbered = moments.join(tails, by, "left").withColumn("n", F.col("n").cast("double"))
+    wide = P.pivot_sides(numbered.join(sides, K.GROUP), REPLICATE_COLUMNS, REPLICATE)
+
+    weight = F.col("k") / F.when(F.col("kind") == "bigram", F.col("n_moves")).otherwise(F.col("n"))
+    keyed = counts.where(F.col("kind").isin("sequence", "outcome", "bigram")).join(moments.select(*by, "n", "n_moves"), by)
+    shared = keyed.select(*by, "kind", "key", weight.alias("share")).join(sides, K.GROUP)
+    on = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("share"))), F.lit(0.0))
+    shares = shared.groupBy(*REPLICATE, "kind", "key").agg(on("b").alias("p"), on("c").alias("q"))
+    return _scored(wide.join(D.jsd_wide(shares, REPLICATE), REPLICATE))
+
+
 def drift_ci(replicates: DataFrame, scored: DataFrame) -> DataFrame:
     """95 % interval of the composite, widened to hold the point score; flags small samples."""
     bounds = replicates.groupBy(*K.PAIR).agg(

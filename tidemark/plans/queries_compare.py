@@ -902,6 +902,7 @@ query("q17_anomaly_override")(
 )
 
 # ---- resampling --------------------------------------------------------------------------------
+POISSON_SQL = "+".join(f"(u>={cut})::INT" for cut in K.POISSON_CUTS)
 SAMPLE = f"""SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY md5('42:'||id), id)-1 AS idx FROM x_runs"""
 O.CTES["x_sample"] = f"SELECT *, count(*) OVER (PARTITION BY {G}) AS sample_n FROM ({SAMPLE}) WHERE idx<200"
 O.CTES["x_sided"] = f"SELECT {P}, side, s.* EXCLUDE ({G}) FROM x_sample s JOIN x_sides USING ({G})"
@@ -909,19 +910,30 @@ O.CTES["x_draws"] = f"""SELECT {P}, side, replicate, CAST(('0x'||substr(md5('42:
     FROM (SELECT {P}, side, sample_n, replicate, unnest(range(0, sample_n)) AS slot FROM (SELECT DISTINCT {P}, side, sample_n, unnest(range(0, 500)) AS replicate FROM x_sided))"""
 O.CTES["x_drawn"] = f"SELECT d.replicate, s.* FROM x_draws d JOIN x_sided s USING ({P}, side, idx)"
 PR = P + ", replicate"
-O.CTES["x_repnum"] = f"""SELECT {PR}, side, count(*) AS n, avg(output_length) AS avg_output_length, avg(verbosity_ratio) AS avg_verbosity_ratio, avg(retry_count) AS avg_retry_count,
-    avg(time_to_first_tool_ms) AS avg_time_to_first_tool_ms, avg(error_count) AS error_rate, {O.percentile('latency_ms', 95)} AS p95_latency_ms, {O.percentile('loop_count', 95)} AS p95_loop_count FROM x_drawn GROUP BY {PR}, side"""
-O.CTES["x_repkeys"] = f"""SELECT {PR}, kind, key, count(*) FILTER (side='b') AS b_n, count(*) FILTER (side='c') AS c_n FROM (
-    SELECT {PR}, side, 'sequence' AS kind, CAST(to_json(tools) AS VARCHAR) AS key FROM x_drawn UNION ALL SELECT {PR}, side, 'outcome', semantic_cluster FROM x_drawn
-    UNION ALL SELECT {PR}, side, 'bigram', tools[i]||' -> '||tools[i+1] FROM (SELECT {PR}, side, tools, unnest(range(1, len(tools))) AS i FROM x_drawn)) GROUP BY ALL"""
-O.CTES["x_repjsd"] = f"""SELECT {PR}, kind, CASE WHEN max(p)=0 OR max(q)=0 THEN 1.0 ELSE {clamp('sum(t)/0.6931471805599453')} END AS jsd, CASE WHEN max(p)=0 OR max(q)=0 THEN 0.0 ELSE sqrt(greatest(0.0, sum(t))) END AS dist FROM (
-    SELECT *, 0.5*((CASE WHEN p>0 THEN p*ln(p/((p+q)/2)) ELSE 0.0 END)+(CASE WHEN q>0 THEN q*ln(q/((p+q)/2)) ELSE 0.0 END)) AS t FROM (
-      SELECT {PR}, kind, key, coalesce(b_n/nullif(sum(b_n) OVER (PARTITION BY {PR}, kind), 0), 0.0) AS p, coalesce(c_n/nullif(sum(c_n) OVER (PARTITION BY {PR}, kind), 0), 0.0) AS q FROM x_repkeys)) GROUP BY {PR}, kind"""
 RC = [c for c in resample.REPLICATE_COLUMNS]
-O.CTES["x_repwide"] = f"""SELECT *, CAST(NULL AS DOUBLE) AS emd FROM (SELECT {PR}, {', '.join(f"max({c}) FILTER (side='{s}') AS {s}_{c}" for s in 'bc' for c in RC)} FROM x_repnum GROUP BY {PR})
-    JOIN (SELECT {PR}, coalesce(max(jsd) FILTER (kind='sequence'), 0.0) AS decision_jsd, coalesce(max(jsd) FILTER (kind='outcome'), 0.0) AS outcome_jsd, coalesce(max(dist) FILTER (kind='bigram'), 0.0) AS transition_distance FROM x_repjsd GROUP BY {PR}) USING ({PR})"""
-O.CTES["x_rep"] = f"SELECT {PR}, {', '.join(f'CAST({s} AS DOUBLE) AS {d}' for d, (s, _) in SCORES.items())}, {FIXED} AS composite FROM x_repwide"
-O.CTES["x_replong"] = " UNION ALL ".join(f"SELECT {P}, '{d}' AS dim, {d} AS value FROM x_rep" for d in K.DIMS)
+O.CTES["x_drawn_all"] = f"""SELECT {PR}, side, t.* EXCLUDE ({G}, replicate) FROM (SELECT *, unnest(range(0, draws)) AS copy FROM (SELECT *, {POISSON_SQL} AS draws FROM (
+    SELECT *, CAST(('0x'||substr(md5('42:'||{" ||':'|| ".join(K.GROUP)}||':'||id||':'||(replicate//4)), 1+8*(replicate%4), 8)) AS BIGINT) AS u FROM x_runs, (SELECT unnest(range(0, 500)) AS replicate)))) t JOIN x_sides USING ({G})"""
+
+
+def replicate_tables(tag: str) -> None:
+    """Replicates from the drawn rows of one kind: of samples (no tag) or of all runs, where a round without a run of a side does not count."""
+    counted = " WHERE b_n IS NOT NULL AND c_n IS NOT NULL" if tag else ""
+    O.CTES[f"x_repnum{tag}"] = f"""SELECT {PR}, side, count(*) AS n, avg(output_length) AS avg_output_length, avg(verbosity_ratio) AS avg_verbosity_ratio, avg(retry_count) AS avg_retry_count,
+        avg(time_to_first_tool_ms) AS avg_time_to_first_tool_ms, avg(error_count) AS error_rate, {O.percentile('latency_ms', 95)} AS p95_latency_ms, {O.percentile('loop_count', 95)} AS p95_loop_count FROM x_drawn{tag} GROUP BY {PR}, side"""
+    O.CTES[f"x_repkeys{tag}"] = f"""SELECT {PR}, kind, key, count(*) FILTER (side='b') AS b_n, count(*) FILTER (side='c') AS c_n FROM (
+        SELECT {PR}, side, 'sequence' AS kind, CAST(to_json(tools) AS VARCHAR) AS key FROM x_drawn{tag} UNION ALL SELECT {PR}, side, 'outcome', semantic_cluster FROM x_drawn{tag}
+        UNION ALL SELECT {PR}, side, 'bigram', tools[i]||' -> '||tools[i+1] FROM (SELECT {PR}, side, tools, unnest(range(1, len(tools))) AS i FROM x_drawn{tag})) GROUP BY ALL"""
+    O.CTES[f"x_repjsd{tag}"] = f"""SELECT {PR}, kind, CASE WHEN max(p)=0 OR max(q)=0 THEN 1.0 ELSE {clamp('sum(t)/0.6931471805599453')} END AS jsd, CASE WHEN max(p)=0 OR max(q)=0 THEN 0.0 ELSE sqrt(greatest(0.0, sum(t))) END AS dist FROM (
+        SELECT *, 0.5*((CASE WHEN p>0 THEN p*ln(p/((p+q)/2)) ELSE 0.0 END)+(CASE WHEN q>0 THEN q*ln(q/((p+q)/2)) ELSE 0.0 END)) AS t FROM (
+          SELECT {PR}, kind, key, coalesce(b_n/nullif(sum(b_n) OVER (PARTITION BY {PR}, kind), 0), 0.0) AS p, coalesce(c_n/nullif(sum(c_n) OVER (PARTITION BY {PR}, kind), 0), 0.0) AS q FROM x_repkeys{tag})) GROUP BY {PR}, kind"""
+    O.CTES[f"x_repwide{tag}"] = f"""SELECT *, CAST(NULL AS DOUBLE) AS emd FROM (SELECT {PR}, {', '.join(f"max({c}) FILTER (side='{s}') AS {s}_{c}" for s in 'bc' for c in RC)} FROM x_repnum{tag} GROUP BY {PR})
+        JOIN (SELECT {PR}, coalesce(max(jsd) FILTER (kind='sequence'), 0.0) AS decision_jsd, coalesce(max(jsd) FILTER (kind='outcome'), 0.0) AS outcome_jsd, coalesce(max(dist) FILTER (kind='bigram'), 0.0) AS transition_distance FROM x_repjsd{tag} GROUP BY {PR}) USING ({PR})"""
+    O.CTES[f"x_rep{tag}"] = f"SELECT {PR}, {', '.join(f'CAST({s} AS DOUBLE) AS {d}' for d, (s, _) in SCORES.items())}, {FIXED} AS composite FROM x_repwide{tag}{counted}"
+    O.CTES[f"x_replong{tag}"] = " UNION ALL ".join(f"SELECT {P}, '{d}' AS dim, {d} AS value FROM x_rep{tag}" for d in K.DIMS)
+
+
+replicate_tables("")
+replicate_tables("_all")
 
 
 @memo("replicates")
@@ -929,25 +941,37 @@ def replicates(w):
     return resample.bootstrap(w.runs, w.pairs)
 
 
+@memo("replicates_of_all")
+def replicates_of_all(w):
+    return resample.bootstrap(w.runs, w.pairs, cap=None)
+
+
 query("q6_capped_sample", f"SELECT {G}, id, idx, sample_n FROM x_sample")(
     lambda w: resample.capped_sample(w.runs).select(*K.GROUP, "id", "idx", "sample_n")
 )
-query("q5_bootstrap_ci", f"""SELECT {P}, {r('drift_score')} AS drift_score, {r('least(lo, drift_score)')} AS ci_lower, {r('greatest(hi, drift_score)')} AS ci_upper, n<30 AS small_sample FROM x_drift
-    JOIN (SELECT {P}, quantile_cont(composite, 0.025) AS lo, quantile_cont(composite, 0.975) AS hi FROM x_rep GROUP BY {P}) USING ({P})""")(
-    lambda w: resample.drift_ci(replicates(w), scored(w))
-)
-query("q7_dimension_ci", f"""SELECT {P}, dim, {r('score')} AS observed, {r('lo')} AS ci_lower, {r('hi')} AS ci_upper, lo>0 AS significant FROM x_dims
-    JOIN (SELECT {P}, dim, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM x_replong GROUP BY ALL) USING ({P}, dim)""")(
-    lambda w: resample.dimension_ci(replicates(w), dims(w))
-)
-O.CTES["x_sigma"] = f"SELECT {P}, dim, stddev_samp(value) AS sigma FROM x_replong GROUP BY ALL"
-query("q8_mde", f"SELECT {P}, dim, {r(f'{Z}*sigma*sqrt(1/b_n+1/c_n)')} AS mde FROM x_sigma JOIN x_wide USING ({P})")(
-    lambda w: resample.mde(replicates(w), sizes(w))
-)
-query("q9_runs_forecast", f"SELECT {P}, dim, CAST(greatest(0, ceil(2*pow({Z}*sigma/0.1::DOUBLE, 2))-(b_n+c_n)) AS BIGINT) AS more_runs FROM x_sigma JOIN x_wide USING ({P})")(
-    lambda w: resample.runs_forecast(replicates(w), sizes(w))
-)
-POISSON_SQL = "+".join(f"(u>={cut})::INT" for cut in K.POISSON_CUTS)
+
+
+def interval_queries(tag: str, rounds) -> None:
+    """What is read from replicates of samples of at most 200 runs a group (no tag) or of all runs."""
+    query(f"q5_bootstrap_ci{tag}", f"""SELECT {P}, {r('drift_score')} AS drift_score, {r('least(lo, drift_score)')} AS ci_lower, {r('greatest(hi, drift_score)')} AS ci_upper, n<30 AS small_sample FROM x_drift
+        JOIN (SELECT {P}, quantile_cont(composite, 0.025) AS lo, quantile_cont(composite, 0.975) AS hi FROM x_rep{tag} GROUP BY {P}) USING ({P})""")(
+        lambda w: resample.drift_ci(rounds(w), scored(w))
+    )
+    query(f"q7_dimension_ci{tag}", f"""SELECT {P}, dim, {r('score')} AS observed, {r('lo')} AS ci_lower, {r('hi')} AS ci_upper, lo>0 AS significant FROM x_dims
+        JOIN (SELECT {P}, dim, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM x_replong{tag} GROUP BY ALL) USING ({P}, dim)""")(
+        lambda w: resample.dimension_ci(rounds(w), dims(w))
+    )
+    O.CTES[f"x_sigma{tag}"] = f"SELECT {P}, dim, stddev_samp(value) AS sigma FROM x_replong{tag} GROUP BY ALL"
+    query(f"q8_mde{tag}", f"SELECT {P}, dim, {r(f'{Z}*sigma*sqrt(1/b_n+1/c_n)')} AS mde FROM x_sigma{tag} JOIN x_wide USING ({P})")(
+        lambda w: resample.mde(rounds(w), sizes(w))
+    )
+    query(f"q9_runs_forecast{tag}", f"SELECT {P}, dim, CAST(greatest(0, ceil(2*pow({Z}*sigma/0.1::DOUBLE, 2))-(b_n+c_n)) AS BIGINT) AS more_runs FROM x_sigma{tag} JOIN x_wide USING ({P})")(
+        lambda w: resample.runs_forecast(rounds(w), sizes(w))
+    )
+
+
+interval_queries("", replicates)
+interval_queries("_all", replicates_of_all)
 O.CTES["x_rounds"] = f"""SELECT {G}, replicate, sum(draws*latency_ms)/nullif(sum(draws), 0) AS mean FROM (SELECT *, {POISSON_SQL} AS draws FROM (
     SELECT {G}, latency_ms, replicate, CAST(('0x'||substr(md5('42:'||{" ||':'|| ".join(K.GROUP)}||':'||id||':'||replicate), 1, 8)) AS BIGINT) AS u FROM x_runs, (SELECT unnest(range(0, 1000)) AS replicate) WHERE latency_ms IS NOT NULL)) GROUP BY {G}, replicate"""
 query(
