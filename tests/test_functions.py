@@ -166,6 +166,70 @@ def test_deep_chain_keeps_order(spark):
     assert T.tree_tools(obs).first().tree_tools == [f"n{i:02d}" for i in range(30)]
 
 
+def counted_rounds(monkeypatch):
+    """Names of the tables that are written: each round after the first table writes one of heads."""
+    names, kept = [], T.kept
+    monkeypatch.setattr(T, "kept", lambda df, name: (names.append(name), kept(df, name))[1])
+    return names
+
+
+def test_rounds_follow_the_depth_and_not_the_size(spark, monkeypatch):
+    n = 100_000
+    names = counted_rounds(monkeypatch)
+    flat = spark.range(n).selectExpr(
+        "'t' AS trace_id", "cast(id AS string) AS id", "if(id = 0, NULL, '0') AS parent_id", "id AS position", "'tool' AS type", "concat('n', id) AS name"
+    )
+    tools = T.tree_tools(flat.repartition(7)).first().tree_tools
+    assert tools == [f"n{i}" for i in range(n)]
+    assert names.count("heads") == 1
+
+
+def test_long_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
+    n = 5_000
+    names = counted_rounds(monkeypatch)
+    chain = spark.range(n).selectExpr(
+        "'t' AS trace_id", "cast(id AS string) AS id", "cast(id - 1 AS string) AS parent_id", f"{n} - id AS position", "'tool' AS type", "concat('n', id) AS name"
+    )
+    tools = T.tree_tools(chain.repartition(7)).first().tree_tools
+    assert tools == [f"n{i}" for i in range(n)]
+    assert names.count("heads") == 13
+
+
+def test_random_forests_equal_a_recursive_walk(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for t in range(6):
+        ids = [f"{t}-{i}" for i in range(150)]
+        for i, name in enumerate(ids):
+            parent = rng.choice([None, "lost", name, *ids[max(0, i - 3) : i], *ids[max(0, i - 3) : i]])
+            rows.append((f"t{t}", name, parent, rng.choice([None, i % 40, i]), "tool", name))
+    obs = spark.createDataFrame(rows, "trace_id string, id string, parent_id string, position long, type string, name string").repartition(5)
+    got = {r.trace_id: r.tree_tools for r in T.tree_tools(obs).collect()}
+    for t in got:
+        mine = sorted((r for r in rows if r[0] == t), key=lambda r: (-1 if r[3] is None else r[3], r[1]))
+        known = {r[1] for r in mine}
+        walked = []
+
+        def walk(r):
+            walked.append(r[1])
+            for c in mine:
+                if c[2] == r[1] and c[1] != r[1]:
+                    walk(c)
+
+        for r in mine:
+            if r[2] not in known or r[2] == r[1]:
+                walk(r)
+        assert got[t] == walked
+
+
+def test_children_of_a_repeated_id_come_once(spark):
+    rows = [("t", "1", None, 0, "tool", "a"), ("t", "1", None, 3, "tool", "again"), ("t", "2", "1", 1, "tool", "child")]
+    obs = spark.createDataFrame(rows, "trace_id string, id string, parent_id string, position long, type string, name string")
+    assert T.tree_tools(obs).first().tree_tools == ["a", "child", "again"]
+
+
 def test_tools_merge_in_order(spark):
     merged = one(spark, T.merge_tools(F.col("d"), F.col("t")), d=F.array(F.lit("a"), F.lit("a")), t=F.array(*[F.lit(x) for x in "bacb"]))
     assert merged == ["a", "a", "b", "c"]

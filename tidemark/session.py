@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -36,3 +37,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     target = configured or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
     return spark.sparkContext.getCheckpointDir()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table in the shared folder: later plans start there, and lost executors cost nothing before it."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import constants as K
+from tidemark.session import kept
 
 
 def version_columns(env_version: str | None = None) -> tuple[Column, Column]:
@@ -28,34 +31,55 @@ def version_columns(env_version: str | None = None) -> tuple[Column, Column]:
     return version, source
 
 
+def _step(position: Column, id: Column) -> Column:
+    """A row's own part of its path: text that sorts as (position, id) does and is no beginning of a sibling's part."""
+    digits = F.coalesce(position.cast("string"), F.lit(""))
+    return F.concat(F.char(F.length(digits) + 48), digits, F.coalesce(id, F.lit("")), F.lit("\0"))
+
+
 def tree_paths(observations: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Observations with their pre-order path, however deep the tree; orphans are roots.
+    """Observations with their pre-order path as sortable text, however deep the tree; orphans are roots.
+
+    Pointer doubling on two shrinking sets. After k rounds a row knows its 2**k-th ancestor and the path below it;
+    only rows at least 2**k deep (``active``) join, and only rows with descendants that far down (``heads``) are
+    joined with. Both are written each round, so plans stay flat and a lost executor costs one round. Rounds
+    are the logarithm of the depth: a flat trace ends after the first, whatever its size. The joins are on
+    (trace, id), and a parent is one row there, so the children of one parent can be split over tasks.
 
-    Pointer doubling: after k joins every row knows its 2**k-th ancestor and the path below it. No tree is deeper
-    than its trace has rows, so the joins end at the size of the largest trace (one number, from one
-    aggregation); that also ends cycles, whose rows keep the path walked so far. ``max_depth`` ends them
-    sooner. The joins are on (trace, id),
-    so one long trace does not sit in one task.
+    Each round finishes the rows nearest to the roots, so the active rows grow fewer as long as one of them is not
+    on or below a cycle. When none was finished only those are left; they keep the path walked so far.
+    Of rows that repeat an id the first in order is the parent. Positions count from 0; null comes first.
+    ``max_depth`` ends the rounds sooner.
     """
-    most = max_depth or observations.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
-    key = F.struct(F.col("position"), F.col("id"))
-    ids = observations.select("trace_id", F.col("id").alias("parent_id")).distinct().withColumn("has_parent", F.lit(True))
-    paths = (
-        observations.join(ids, ["trace_id", "parent_id"], "left")
+    keys = ["trace_id", "id"]
+    parents = observations.select("trace_id", F.col("id").alias("parent_id")).distinct().withColumn("has_parent", F.lit(True))
+    started = (
+        observations.join(parents, ["trace_id", "parent_id"], "left")
         .withColumn("up", F.when(F.col("has_parent") & (F.col("parent_id") != F.col("id")), F.col("parent_id")))
-        .select(*observations.columns, "up", F.array(key).alias("path"))
+        .select(*observations.columns, "up", _step(F.col("position"), F.col("id")).alias("path"))
     )
-    depth = 1
-    while depth < most:
-        above = paths.select("trace_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("head"))
-        paths = (
-            paths.join(above, ["trace_id", "up"], "left")
-            .withColumn("path", F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")))
-            .withColumn("up", F.col("up2"))
-            .drop("up2", "head")
+    rows = kept(started, "paths")
+    known = rows.select(*keys, "up", "path")
+    parts, depth, left = [], 1, None
+    while True:
+        active = rows.where(F.col("up").isNotNull())
+        count = active.count()
+        if not count or count == left or (max_depth and depth >= max_depth):
+            break
+        parts.append(rows.where(F.col("up").isNull()))
+        wanted = active.select("trace_id", F.col("up").alias("id")).distinct()
+        first = F.min(F.struct("path", "up"))
+        heads = kept(known.join(wanted, keys, "left_semi").groupBy(*keys).agg(first.alias("s")).select(*keys, "s.up", "s.path"), "heads")
+        above = heads.select("trace_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("head"))
+        joined = active.join(above, ["trace_id", "up"], "left")
+        rows = kept(
+            joined.select(*observations.columns, F.col("up2").alias("up"), F.concat(F.coalesce("head", F.lit("")), "path").alias("path")),
+            "paths",
         )
-        depth *= 2
-    return paths.drop("up")
+        # Who has descendants twice as far down was a head before; heads that were active have moved on.
+        known = heads.where(F.col("up").isNull()).unionByName(rows.select(*keys, "up", "path"))
+        depth, left = 2 * depth, count
+    return reduce(DataFrame.unionByName, [*parts, rows]).drop("up")
 
 
 def is_tool() -> Column:
@@ -67,7 +91,8 @@ def is_tool() -> Column:
 
 def tree_tools(observations: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Tool names per trace in pre-order of the observation tree."""
-    called = tree_paths(observations, max_depth).where(is_tool())
+    needed = observations.select("trace_id", "id", "parent_id", "position", "type", "name")
+    called = tree_paths(needed, max_depth).where(is_tool())
     return called.groupBy("trace_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("path", "name"))), lambda s: s["name"]).alias("tree_tools")
     )
