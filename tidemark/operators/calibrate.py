@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.functions import constants as K
 from tidemark.operators import ranks
+from tidemark.session import kept
 
 
 def dimension_scores(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP)) -> DataFrame:
@@ -88,28 +89,52 @@ def _corr(a: Column, b: Column) -> Column:
 def correlations(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP), min_values: int = 30) -> DataFrame:
     """Spearman correlation of every two dimensions within a group, paired by run.
 
-    Ranks are computed per distinct score value, so one value shared by a third of all runs is one
-    row there. They return to the runs through an equi-join whose rank side has one row per key, so
-    adaptive execution can split a partition that a hot value makes large. All correlations come from
-    one aggregation of sums.
+    Runs are first counted by their tuple of scores, with partial counts before the shuffle, so a tuple that a
+    third of all runs share is one weighted row from there on and run ids never travel. Ranks with ties come from the
+    counts of each dimension's values. They return to the tuples through one left join per dimension on (group,
+    score), whose rank side has one row per key: adaptive execution sends it whole where it is small and splits
+    skewed partitions where it is not. Correlations are weighted sums over centred ranks, in one aggregation.
+    Null and missing scores leave their pairs out.
     """
     by = list(by)
     dims = [d for d in K.DIMS if d not in ("semantic_drift", "tool_sequence_transitions", "tool_sequence", "tool_distribution", "decision_drift")]
     scores = C.calibration_scores()
-    keyed = runs.select(*by, "id", *[scores[d].cast("double").alias(d) for d in dims])
-    long = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("score")) for d in dims])
-    flat = keyed.select(*by, "id", F.explode(long).alias("s")).select(*by, "id", "s.dim", "s.score").where(
-        F.col("score").isNotNull()
+    tuples = kept(
+        runs.select(*by, *[scores[d].cast("double").alias(d) for d in dims]).groupBy(*by, *dims).agg(F.count("*").alias("k")), "tuples"
     )
-    rank_rows = ranks.average_rank(flat, [*by, "dim"], "score").select(*by, "dim", "score", "avg_rank")
-    ranked = flat.join(rank_rows, [*by, "dim", "score"])
-    at = lambda d: F.max(F.when(F.col("dim") == d, F.col("avg_rank")))
-    per_run = ranked.groupBy(*by, "id").agg(*[at(d).alias(d) for d in dims])
+    each = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("score")) for d in dims])
+    values = (
+        tuples.select(*by, "k", F.explode(each).alias("s"))
+        .where(F.col("s.score").isNotNull())
+        .groupBy(*by, "s.dim", "s.score")
+        .agg(F.sum("k").alias("k"))
+    )
+    rank_rows = kept(ranks.average_rank_of_counts(values, [*by, "dim"], "score"), "ranks")
+    ranked = tuples
+    for d in dims:
+        centred = (F.col("avg_rank") - (F.col("n") + 1) / 2).alias(f"r__{d}")
+        of_dim = rank_rows.where(F.col("dim") == d).select(*by, F.col("score").alias(d), centred)
+        ranked = ranked.join(of_dim, [*by, d], "left")
     combos = [(a, b) for i, a in enumerate(dims) for b in dims[i + 1 :]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    wide = per_run.groupBy(*by).agg(
-        *[_corr(F.col(a), F.col(b)).alias(f"r__{a}__{b}") for a, b in combos],
-        *[F.count_if(both(a, b)).alias(f"n__{a}__{b}") for a, b in combos],
+    sums = []
+    for a, b in combos:
+        x, y = F.col(f"r__{a}"), F.col(f"r__{b}")
+        both = x.isNotNull() & y.isNotNull()
+        parts = {"n": F.lit(1), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+        sums += [F.sum(F.when(both, F.col("k") * v)).alias(f"{name}__{a}__{b}") for name, v in parts.items()]
+    totals = ranked.groupBy(*by).agg(*sums)
+
+    def rho(a: str, b: str) -> Column:
+        n, x, y, xx, yy, xy = (F.col(f"{name}__{a}__{b}") for name in ("n", "x", "y", "xx", "yy", "xy"))
+        var_x, var_y = xx - x * x / n, yy - y * y / n
+        # Sums of halves are exact; what is left of a constant is rounding alone.
+        varies = (var_x > 1e-9 * xx) & (var_y > 1e-9 * yy)
+        return F.when(varies, (xy - x * y / n) / F.sqrt(var_x * var_y))
+
+    wide = totals.select(
+        *by,
+        *[rho(a, b).alias(f"r__{a}__{b}") for a, b in combos],
+        *[F.coalesce(F.col(f"n__{a}__{b}"), F.lit(0)).cast("long").alias(f"n__{a}__{b}") for a, b in combos],
     )
     rows = F.array(
         *[

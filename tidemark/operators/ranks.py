@@ -184,6 +184,11 @@ def interpolated_of_counts(
 def average_rank(df: DataFrame, by: Sequence[str], value: str, width: float = 1 / 256) -> DataFrame:
     """Rank with ties sharing their mean, one row per group and distinct value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    return average_rank_of_counts(counts, by, value, width)
+
+
+def average_rank_of_counts(counts: DataFrame, by: Sequence[str], value: str, width: float = 1 / 256) -> DataFrame:
+    """As ``average_rank`` for value counts in column ``k``."""
     ranked = running(counts, by, value, ["k"], width)
     return ranked.select(
         *by, value, (F.col("cum_k") - F.col("k") + (F.col("k") + 1) / 2).alias("avg_rank"), F.col("all_k").alias("n")
