@@ -93,7 +93,7 @@ def correlations(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP), min_values
     third of all runs share is one weighted row from there on and run ids never travel. Ranks with ties come from the
     counts of each dimension's values. They return to the tuples through one left join per dimension on (group,
     score), whose rank side has one row per key: adaptive execution sends it whole where it is small and splits
-    skewed partitions where it is not. Correlations are weighted sums over centred ranks, in one aggregation.
+    skewed partitions where it is not. Correlations are weighted sums over centred ranks.
     Null and missing scores leave their pairs out.
     """
     by = list(by)
@@ -115,42 +115,43 @@ def correlations(runs: DataFrame, by: Sequence[str] = tuple(K.GROUP), min_values
         centred = (F.col("avg_rank") - (F.col("n") + 1) / 2).alias(f"r__{d}")
         of_dim = rank_rows.where(F.col("dim") == d).select(*by, F.col("score").alias(d), centred)
         ranked = ranked.join(of_dim, [*by, d], "left")
+    # Sums per pattern of missing scores: within one, every two dimensions share their rows.
+    r = {d: F.col(f"r__{d}") for d in dims}
     combos = [(a, b) for i, a in enumerate(dims) for b in dims[i + 1 :]]
-    sums = []
-    for a, b in combos:
-        x, y = F.col(f"r__{a}"), F.col(f"r__{b}")
-        both = x.isNotNull() & y.isNotNull()
-        parts = {"n": F.lit(1), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
-        sums += [F.sum(F.when(both, F.col("k") * v)).alias(f"{name}__{a}__{b}") for name, v in parts.items()]
-    totals = ranked.groupBy(*by).agg(*sums)
-
-    def rho(a: str, b: str) -> Column:
-        n, x, y, xx, yy, xy = (F.col(f"{name}__{a}__{b}") for name in ("n", "x", "y", "xx", "yy", "xy"))
-        var_x, var_y = xx - x * x / n, yy - y * y / n
-        # Sums of halves are exact; what is left of a constant is rounding alone.
-        varies = (var_x > 1e-9 * xx) & (var_y > 1e-9 * yy)
-        return F.when(varies, (xy - x * y / n) / F.sqrt(var_x * var_y))
-
-    wide = totals.select(
-        *by,
-        *[rho(a, b).alias(f"r__{a}__{b}") for a, b in combos],
-        *[F.coalesce(F.col(f"n__{a}__{b}"), F.lit(0)).cast("long").alias(f"n__{a}__{b}") for a, b in combos],
+    k = F.col("k")
+    patterns = ranked.groupBy(*by, F.concat(*[r[d].isNull().cast("string") for d in dims]).alias("pattern")).agg(
+        F.sum(k).alias("n"),
+        *[F.sum(k * r[d]).alias(f"s__{d}") for d in dims],
+        *[F.sum(k * r[a] * r[b]).alias(f"p__{a}__{b}") for a, b in [*zip(dims, dims, strict=True), *combos]],
     )
     rows = F.array(
         *[
             F.struct(
                 F.lit(a).alias("dim_a"),
                 F.lit(b).alias("dim_b"),
-                F.col(f"n__{a}__{b}").alias("n_pairs"),
-                F.col(f"r__{a}__{b}").alias("rho"),
+                F.col(f"s__{a}").alias("x"),
+                F.col(f"s__{b}").alias("y"),
+                F.col(f"p__{a}__{a}").alias("xx"),
+                F.col(f"p__{b}__{b}").alias("yy"),
+                F.col(f"p__{a}__{b}").alias("xy"),
             )
             for a, b in combos
         ]
     )
-    return (
-        wide.select(*by, F.explode(rows).alias("c"))
-        .select(*by, "c.*")
-        .where((F.col("n_pairs") >= min_values) & F.col("rho").isNotNull())
+    # A product is null just where one of the two is missing.
+    sums = (
+        patterns.select(*by, "n", F.explode(rows).alias("c"))
+        .select(*by, "n", "c.*")
+        .where(F.col("xy").isNotNull())
+        .groupBy(*by, "dim_a", "dim_b")
+        .agg(F.sum("n").alias("n_pairs"), *[F.sum(c).alias(c) for c in ("x", "y", "xx", "yy", "xy")])
+    )
+    n, x, y, xx, yy, xy = (F.col(c) for c in ("n_pairs", "x", "y", "xx", "yy", "xy"))
+    var_x, var_y = xx - x * x / n, yy - y * y / n
+    # What is left of a constant is rounding alone.
+    varies = (var_x > 1e-9 * xx) & (var_y > 1e-9 * yy)
+    return sums.where((n >= min_values) & varies).select(
+        *by, "dim_a", "dim_b", "n_pairs", ((xy - x * y / n) / F.sqrt(var_x * var_y)).alias("rho")
     )
 
 
