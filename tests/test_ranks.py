@@ -1,5 +1,7 @@
 """Bucketed ranks against plain windows and Python, on groups of very different size."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -78,3 +80,20 @@ def test_merge_breaks_is_greedy(spark):
             kept.append(b)
     breaks = spark.createDataFrame([("a", b) for b in found], "session_id string, position long")
     assert sorted(r.position for r in epochs.merge_breaks(breaks, 10).collect()) == kept
+
+
+@pytest.mark.parametrize("gap", [1, 2, 7, 10])
+def test_merged_breaks_equal_the_walk_on_dense_and_random_breaks(spark, gap):
+    rng = random.Random(gap)
+    found = {"dense": list(range(400)), "sparse": rng.sample(range(3000), 60), "mixed": [*rng.sample(range(900), 300), 5000, 5003, 5011], "one": [3]}
+    want = []
+    for agent, places in found.items():
+        last = None
+        for p in sorted(places):
+            if last is None or p - last >= gap:
+                want.append((agent, p))
+                last = p
+    rows = [(a, p) for a, places in found.items() for p in [*places, places[0]]] + [("one", None)]
+    breaks = spark.createDataFrame(rows, "session_id string, position long").repartition(4)
+    got = epochs.merge_breaks(breaks, gap).collect()
+    assert sorted((r.session_id, r.position) for r in got) == sorted(want)

@@ -13,6 +13,7 @@ from tidemark.operators import distance as D
 from tidemark.operators import fingerprint as FP
 from tidemark.operators import ranks
 from tidemark.operators import select as S
+from tidemark.session import kept
 from tidemark.session import ensure_checkpoint_dir
 
 AGENT = ("session_id",)
@@ -76,25 +77,64 @@ def epoch_breaks(windows: DataFrame, w: int = K.EPOCH_WINDOW, cut: float = K.EPO
     return window_change(windows, w, by).where(F.col("change") > cut)
 
 
+def _next_breaks(breaks: DataFrame, gap: int, by: list[str]) -> DataFrame:
+    """Each break with the first one at least ``gap`` later (``after``) and whether one lies less than ``gap`` before it (``near``).
+
+    Every break asks at its own place and at ``gap`` behind it. Positions are cut into blocks of ``gap``, so a task orders
+    at most ``gap`` breaks and as many questions; what has no answer inside a block comes from the table of blocks.
+    """
+    points = (
+        breaks.select(*by, F.col("position").alias("at"), F.lit(None).cast("long").alias("asks"))
+        .unionByName(breaks.select(*by, (F.col("position") + gap).alias("at"), F.col("position").alias("asks")))
+        .withColumn("block", F.floor(F.col("at") / gap))
+    )
+    real = F.when(F.col("asks").isNull(), F.col("at"))
+    blocks = points.groupBy(*by, "block").agg(F.min(real).alias("first"))
+    back = Window.partitionBy(*by).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = blocks.select(*by, "block", F.last("first", ignorenulls=True).over(back).alias("later"))
+    # From the end of a block: breaks before the questions at the same place.
+    down = Window.partitionBy(*by, "block").orderBy(F.col("at").desc(), F.col("asks").asc_nulls_first())
+    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    others = Window.partitionBy(*by, "block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    seen = points.select(
+        "*",
+        F.last(real, ignorenulls=True).over(so_far).alias("inside"),
+        # A question further on belongs to a break of the block before that lies less than gap away.
+        F.max(F.col("asks").isNotNull()).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("open"),
+        F.count(real).over(others).alias("same"),
+    )
+    answers = (
+        seen.where(F.col("asks").isNotNull())
+        .join(later, [*by, "block"])
+        .select(*by, F.col("asks").alias("position"), F.coalesce("inside", "later").alias("after"), F.lit(None).cast("boolean").alias("near"))
+    )
+    own = seen.where(F.col("asks").isNull()).select(
+        *by, F.col("at").alias("position"), F.lit(None).cast("long").alias("after"), (F.coalesce("open", F.lit(False)) | (F.col("same") > 0)).alias("near")
+    )
+    return answers.unionByName(own).groupBy(*by, "position").agg(F.max("after").alias("after"), F.bool_or("near").alias("near"))
+
+
 def merge_breaks(breaks: DataFrame, gap: int = 10, by: Sequence[str] = AGENT) -> DataFrame:
     """Drops a break closer than ``gap`` runs to the last one kept.
 
-    Breaks at least ``gap`` apart from their predecessor start a chain of their own, so the greedy
-    pass only walks short chains of breaks that are all close together.
+    A break with none less than ``gap`` before it is always kept and starts a chain; the others are kept if a chain
+    of jumps to the next break at least ``gap`` away meets them. Pointer jumping walks all chains at once: each round
+    marks what the marked ones reach and doubles the jumps, and only jumps that still have a next one
+    stay, so the rounds are the logarithm of the number of breaks in a row that are kept. Repeated positions count once, null ones go.
     """
     by = list(by)
-    w = Window.partitionBy(*by).orderBy("position")
-    chained = breaks.withColumn(
-        "starts", F.coalesce(F.col("position") - F.lag("position").over(w) >= gap, F.lit(True)).cast("int")
-    ).withColumn("chain", F.sum("starts").over(w))
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.col("position"))),
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x))
-        ).otherwise(acc),
-    )
-    return chained.groupBy(*by, "chain").agg(kept.alias("kept")).select(*by, F.explode("kept").alias("position"))
+    found = breaks.where(F.col("position").isNotNull()).select(*by, F.col("position").cast("long").alias("position")).distinct()
+    if gap <= 1:
+        return found
+    linked = kept(_next_breaks(found, gap, by), "breaks")
+    marked = linked.where(~F.col("near")).select(*by, "position")
+    jumps = linked.where(F.col("after").isNotNull()).select(*by, "position", "after")
+    while not jumps.isEmpty():
+        reached = marked.join(jumps, [*by, "position"]).select(*by, F.col("after").alias("position"))
+        marked = kept(marked.unionByName(reached).distinct(), "marked")
+        further = jumps.select(*by, F.col("position").alias("after"), F.col("after").alias("last"))
+        jumps = kept(jumps.join(further, [*by, "after"]).select(*by, "position", F.col("last").alias("after")), "jumps")
+    return marked
 
 
 def with_epoch(positions: DataFrame, breaks: DataFrame, by: Sequence[str] = AGENT, min_runs: int = K.EPOCH_MIN_RUNS, block: int = 100_000) -> DataFrame:
