@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +63,12 @@ def jsd_columns() -> list[Column]:
         )
         return F.coalesce(F.sum(of_kind(_jsd_term())), F.lit(0.0)), sides, F.count(of_kind(F.lit(1)))
 
+    return jsd_of_parts(parts)
+
+
+def jsd_of_parts(parts: Callable[[str], tuple[Column, Column, Column]]) -> list[Column]:
+    """The four distances from each kind's sum of terms, the smaller of its sides' largest shares and its number of keys."""
+
     def divergence(kind: str) -> Column:
         nats, smaller, keys = parts(kind)
         return F.when(keys == 0, 0.0).when(smaller == 0, 1.0).otherwise(C.clamp01(nats / LN2))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions import constants as K
+from tidemark.functions.draws import poisson_rounds
 from tidemark.operators import compare as CM
 from tidemark.operators import distance as D
 from tidemark.operators import pairs as P
 from tidemark.operators import ranks
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import kept
 
 REPLICATE = [*K.PAIR, "replicate"]
 REPLICATE_COLUMNS = [
@@ -174,87 +178,288 @@ def _scored(full: DataFrame) -> DataFrame:
 ROUNDS_PER_DIGEST = 4
 MEANS = ["output_length", "verbosity_ratio", "retry_count", "time_to_first_tool_ms", "error_count"]
 MEAN_NAMES = {c: "error_rate" if c == "error_count" else f"avg_{c}" for c in MEANS}
+TAILS = ["latency_ms", "loop_count"]
+REACH = 8.0  # standard errors of a 95th percentile within which the rounds' percentiles are looked for first
+SLICE = 2048  # runs drawn, or entries added up, at once
+HELD = 4096  # vectors that a task keeps before it hands them on
+SUMS = "session_id string, deployment_version string, environment string, kind string, key long, sums array<double>"
+
+
+def _matrix(column: pa.Array, b: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, b)
+
+
+def _segments(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _vectors(places: Sequence[tuple], vectors: Sequence[np.ndarray], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of the places' values and one vector each."""
+    for at in range(0, len(places), 512):
+        some, stacked = places[at : at + 512], np.stack(vectors[at : at + 512])
+        offsets = np.arange(len(some) + 1, dtype=np.int32) * stacked.shape[1]
+        values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(stacked.ravel()))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*some, strict=True)), values], names=list(names))
+
+
+def _added(
+    part: pa.RecordBatch, b: int, per_digest: int, numbers: Sequence[str], keys: Sequence[str], lists: Sequence[str]
+) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Sums of some runs' draws, a vector over the rounds for every (group, kind, key)."""
+    known: dict[tuple, int] = {}
+    groups = zip(*(part.column(c).to_pylist() for c in K.GROUP), strict=True)
+    code = np.array([known.setdefault(g, len(known)) for g in groups])
+    names = list(known)
+    draws = poisson_rounds(part.column("prefix").to_pylist(), b, per_digest)
+
+    weights, odd, entries = {"n": np.ones(len(code))}, [], []
+    for c in numbers:
+        column = part.column(c)
+        x = column.fill_null(0.0).to_numpy(zero_copy_only=False)
+        weights[c], weights[f"n_{c}"] = np.where(np.isfinite(x), x, 0.0), column.is_valid().to_numpy(zero_copy_only=False)
+        odd += [(c, i, x[i]) for i in np.flatnonzero(~np.isfinite(x))]
+    for c in keys:
+        column = part.column(c)
+        weights[f"n_{c}"] = valid = column.is_valid().to_numpy(zero_copy_only=False)
+        entries.append((c, np.flatnonzero(valid), column.drop_null().to_numpy(zero_copy_only=False)))
+    for c in lists:
+        column = part.column(c)
+        weights[f"n_{c}"] = sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        entries.append((c, np.repeat(np.arange(len(code)), sizes), column.flatten().to_numpy(zero_copy_only=False)))
+
+    order, stacked = np.argsort(code, kind="stable"), np.array([*weights.values()], np.float64)
+    for rows in np.split(order, _segments(code[order])[1:]):
+        sums = stacked[:, rows] @ draws[rows].astype(np.float64)
+        yield from (((*names[code[rows[0]]], kind, 0), s) for kind, s in zip(weights, sums, strict=True))
+    for c, i, x in odd:  # only rounds that draw the run take its infinity
+        yield (*names[code[i]], c, 0), np.where(draws[i] > 0, x, 0.0)
+    for kind, rows, values in entries:
+        order = np.lexsort((values, code[rows]))
+        for at in range(0, len(order), SLICE):
+            some = order[at : at + SLICE]
+            of, key = code[rows[some]], values[some]
+            starts = _segments(of, key)
+            sums = np.add.reduceat(draws[rows[some]], starts, axis=0, dtype=np.uint16)
+            yield from (((*names[of[i]], kind, int(key[i])), s) for i, s in zip(starts, sums, strict=True))
+
+
+def _round_sums(
+    rows: DataFrame, b: int, per_digest: int, numbers: Sequence[str] = (), keys: Sequence[str] = (), lists: Sequence[str] = ()
+) -> DataFrame:
+    """Sums over the runs of a group, each a vector over the rounds: draws (kind ``n``), draws times a number (its name)
+    and draws per value of a key or a list's entry (its name and ``key``), with the draws that have one (``n_<name>``).
 
-
-def _multiplicities(runs: DataFrame, b: int, seed: int) -> DataFrame:
-    """Per run and round its Poisson(1) number of draws, where that is not 0; one digest serves four rounds."""
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((b - 1) // ROUNDS_PER_DIGEST)))
-    hashed = runs.select("*", blocks.alias("block")).withColumn(
-        "digest", F.md5(F.concat_ws(":", F.lit(seed), *K.GROUP, "id", "block"))
+    Runs are dealt by ranges of group, key and id, so that tasks are alike in size, a hot group is cut and a task meets
+    few keys. A task adds up vectors and never holds its runs; the tasks' vectors of a key are then added.
+    """
+    session = rows.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    order = [*K.GROUP, *keys[:1]]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        names = [*K.GROUP, "kind", "key", "sums"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                for place, sums in _added(batch.slice(at, SLICE), b, per_digest, numbers, keys, lists):
+                    if place in held:
+                        held[place] += sums
+                    else:
+                        held[place] = sums.astype(np.float64)
+                    if len(held) >= HELD:
+                        yield from _vectors([*held], [*held.values()], names)
+                        held.clear()
+        yield from _vectors([*held], [*held.values()], names)
+
+    dealt = rows.repartitionByRange(tasks, *order, F.xxhash64("prefix")).sortWithinPartitions(*order)
+    parts = dealt.mapInArrow(apply, SUMS).groupBy(*K.GROUP, "kind", "key").agg(F.collect_list("sums").alias("parts"))
+    add = lambda x, y: F.zip_with(x, y, lambda a, c: a + c)
+    whole = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.get("parts", F.lit(0)), add)
+    return parts.select(*K.GROUP, "kind", "key", whole.alias("sums"))
+
+
+def _grouped(runs: DataFrame) -> DataFrame:
+    """Runs that can belong to a pair."""
+    return runs.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in K.GROUP)))
+
+
+def _prefix(seed: int) -> Column:
+    """The text before a round's number in its digest."""
+    return F.concat_ws(":", F.lit(seed), *K.GROUP, "id").cast("binary").alias("prefix")
+
+
+def _windows(slim: DataFrame, reach: float) -> DataFrame:
+    """Per group and counted number the values around its 95th percentile, ``reach`` standard errors to either side."""
+    entries = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in TAILS])
+    counts = (
+        slim.select(*K.GROUP, F.explode(entries).alias("e"))
+        .select(*K.GROUP, "e.*")
+        .where(F.col("value").isNotNull())
+        .groupBy(*K.GROUP, "kind", "value")
+        .agg(F.count("*").alias("k"))
     )
-    u = lambda i: F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("long")
-    four = F.array(
-        *[
-            F.struct((F.col("block") * ROUNDS_PER_DIGEST + i).alias("replicate"), C.poisson_draws(u(i)).alias("draws"))
-            for i in range(ROUNDS_PER_DIGEST)
-        ]
+    ranked = ranks.running(counts, [*K.GROUP, "kind"], "value", ["k"]).withColumn("n", F.col("all_k"))
+    rank, far = ranks.percent_rank(95), F.lit(reach) * F.sqrt(F.col("n") * 0.95 * 0.05)
+    near = (F.col("cum_k") >= rank - far) & (F.col("cum_k") - F.col("k") <= rank + far)
+    return ranked.where(near).groupBy(*K.GROUP, "kind").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+def _clipped(slim: DataFrame, windows: DataFrame) -> DataFrame:
+    """Runs whose counted numbers outside the windows stand directly beside them."""
+    of = lambda c, name: F.max(F.when(F.col("kind") == c, F.col(name))).alias(f"{c}_{name}")
+    wide = windows.groupBy(*K.GROUP).agg(*[of(c, name) for c in TAILS for name in ("lo", "hi")])
+    lo, hi = (lambda c: F.col(f"{c}_lo")), (lambda c: F.col(f"{c}_hi"))
+    inside = {c: F.when(F.col(c) < lo(c), lo(c) - 1).when(F.col(c) > hi(c), hi(c) + 1).otherwise(F.col(c)) for c in TAILS}
+    return slim.join(wide, K.GROUP, "left").withColumns(inside).select(*slim.columns)
+
+
+def _percentiles(sums: DataFrame, b: int) -> DataFrame:
+    """95th percentiles of the counted numbers, a vector per group and kind: values pass in order, their draws' sums stay."""
+    total = F.col("kind").isin([f"n_{c}" for c in TAILS])
+    counted = sums.where(total | F.col("kind").isin(TAILS)).select(
+        *K.GROUP, F.regexp_replace("kind", "^n_", "").alias("kind"), F.when(~total, F.col("key")).alias("key"), "sums"
     )
-    spread = hashed.select("*", F.explode(four).alias("r")).drop("block", "digest").select("*", "r.*").drop("r")
-    return spread.where((F.col("draws") > 0) & (F.col("replicate") < b))
+    by = [*K.GROUP, "kind"]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, rank, upto, found = None, None, None, None
+        for batch in batches:
+            places = zip(*(batch.column(c).to_pylist() for c in by), strict=True)
+            for this, key, sums in zip(places, batch.column("key").to_pylist(), _matrix(batch.column("sums"), b), strict=True):
+                if key is None:  # a group's totals come before its values
+                    if place is not None:
+                        yield from _vectors([place], [found], [*by, "p95"])
+                    place, rank = this, np.minimum(sums * 95 // 100, sums - 1)
+                    upto, found = np.zeros(b), np.full(b, np.nan)
+                else:
+                    before, upto = upto, upto + sums
+                    found[(before <= rank) & (rank < upto)] = key
+        if place is not None:
+            yield from _vectors([place], [found], [*by, "p95"])
+
+    schema = "session_id string, deployment_version string, environment string, kind string, p95 array<double>"
+    ordered = ranks.spread(counted, *by).sortWithinPartitions(*by, F.col("key").asc_nulls_first())
+    return ordered.mapInArrow(apply, schema).withColumn("p95", F.transform("p95", lambda x: F.when(~F.isnan(x), x)))
+
+
+def _tails(slim: DataFrame, sums: DataFrame, windows: DataFrame, b: int, reach: float) -> DataFrame:
+    """The rounds' 95th percentiles. Groups with a round outside its window are counted again in wider windows."""
+    done = None
+    while True:
+        tails = kept(_percentiles(sums, b), "tails")
+        beside = F.exists("p95", lambda x: F.coalesce((x < F.col("lo")) | (x > F.col("hi")), F.lit(False)))
+        missed = kept(tails.join(windows, [*K.GROUP, "kind"]).where(beside).select(*K.GROUP).distinct(), "missed")
+        right = tails.join(missed, K.GROUP, "left_anti")
+        done = right if done is None else done.unionByName(right)
+        if missed.isEmpty():
+            return done
+        slim, reach = slim.join(missed, K.GROUP, "left_semi"), 8 * reach + 1
+        windows = kept(_windows(slim, reach), "windows")
+        sums = kept(_round_sums(_clipped(slim, windows), b, ROUNDS_PER_DIGEST, keys=TAILS), "sums")
+
+
+def _distances(shares: DataFrame, b: int) -> DataFrame:
+    """Per pair, kind and round what the divergences are made of, added up per task: terms, largest shares, keys."""
+    by = [*K.PAIR, "kind"]
+    names = ["nats", "p", "q", "keys"]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                known: dict[tuple, int] = {}
+                places = zip(*(part.column(c).to_pylist() for c in by), strict=True)
+                code = np.array([known.setdefault(x, len(known)) for x in places])
+                p, q = _matrix(part.column("p"), b), _matrix(part.column("q"), b)
+                middle = (p + q) / 2
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    terms = 0.5 * (np.where(p > 0, p * np.log(p / middle), 0.0) + np.where(q > 0, q * np.log(q / middle), 0.0))
+                for place, i in known.items():
+                    rows = code == i
+                    new = np.array([terms[rows].sum(0), p[rows].max(0), q[rows].max(0), (middle[rows] > 0).sum(0)])
+                    if place in held:
+                        old = held[place]
+                        new = np.array([old[0] + new[0], np.maximum(old[1], new[1]), np.maximum(old[2], new[2]), old[3] + new[3]])
+                    held[place] = new
+                if len(held) >= HELD // 4:
+                    yield from _stacked(held)
+                    held = {}
+        yield from _stacked(held)
+
+    def _stacked(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = [(*place, name) for place in held for name in names]
+        return _vectors(rows, [v for vectors in held.values() for v in vectors], [*by, "part", "x"])
+
+    schema = ", ".join(f"{c} string" for c in [*by, "part"]) + ", x array<double>"
+    parts = shares.select(*by, "p", "q").mapInArrow(apply, schema)
+    rounds = parts.select(*by, "part", F.posexplode("x").alias("replicate", "x"))
+
+    def of(kind: str) -> tuple[Column, Column, Column]:
+        part = lambda name: F.when((F.col("kind") == kind) & (F.col("part") == name), F.col("x"))
+        most = lambda name: F.coalesce(F.max(part(name)), F.lit(0.0))
+        total = lambda name: F.coalesce(F.sum(part(name)), F.lit(0.0))
+        return total("nats"), F.least(most("p"), most("q")), total("keys")
+
+    return rounds.groupBy(*REPLICATE).agg(*D.jsd_of_parts(of))
 
 
 def bootstrap_all(runs: DataFrame, pairs: DataFrame, b: int = K.BOOTSTRAP_ROUNDS, seed: int = K.SEED) -> DataFrame:
     """Replicates from all runs: a run's place in a round is its Poisson(1) number of draws.
 
-    Rounds belong to groups, not to pairs, so a version in two pairs is drawn once. A round is a set of sums (draws
-    per sequence, outcome, transition, latency and loop count, and the sums behind the means), which are partly added
-    up before they are shuffled: no group has to fit in a task, and what is shuffled follows the distinct values of a
-    group, not its runs. Keys travel as 64-bit hashes; the 95th percentiles are read off the running sums of draws
-    over the sorted values. Rounds that draw no run of a side (groups of a few runs) do not count. Null numbers count
-    in no mean and no percentile.
+    Rounds belong to groups, not to pairs, so a version in two pairs is drawn once. All rounds of a sum are one vector
+    (draws per sequence, outcome, transition, latency and loop count, and the sums behind the means), so runs are never
+    repeated per round: no group has to fit in a task, and what is shuffled follows the distinct keys of a group. Keys
+    travel as 64-bit hashes. The 95th percentiles are read off running sums of draws over sorted values; only values
+    near a group's own percentile are told apart, and groups where a round's percentile lies elsewhere are counted
+    again. Rounds that draw no run of a side (groups of a few runs) do not count. Null numbers count in no mean and no
+    percentile.
     """
     moves = F.transform(C.bigrams(F.col("tools")), lambda p: F.xxhash64(p["head"], p["tail"]))
-    slim = runs.select(
+    slim = _grouped(runs).select(
         *K.GROUP,
-        "id",
-        *MEANS,
-        F.col("latency_ms").cast("long").alias("latency_ms"),
-        F.col("loop_count").cast("long").alias("loop_count"),
+        _prefix(seed),
+        *[F.col(c).cast("double").alias(c) for c in MEANS],
+        *[F.col(c).cast("long").alias(c) for c in TAILS],
         F.xxhash64(C.sequence_key(F.col("tools"))).alias("sequence"),
         F.xxhash64(F.coalesce("semantic_cluster", F.lit("cluster_none"))).alias("outcome"),
-        F.coalesce(moves, F.array().cast("array<bigint>")).alias("moves"),
+        F.coalesce(moves, F.array().cast("array<bigint>")).alias("bigram"),
     )
-    drawn = _multiplicities(slim, b, seed)
-    by = [*K.GROUP, "replicate"]
-    mean = lambda c: F.try_divide(
-        F.sum(F.col("draws") * F.col(c).cast("double")), F.sum(F.when(F.col(c).isNotNull(), F.col("draws")))
+    windows = kept(_windows(slim, REACH), "windows")
+    keys = ["sequence", "outcome", *TAILS]
+    sums = kept(_round_sums(_clipped(slim, windows), b, ROUNDS_PER_DIGEST, MEANS, keys, ["bigram"]), "sums")
+    tails = _tails(slim, sums, windows, b, REACH)
+
+    only = lambda kind, name: F.first(F.when(F.col("kind") == kind, F.col(name)), ignorenulls=True)
+    moments = ["n", "n_bigram", *MEANS, *[f"n_{c}" for c in MEANS]]
+    totals = sums.where(F.col("kind").isin(moments)).groupBy(*K.GROUP).agg(*[only(c, "sums").alias(c) for c in moments])
+    ends = tails.groupBy(*K.GROUP).agg(*[only(c, "p95").alias(f"p95_{c}") for c in TAILS])
+    zipped = F.arrays_zip(*moments, *[f"p95_{c}" for c in TAILS])
+    numbered = (
+        totals.join(ends, K.GROUP, "left")
+        .select(*K.GROUP, F.posexplode(zipped).alias("replicate", "z"))
+        .select(*K.GROUP, "replicate", "z.*")
+        .where(F.col("n") > 0)
+        .withColumns({name: F.try_divide(F.col(c), F.col(f"n_{c}")) for c, name in MEAN_NAMES.items()})
     )
-    moments = drawn.groupBy(*by).agg(
-        F.sum("draws").alias("n"),
-        F.sum(F.col("draws") * F.size("moves")).alias("n_moves"),
-        *[mean(c).alias(name) for c, name in MEAN_NAMES.items()],
-    )
-    entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    entries = F.concat(
-        F.array(*[entry(c, F.col(c)) for c in ("sequence", "outcome", "latency_ms", "loop_count")]),
-        F.transform("moves", lambda m: entry("bigram", m)),
-    )
-    counts = (
-        drawn.select(*by, "draws", F.explode(entries).alias("e"))
-        .select(*by, "draws", "e.*")
-        .where(F.col("key").isNotNull())
-        .groupBy(*by, "kind", "key")
-        .agg(F.sum("draws").alias("k"))
+    wide = P.pivot_sides(P.attach(numbered, pairs), REPLICATE_COLUMNS, REPLICATE)
+
+    whole = F.when(F.col("kind") == "bigram", F.col("n_bigram")).otherwise(F.col("n"))
+    share = F.zip_with("sums", whole, lambda k, n: F.coalesce(F.try_divide(k, n), F.lit(0.0)))
+    keyed = sums.where(F.col("kind").isin("sequence", "outcome", "bigram"))
+    shares = keyed.join(totals.select(*K.GROUP, "n", "n_bigram"), K.GROUP).select(*K.GROUP, "kind", "key", share.alias("share"))
+    of = lambda version, name: shares.withColumnsRenamed({"deployment_version": version, "share": name}).join(
+        pairs.select(*K.PAIR), [*K.AGENT, version]
     )
-    ensure_checkpoint_dir(runs.sparkSession)
-    counts, moments = counts.checkpoint(), moments.checkpoint()
-
-    numbers = counts.where(F.col("kind").isin("latency_ms", "loop_count"))
-    ranked = ranks.running(numbers, [*by, "kind"], "key", ["k"]).withColumn("n", F.col("all_k"))
-    rank = ranks.percent_rank(95)
-    hit = (F.col("cum_k") - F.col("k") <= rank) & (rank < F.col("cum_k"))
-    p95 = lambda c: F.max(F.when(F.col("kind") == c, F.col("key").cast("double"))).alias(f"p95_{c}")
-    tails = ranked.where(hit).groupBy(*by).agg(p95("latency_ms"), p95("loop_count"))
-    sides = P.sides(pairs)
-    numbered = moments.join(tails, by, "left").withColumn("n", F.col("n").cast("double"))
-    wide = P.pivot_sides(numbered.join(sides, K.GROUP), REPLICATE_COLUMNS, REPLICATE)
-
-    weight = F.col("k") / F.when(F.col("kind") == "bigram", F.col("n_moves")).otherwise(F.col("n"))
-    keyed = counts.where(F.col("kind").isin("sequence", "outcome", "bigram")).join(moments.select(*by, "n", "n_moves"), by)
-    shared = keyed.select(*by, "kind", "key", weight.alias("share")).join(sides, K.GROUP)
-    on = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("share"))), F.lit(0.0))
-    shares = shared.groupBy(*REPLICATE, "kind", "key").agg(on("b").alias("p"), on("c").alias("q"))
-    return _scored(wide.join(D.jsd_wide(shares, REPLICATE), REPLICATE))
+    both = of("baseline_version", "p").join(of("current_version", "q"), [*K.PAIR, "kind", "key"], "full")
+    none = F.array_repeat(F.lit(0.0), b)
+    both = both.withColumns({side: F.coalesce(side, none) for side in ("p", "q")})
+    return _scored(wide.join(_distances(both, b), REPLICATE))
 
 
 def drift_ci(replicates: DataFrame, scored: DataFrame) -> DataFrame:
