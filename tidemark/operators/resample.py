@@ -517,22 +517,20 @@ def bootstrap_mean_diff(
 ) -> DataFrame:
     """Observed difference of means and its resampled 95 % bounds, read by index; both from all runs.
 
-    A run's place in a round is its Poisson(1) number of draws, so a round is a sum over runs that is
-    partly added up before it is shuffled, and no group has to fit in a task. Rounds that draw no run of
-    a side (groups of a few runs) do not count.
+    A run's place in a round is its Poisson(1) number of draws, so a round is a sum over runs. The rounds of a
+    sum are one vector that tasks add up before it is shuffled, and no group has to fit in a task. Rounds that
+    draw no run of a side (groups of a few runs) do not count.
     """
-    values = runs.where(F.col(column).isNotNull()).select(*K.GROUP, "id", F.col(column).cast("double").alias("x"))
-    rounds = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("replicate"))
-    drawn = rounds.withColumn(
-        "u", C.seeded_index([F.lit(seed), *[F.col(k) for k in K.GROUP], F.col("id"), F.col("replicate")], F.lit(2**32))
-    ).withColumn("draws", C.poisson_draws(F.col("u")))
-    means = drawn.groupBy(*K.GROUP, "replicate").agg(
-        F.try_divide(F.sum(F.col("draws") * F.col("x")), F.sum("draws")).alias("mean")
+    values = _grouped(runs).where(F.col(column).isNotNull()).select(*K.GROUP, _prefix(seed), F.col(column).cast("double").alias("x"))
+    only = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("sums")), ignorenulls=True)
+    per_group = (
+        _round_sums(values, b, 1, ["x"])
+        .groupBy(*K.GROUP)
+        .agg(F.zip_with(only("x"), only("n"), lambda x, n: F.try_divide(x, n)).alias("means"))
     )
-    per_group = means.groupBy(*K.GROUP).agg(F.sort_array(F.collect_list(F.struct("replicate", "mean"))).alias("means"))
     observed = values.groupBy(*K.GROUP).agg(F.avg("x").alias("observed"))
     wide = P.both_sides(per_group.join(observed, K.GROUP), pairs, ["means", "observed"])
-    diffs = F.zip_with("b_means", "c_means", lambda x, y: y["mean"] - x["mean"])
+    diffs = F.zip_with("b_means", "c_means", lambda x, y: y - x)
     n = F.size("diffs")
     at = lambda i: F.get(F.col("diffs"), i.cast("int"))
     return wide.withColumn("diffs", F.array_sort(F.filter(diffs, lambda d: d.isNotNull()))).select(
