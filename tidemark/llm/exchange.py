@@ -23,7 +23,6 @@ from tidemark.llm.common import shuffle_partitions, text_bytes
 
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
-FINE_BYTES = 3 << 18
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 """(bytes, places, ids) of a batch to (hash, document) of what is to be counted; pairs may repeat."""
@@ -51,7 +50,6 @@ class Sizes:
     n_batches: int
     bucket_bits: int
     hash_bits: int
-    fine_bits: int
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.hash_bits)
@@ -122,13 +120,11 @@ def answer(sent: pa.Table) -> pa.Table:
 class Exchange:
     """An exchange over a table of texts; its sizes follow from their bytes."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text: str) -> None:
+    def __init__(self, docs: DataFrame, id_col: str, text: str, batch_bytes: int = BATCH_BYTES) -> None:
         total, least = text_bytes(docs, text), shuffle_partitions(docs.sparkSession)
         self.sizes = Sizes(
-            n_batches=max(2 * least, math.ceil(total / BATCH_BYTES)),
+            n_batches=max(2 * least, math.ceil(total / batch_bytes)),
             bucket_bits=max(1, math.ceil(math.log2(max(least, total / BUCKET_BYTES)))),
-            # For buckets that need much memory for each byte.
-            fine_bits=max(1, math.ceil(math.log2(max(least, total / FINE_BYTES)))),
             # So many bits that few hashes (one in some hundreds) meet another by chance.
             hash_bits=min(64, max(32, max(1, total).bit_length() + 8)),
         )

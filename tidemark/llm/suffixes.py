@@ -2,8 +2,8 @@
 
 A corpus has no single index: strings of ``length`` bytes are dealt by an anchor, the smallest hashed substring of
 ``ANCHOR`` bytes inside them. Neighbouring strings share their anchor, so they travel as one region of the text, and
-equal strings meet in one bucket. Each bucket sorts its regions into a Burrows-Wheeler transform of order ``length``,
-keeps it as runs with sampled run ends, and streams its regions through it.
+equal strings meet in one bucket. Each bucket sorts its regions, a share of the anchors at a time, into a Burrows-Wheeler
+transform of order ``length``, keeps it as runs with sampled run ends, and streams its regions through it.
 """
 
 from __future__ import annotations
@@ -21,8 +21,18 @@ from tidemark.llm.common import query, table
 from tidemark.llm.exchange import Exchange, Sizes, parts
 
 LENGTH, ANCHOR = 50, 24
-HOT = 12
-"""From 2 ** 12 documents on an anchor is hot: its strings are dealt one by one, by their own hash."""
+HOT = 16
+"""An anchor of more than 2 ** 15 documents is hot: its strings are dealt one by one, by their own hash. Others have 2.5 MB of regions at most."""
+
+BATCH_BYTES = 8 << 20
+INDEX_BYTES = 1 << 18
+"""A bucket's regions are sorted in shares of about so many bytes."""
+
+SHARES = 8
+"""Bits of an anchor behind those of its bucket: anchors equal in them stay in one share."""
+
+PACKED = pa.Codec("zstd", compression_level=1)
+"""Neighbouring regions of a row have nothing in common that a faster codec finds."""
 
 PIECE = 1 << 16
 BIG = np.iinfo(np.int64).max
@@ -40,9 +50,62 @@ def anchor_hashes(raw: np.ndarray) -> np.ndarray:
     out ^= out >> np.uint64(31)
     out *= factor
     out += words[16 : 16 + n]
+    out ^= out >> np.uint64(32)
+    out *= kernels.BASE
+    return out
+
+
+def words_of(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes at every place as one number, without a copy."""
+    raw = np.ascontiguousarray(raw)
+    return np.ndarray((max(len(raw) - 7, 0),), "<u8", raw, strides=(1,))
+
+
+def fingerprints(words: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices of 8 bytes or more. The last word of a slice ends where the slice ends."""
+    out = width.astype(np.uint64)
+    for k in range(0, int(width.max()) if len(width) else 0, 8):
+        out ^= words[begin + np.minimum(k, width - 8)]
+        out *= kernels.BASE
+        out ^= out >> np.uint64(29)
     return kernels.mix(out)
 
 
+def new_slices(words: np.ndarray, begin: np.ndarray, width: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of some slices in the order of their keys differ from the one before: equal keys alone do not count, all bytes are compared."""
+    new = np.ones(len(key), bool)
+    near = np.flatnonzero((key[1:] == key[:-1]) & (width[1:] == width[:-1]))
+    a, b, size = begin[near], begin[near + 1], width[near]
+    same = np.ones(len(near), bool)
+    for k in range(0, int(size.max()) if len(size) else 0, 8):
+        step = np.minimum(k, size - 8)
+        same &= words[a + step] == words[b + step]
+    new[near[same] + 1] = False
+    return new
+
+
+def joined(raw: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Slices end to end."""
+    ends = np.cumsum(width)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for a in range(0, len(ends), PIECE >> 2):
+        b = min(a + (PIECE >> 2), len(ends))
+        at = int(ends[a] - width[a])
+        shift = begin[a:b] - (ends[a:b] - width[a:b])
+        out[at : ends[b - 1]] = raw[np.repeat(shift, width[a:b]) + np.arange(at, ends[b - 1])]
+    return out
+
+
+def cut(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """An array's bytes as one value for each stretch between the places ``at``."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def bytes_of(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """What ``cut`` has cut, end to end."""
+    return np.frombuffer(kernels.buffers(column)[0].tobytes(), kind)
+
+
 def minimum_of(values: np.ndarray, n: int) -> np.ndarray:
     """The smallest of each n neighbours."""
     width = 1
@@ -101,41 +164,47 @@ def anchor_kernel(length: int):
 
 
 class Dealt:
-    """The regions of a batch that other documents may share, and where each goes. The same for a second reading: rows are sorted first, since a shuffle delivers them in any order."""
+    """The regions of a batch that other documents may share, and where each goes. The same for a second reading: rows are sorted first, since a shuffle delivers them in any order.
 
-    def __init__(self, batch: pa.Table, classes: Callable[[np.ndarray], np.ndarray], sizes: Sizes, length: int) -> None:
+    Each distinct region of the batch is one unit, which goes once, with the smallest document that has it. Regions of
+    hot anchors go as units of one string each. Units are in the order of their keys: an anchor's upper half, then a hash of the bytes.
+    """
+
+    def __init__(self, batch: pa.Table, classes: Callable[[np.ndarray], np.ndarray], length: int) -> None:
         batch = self.batch = batch.sort_by([("id", "ascending"), ("text", "ascending")])
         self.raw, self.at, self.ids = parts(batch)
         known = batch.column("id").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
         first, count, anchor, owner = regions(self.raw, self.at, length)
         rank = classes(anchor)
         use = (rank > 0) & known[owner]
-        first, count, anchor, owner, rank = first[use], count[use], anchor[use], owner[use], rank[use]
-        hot = rank >= HOT
+        first, count, anchor, owner, hot = first[use], count[use], anchor[use], owner[use], rank[use] >= HOT
+        words = words_of(self.raw)
+        upper = np.uint64(0xFFFFFFFF00000000)
+        key = (anchor & upper) | (fingerprints(words, first, count + length - 1) >> np.uint64(32))
+        order = np.argsort(key, kind="stable")
+        self.first, self.count, self.own, self.hot, key = first[order], count[order], self.ids[owner[order]], hot[order], key[order]
+        new = new_slices(words, self.first, self.count + length - 1, key)
+        heads = np.flatnonzero(new)
+        # Units of each distinct region, one or one for each string; ``unit`` has the first one's place in ``place``.
+        many = np.where(self.hot[heads], self.count[heads], 1)
+        base = np.cumsum(many) - many
+        self.unit = base[np.cumsum(new) - 1]
+        docs = np.repeat(np.minimum.reduceat(self.own, heads) if len(heads) else self.own, many)
+        begin = np.repeat(self.first[heads] - base, many) + np.arange(len(docs))
+        width, key = np.repeat(np.where(self.hot[heads], 1, self.count[heads]) + length - 1, many), np.repeat(key[heads], many)
         if hot.any():
-            many = count[hot]
-            inner = np.repeat(first[hot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            keys = np.array([int.from_bytes(hashlib.blake2b(self.raw[p : p + length].tobytes(), digest_size=8).digest(), "little") for p in inner], np.uint64)
-            first, count = np.concatenate([first[~hot], inner]), np.concatenate([count[~hot], np.ones(len(inner), np.int64)])
-            anchor, owner = np.concatenate([anchor[~hot], keys]), np.concatenate([owner[~hot], np.repeat(owner[hot], many)])
-        bucket = (anchor >> np.uint64(64 - sizes.fine_bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        self.first, self.count, self.owner, self.bucket = first[order], count[order], owner[order], bucket[order]
-        data, place, seen = self.raw.tobytes(), np.empty(len(order), np.int64), {}
-        texts, docs, buckets = [], [], []
-        for i, (f, n, d, b) in enumerate(zip(self.first.tolist(), self.count.tolist(), self.ids[self.owner].tolist(), self.bucket.tolist(), strict=True)):
-            text = data[f : f + n + length - 1]
-            k = seen.get((b, text))
-            if k is None:
-                k = seen[b, text] = len(texts)
-                texts.append(text)
-                docs.append(d)
-                buckets.append(b)
-            elif d < docs[k]:
-                docs[k] = d
-            place[i] = k
-        # Each distinct region of the batch goes once, with the smallest document that has it.
-        self.texts, self.docs, self.buckets, self.place = texts, docs, buckets, place
+            single = np.repeat(self.hot[heads], many)
+            key[single] = fingerprints(words, begin[single], width[single])
+            order = np.argsort(key, kind="stable")
+            begin, width, docs, key = begin[order], width[order], docs[order], key[order]
+            new = new_slices(words, begin, width, key)
+            heads = np.flatnonzero(new)
+            self.place = np.empty(len(order), np.int64)
+            self.place[order] = np.cumsum(new) - 1
+            begin, width, key, docs = begin[heads], width[heads], key[heads], np.minimum.reduceat(docs, heads)
+        else:
+            self.place = np.arange(len(docs))
+        self.begin, self.width, self.docs, self.key = begin, width, docs, key
 
 
 class RunLengthIndex:
@@ -148,47 +217,45 @@ class RunLengthIndex:
 
     def __init__(self, text: np.ndarray, document: np.ndarray, valid: np.ndarray, length: int) -> None:
         n = len(text)
-        cyclic = np.concatenate([text, np.resize(text, length + 8)])
         bits = np.uint64(n.bit_length())
         places, low = np.arange(n, dtype=np.uint64), np.uint64((1 << n.bit_length()) - 1)
 
-        def ordered(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-            """Rows by key (of ``width`` bits), and the dense rank of every key. Place and key share a word where both fit."""
+        def ordered(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Rows by key (of ``width`` bits), the dense rank of every key, and the ranks by row. Place and key share a word where both fit."""
             if width + int(bits) <= 64:
-                ranked = np.sort((key << bits) | places)
-                order, ranked = (ranked & low).astype(np.int64), ranked >> bits
+                ranked = (key << bits) | places
+                ranked.sort()
+                order = (ranked & low).astype(np.int64)
+                ranked >>= bits
             else:
                 order = np.argsort(key)
                 ranked = key[order]
+            by_row = np.zeros(n, np.uint64)
+            np.cumsum(ranked[1:] != ranked[:-1], out=by_row[1:])
             dense = np.empty(n, np.uint64)
-            dense[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
-            return order, dense
+            dense[order] = by_row
+            return order, dense, by_row
 
-        rank, reach = np.zeros(n, np.uint64), 5
-        for k in range(reach):
-            rank = (rank << np.uint64(8)) | cyclic[k : k + n].astype(np.uint64)
-        order, rank = ordered(rank, 8 * reach)
+        reach = 5
+        order, rank, by_row = ordered(np.ndarray((n,), ">u8", np.concatenate([text, np.resize(text, 8)]), strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * reach), 8 * reach)
         while reach < length:
             step = min(reach, length - reach)
-            order, rank = ordered((rank << bits) | np.roll(rank, -step), 2 * int(bits))
+            order, rank, by_row = ordered((rank << bits) | np.roll(rank, -step), 2 * int(bits))
             reach += step
-        sorted_rank = rank[order]
-        self.class_of = sorted_rank.astype(np.int64)  # by row; classes are numbered in the order of rows
-        self.class_start = np.flatnonzero(np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]]))
-        before = text[(order - 1) % n]
+        self.class_at = rank.astype(np.int64)  # by place: the last string of a region is a sample where its stream begins
+        self.class_of = by_row.astype(np.int64)  # by row; classes are numbered in the order of rows
+        self.class_start = np.flatnonzero(np.concatenate([[True], by_row[1:] != by_row[:-1]]))
+        before = text[order - 1]
         # Only whole strings inside a region count as occurrences.
-        held = np.where(valid[order], document[order], BIG)
-        self.smallest = np.minimum.reduceat(held, self.class_start)
+        self.smallest = np.minimum.reduceat(np.where(valid, document, BIG)[order], self.class_start)
         starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        heads, sizes = before[starts].astype(np.int64), np.diff(np.append(starts, n))
-        by_head = np.lexsort((starts, heads))
+        by_head = np.argsort(before[starts], kind="stable")
         self.n = n
-        self.run_key = heads[by_head] * n + starts[by_head]
-        self.run_start, self.run_size = starts[by_head], sizes[by_head]
-        total = np.cumsum(self.run_size) - self.run_size
-        self.run_before = total  # over all symbols in order, which already adds the symbols before
-        self.head = heads[by_head]
-        self.symbol_start = np.searchsorted(np.sort(text), np.arange(257))
+        self.head = before[starts][by_head].astype(np.int64)
+        self.run_start, self.run_size = starts[by_head], np.diff(np.append(starts, n))[by_head]
+        self.run_key = self.head * n + self.run_start
+        self.run_before = np.cumsum(self.run_size) - self.run_size  # over all symbols in order, which already adds the symbols before
+        self.symbol_start = np.cumsum(np.bincount(text + np.int64(1), minlength=257))
 
     def step(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Rows where the strings begin that have ``symbol`` in front of those at ``row``."""
@@ -198,104 +265,116 @@ class RunLengthIndex:
         return np.where(same, self.run_before[at] + inside, self.symbol_start[symbol])
 
     def stream(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
-        """For each string of each region, laid end to end by region: the smallest document that holds it.
+        """For each string of each region of the indexed text, laid end to end by region: the smallest document that holds it.
 
-        All regions go backwards in lockstep, longest first, so those still running are always in front.
+        All regions go backwards in lockstep from the sample of their last string, longest first, so those still running
+        are always in front.
         """
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
         count = size - length + 1
         at = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
-        row = np.zeros(len(size), np.int64)
-        for depth in range(1, int(size[0]) + 1 if len(size) else 0):
-            running = int(np.searchsorted(-size, -depth, "right"))
-            lane = slice(0, running)
-            row = self.step(text[begin[lane] + size[lane] - depth].astype(np.int64), row[lane])
-            if depth >= length:
-                found = self.class_of[row]
-                row = self.class_start[found]
-                out[at[lane] + size[lane] - depth] = self.smallest[found]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        spread = np.repeat(at[back], count[back])
-        own = count[back]
-        return out[spread + np.arange(len(out)) - np.repeat(np.cumsum(own) - own, own)]
+        found = self.class_at[begin + count - 1]
+        last, many = at + count - 1, -count
+        out[last] = self.smallest[found]
+        for back in range(1, int(count[0]) if len(count) else 0):
+            running = int(np.searchsorted(many, -back, "left"))
+            row = self.step(text[begin[:running] + count[:running] - 1 - back].astype(np.int64), self.class_start[found[:running]])
+            found = self.class_of[row]
+            out[last[:running] - back] = self.smallest[found]
+        ranked = np.empty(len(order), np.int64)
+        ranked[order] = np.arange(len(order))
+        own = count[ranked]
+        return out[np.repeat(at[ranked] - (np.cumsum(own) - own), own) + np.arange(len(out))]
+
+
+def told_of(raw: np.ndarray, words: np.ndarray, begin: np.ndarray, width: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each region: the smallest document that holds it, and which of its strings an even smaller one holds."""
+    key = fingerprints(words, begin, width)
+    order = np.argsort(key)
+    begin, width, key = begin[order], width[order], key[order]
+    new = new_slices(words, begin, width, key)
+    heads, place = np.flatnonzero(new), np.cumsum(new) - 1
+    first, begin, size = np.minimum.reduceat(docs[order], heads), begin[heads], width[heads]
+    text = joined(raw, begin, size + 1)
+    ends = np.cumsum(size + 1) - 1
+    text[ends] = 0  # a zero byte between regions
+    valid = np.arange(len(text)) + length <= np.repeat(ends, size + 1)
+    index = RunLengthIndex(text, np.repeat(first, size + 1), valid, length)
+    found = index.stream(text, ends - size, size, length)
+    count = size - length + 1
+    at = np.cumsum(count) - count
+    # At most length - ANCHOR + 1 strings share an anchor: they fit into 32 bits.
+    offset = (np.arange(len(found)) - np.repeat(at, count)).astype(np.uint32)
+    masks = np.add.reduceat(np.where(found < np.repeat(first, count), np.uint32(1) << offset, np.uint32(0)), at)
+    told_first, told_masks = np.empty(len(order), np.int64), np.empty(len(order), np.uint32)
+    told_first[order], told_masks[order] = first[place], masks[place]
+    return told_first, told_masks
 
 
 def answer(sent: pa.Table, length: int) -> pa.Table:
-    """For each row's regions, in order: the smallest document that holds the region, and which of its strings an even smaller one holds."""
-    texts: list[bytes] = []
-    smallest: list[int] = []
-    seen: dict[bytes, int] = {}
-    places = []
-    for data, widths, docs in zip(sent.column("data").to_pylist(), sent.column("widths").to_pylist(), sent.column("docs").to_pylist(), strict=True):
-        at, place = 0, []
-        for width, doc in zip(np.frombuffer(widths, "<u2").tolist(), np.frombuffer(docs, "<i8").tolist(), strict=True):
-            text = data[at : at + width]
-            at += width
-            k = seen.setdefault(text, len(texts))
-            if k == len(texts):
-                texts.append(text)
-                smallest.append(doc)
-            elif doc < smallest[k]:
-                smallest[k] = doc
-            place.append(k)
-        places.append(np.array(place, np.int64))
-    size = np.array([len(t) for t in texts], np.int64)
-    begin = np.cumsum(size) - size + np.arange(len(size))  # a zero byte between regions
-    text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    first = np.array(smallest, np.int64)
-    document = np.repeat(first, size + 1)
-    valid = np.arange(len(text)) + length <= np.repeat(begin + size, size + 1)
-    index = RunLengthIndex(text, document, valid, length)
-    found = index.stream(text, begin, size, length)
-    count = size - length + 1
-    earlier = found < np.repeat(first, count)
-    # At most length - ANCHOR + 1 strings share an anchor: they fit into 32 bits.
-    offset = np.arange(len(found)) - np.repeat(np.cumsum(count) - count, count)
-    masks = np.add.reduceat(np.where(earlier, np.uint32(1) << offset.astype(np.uint32), np.uint32(0)), np.cumsum(count) - count)
-    return pa.table(
-        {
-            "batch": sent.column("batch"),
-            "bucket": sent.column("bucket"),
-            "first": pa.array([first[p].astype("<i8").tobytes() for p in places], pa.binary()),
-            "masks": pa.array([masks[p].astype("<u4").tobytes() for p in places], pa.binary()),
-        }
-    )
+    """What ``told_of`` says of each row's regions, in order: a bucket's shares one after the other, small ones together."""
+    widths, at = kernels.buffers(sent.column("widths"))
+    sizes = np.diff(np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])[at]).tolist()
+    raw = np.frombuffer(b"".join([*(PACKED.decompress(x.as_buffer(), n, asbytes=True) for x, n in zip(sent.column("data"), sizes, strict=True)), b"\0"]), np.uint8)
+    width, docs, shares = widths.astype(np.int64), bytes_of(sent.column("docs"), "<i8"), bytes_of(sent.column("shares"), "u1")
+    begin, words = np.cumsum(width) - width, words_of(raw)
+    order = np.argsort(shares, kind="stable")
+    load = np.concatenate([[0], np.cumsum(width[order])])
+    ends = np.searchsorted(shares[order], np.arange(1 << SHARES), "right")
+    first, masks, a = np.empty(len(order), "<i8"), np.empty(len(order), "<u4"), 0
+    while a < len(order):
+        # Up to the last share that ends within INDEX_BYTES, or else the next one alone.
+        b = int(max(ends[max(np.searchsorted(load[ends], load[a] + INDEX_BYTES, "right") - 1, 0)], ends[np.searchsorted(ends, a, "right")]))
+        some = order[a:b]
+        first[some], masks[some] = told_of(raw, words, begin[some], width[some], docs[some], length)
+        a = b
+    return pa.table({"batch": sent.column("batch"), "bucket": sent.column("bucket"), "first": cut(first, at), "masks": cut(masks, at)})
 
 
 def send(batch: pa.Table, classes: Callable, sizes: Sizes, length: int) -> pa.Table:
-    dealt = Dealt(batch, classes, sizes, length)
-    buckets = np.array(dealt.buckets, np.int64)
-    at = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, int)
-    ends = np.append(at[1:], len(buckets))
-    rows = list(zip(at.tolist(), ends.tolist(), strict=True)) if len(buckets) else []
+    """A row for each bucket: the batch's units there."""
+    dealt = Dealt(batch, classes, length)
+    bucket = (dealt.key >> np.uint64(64 - sizes.bucket_bits)).astype(np.int32)
+    shares = (dealt.key >> np.uint64(64 - sizes.bucket_bits - SHARES)).astype(np.uint8)
+    at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    data, ends = pa.py_buffer(joined(dealt.raw, dealt.begin, dealt.width)), np.concatenate([[0], np.cumsum(dealt.width)])[at].tolist()
     return pa.table(
         {
-            "batch": pa.array([batch.column("batch")[0].as_py()] * len(rows), pa.int32()),
-            "bucket": pa.array([dealt.buckets[a] for a, _ in rows], pa.int32()),
-            "data": pa.array([b"".join(dealt.texts[a:b]) for a, b in rows], pa.binary()),
-            "widths": pa.array([np.array([len(t) for t in dealt.texts[a:b]], "<u2").tobytes() for a, b in rows], pa.binary()),
-            "docs": pa.array([np.array(dealt.docs[a:b], "<i8").tobytes() for a, b in rows], pa.binary()),
+            "batch": pa.array([batch.column("batch")[0].as_py()] * (len(at) - 1), pa.int32()),
+            "bucket": pa.array(bucket[at[:-1]], pa.int32()),
+            "data": pa.array([PACKED.compress(data[a:b], asbytes=True) for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
+            "widths": cut(dealt.width.astype(np.uint8), at),
+            "docs": cut(dealt.docs.astype("<i8"), at),
+            "shares": cut(shares, at),
         }
     )
 
 
-def mark(batch: pa.Table, classes: Callable, replies: pa.Table, sizes: Sizes, length: int) -> pa.Table:
-    """Removed bytes of every document of a batch, from the answers to its regions."""
-    dealt = Dealt(batch, classes, sizes, length)
+def mark(batch: pa.Table, classes: Callable, replies: pa.Table, length: int) -> pa.Table:
+    """Removed bytes of every document of a batch, from the answers to its units."""
+    dealt = Dealt(batch, classes, length)
     batch = dealt.batch
-    order = np.argsort(replies.column("bucket").to_numpy()) if replies.num_rows else []
-    joined = lambda c, kind: np.frombuffer(b"".join(replies.column(c)[int(i)].as_py() for i in order), kind)
-    first, masks = joined("first", "<i8"), joined("masks", "<u4")
-    own = dealt.ids[dealt.owner]
-    later = own > first[dealt.place] if len(own) else np.zeros(0, bool)
-    mask = np.where(later, np.uint32(0xFFFFFFFF), masks[dealt.place]) if len(own) else np.zeros(0, np.uint32)
+    replies = replies.sort_by("bucket")
+    first, masks = bytes_of(replies.column("first"), "<i8"), bytes_of(replies.column("masks"), "<u4")
     starts = np.zeros(len(dealt.raw) + length, np.int32)  # removed strings that start here, then those that started so far
-    for k in range(int(dealt.count.max()) if len(own) else 0):
-        hit = (dealt.count > k) & ((mask >> np.uint32(k)) & np.uint32(1)).astype(bool)
-        starts[dealt.first[hit] + k + length] = 1  # a region's strings are nobody else's
+    some = np.flatnonzero(~dealt.hot)
+    unit = dealt.place[dealt.unit[some]]
+    mask = np.where(dealt.own[some] > first[unit], np.uint32(0xFFFFFFFF), masks[unit])
+    some, mask = some[mask > 0], mask[mask > 0]
+    begin, count = dealt.first[some], dealt.count[some]
+    for k in range(int(count.max()) if len(some) else 0):
+        hit = (count > k) & ((mask >> np.uint32(k)) & np.uint32(1)).astype(bool)
+        starts[begin[hit] + k + length] = 1  # a region's strings are nobody else's
+    hot = np.flatnonzero(dealt.hot)
+    for a in range(0, len(hot), PIECE):  # a unit for each string
+        some = hot[a : a + PIECE]
+        many = dealt.count[some]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        unit = dealt.place[np.repeat(dealt.unit[some], many) + step]
+        hit = np.repeat(dealt.own[some], many) > first[unit]
+        starts[(np.repeat(dealt.first[some], many) + step)[hit] + length] = 1
     np.cumsum(starts, out=starts)
     gone = starts[length:] > starts[: len(dealt.raw)]
     at, raw = dealt.at, dealt.raw
@@ -303,10 +382,9 @@ def mark(batch: pa.Table, classes: Callable, replies: pa.Table, sizes: Sizes, le
     rising[1:] &= ~gone[:-1]
     borders = at[:-1][at[:-1] < len(gone)]
     rising[borders] = gone[borders]
-    total, spans = np.zeros(len(gone) + 1, np.int64), np.zeros(len(gone) + 1, np.int64)
+    total = np.zeros(len(gone) + 1, np.int32)
     np.cumsum(gone, out=total[1:])
-    np.cumsum(rising, out=spans[1:])
-    removed, n_spans = total[at[1:]] - total[at[:-1]], spans[at[1:]] - spans[at[:-1]]
+    removed = total[at[1:]] - total[at[:-1]]
     digests = []
     for i in range(len(at) - 1):
         rest = raw[at[i] : at[i + 1]]
@@ -318,7 +396,8 @@ def mark(batch: pa.Table, classes: Callable, replies: pa.Table, sizes: Sizes, le
     stop[last] = gone[last]
     ends = np.flatnonzero(stop) + 1
     by_doc = np.searchsorted(at, found, "right") - 1
-    places = np.concatenate([[0], np.cumsum(np.bincount(by_doc, minlength=len(at) - 1))]).astype(np.int32)
+    n_spans = np.bincount(by_doc, minlength=len(at) - 1)
+    places = np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)
     flat = np.column_stack([found - at[by_doc], ends - at[by_doc]]).reshape(-1)
     spans_array = pa.ListArray.from_arrays(pa.array(2 * places, pa.int32()), pa.array(flat, pa.int64()))
     return pa.table(
@@ -345,12 +424,12 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     if not ANCHOR <= length <= ANCHOR + 31:
         raise ValueError(f"length must be from {ANCHOR} to {ANCHOR + 31}")
-    exchange, kernel = Exchange(docs, id_col, text), anchor_kernel(length)
+    exchange, kernel = Exchange(docs, id_col, text, BATCH_BYTES), anchor_kernel(length)
     sizes = exchange.sizes
     counted = exchange.counted(kernel)
     regions_sent = exchange.texts.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(
         lambda batch, told: send(batch, sizes.classes_of(told), sizes, length) if batch.num_rows else EMPTY,
-        "batch int, bucket int, data binary, widths binary, docs binary",
+        "batch int, bucket int, data binary, widths binary, docs binary, shares binary",
     )
     answers = regions_sent.groupBy("bucket").applyInArrow(lambda t: answer(t, length), "batch int, bucket int, first binary, masks binary")
     blank = F.lit(None).cast("binary")
@@ -359,7 +438,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     def finish(batch: pa.Table, told: pa.Table) -> pa.Table:
         is_class = told.column("classes").is_valid()
         classes = sizes.classes_of(told.filter(is_class))
-        return mark(batch, classes, told.filter(pa.compute.invert(is_class)), sizes, length)
+        return mark(batch, classes, told.filter(pa.compute.invert(is_class)), length)
 
     marked = exchange.texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
         finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
@@ -367,7 +446,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     return marked.withColumnRenamed("id", id_col)
 
 
-EMPTY = pa.table({"batch": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "widths": pa.array([], pa.binary()), "docs": pa.array([], pa.binary())})
+EMPTY = pa.table({"batch": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("data", "widths", "docs", "shares")}})
 
 
 @query("op1_suffix_dedup")
